@@ -1,0 +1 @@
+"""Personalised semantic search, recommendation and corpus preparation on Spark DataFrames."""
