@@ -20,11 +20,11 @@ EMPTY = np.uint64(2**64 - 1)
 RANGE_DOCS, MOST_PARTS = 1024, 4096
 
 
-def parse(data: bytes, phrases: set[bytes]) -> list[bytes]:
-    """The new phrases of data, in order: each is the longest known phrase and one byte more; all go to ``phrases``.
+def parse(data: bytes, phrases: set[bytes]) -> tuple[list[bytes], bytes]:
+    """The new phrases of data, in order, and its unfinished end: each is the longest known phrase and one byte more; all go to ``phrases``.
 
     Every prefix of a phrase is a phrase too, so the search for the longest may start at any length; it starts at
-    the length of the phrase before. A known phrase that the data ends with is not new.
+    the length of the phrase before. A known phrase that the data ends with is unfinished.
     """
     new, i, n, size = [], 0, len(data), 1
     while i < n:
@@ -33,7 +33,7 @@ def parse(data: bytes, phrases: set[bytes]) -> list[bytes]:
             while i + size < n and data[i : i + size + 1] in phrases:
                 size += 1
             if i + size == n:
-                break
+                return new, data[i:]
             size += 1
         else:
             while size > 1 and data[i : i + size - 1] not in phrases:
@@ -42,7 +42,7 @@ def parse(data: bytes, phrases: set[bytes]) -> list[bytes]:
         phrases.add(phrase)
         new.append(phrase)
         i += size
-    return new
+    return new, b""
 
 
 def signature(phrases: list[bytes]) -> np.ndarray:
@@ -76,13 +76,15 @@ class Edited:
         self.half = self.n // 2
         self.phrases: set[bytes] = set()
         head = self.text[: self.n - self.half]
-        self.head = signature(parse(head.encode("utf-8"), self.phrases))
+        new, self.open = parse(head.encode("utf-8"), self.phrases)
+        self.head = signature(new)
         tail = self.text[self.n - self.half :].encode("utf-8")
         self.tail = signature(self._after(tail))
         self.print = short(np.minimum(self.head, self.tail))
 
     def _after(self, tail: bytes) -> list[bytes]:
-        new = parse(tail, self.phrases)
+        """The phrases that the head's parse finds when it goes on with tail."""
+        new, _ = parse(self.open + tail, self.phrases)
         self.phrases.difference_update(new)
         return new
 
