@@ -70,16 +70,16 @@ def line_frame(docs: DataFrame) -> DataFrame:
 def frequent_lines(lines: DataFrame, min_docs: int = 10, rate: float = 0.001) -> DataFrame:
     """(host, k) of the lines that more than max(min_docs, rate * the host's documents) distinct documents share.
 
-    Documents count by content: copies of one document share all their lines, and no line is boilerplate for that.
-    Two documents count as one for a line if the smallest of their other lines' keys agrees, and a line is frequent
-    only if more than half of its documents differ in that way.
+    Documents count by content: copies of one document, near copies too, share most lines, and no line is boilerplate
+    for that. Two documents count as one for a line if the smallest of their other lines' keys agrees, and a line is
+    frequent only if over a quarter of its documents differ in that way.
     """
     keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["k"])))
     each = lines.select("host", keys.alias("keys")).select("host", F.get("keys", F.lit(0)).alias("m1"), F.coalesce(F.get("keys", F.lit(1)), F.lit(-1)).alias("m2"), F.explode("keys").alias("k"))
     each = each.select("host", "k", F.when(F.col("k") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("rest"))
     contents = each.groupBy("host", "k", "rest").agg(F.count(F.lit(1)).alias("n"))
     counts = contents.groupBy("host", "k").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("docs"))
-    counts = counts.where((F.col("contents") > min_docs) & (2 * F.col("contents") > F.col("docs")))
+    counts = counts.where((F.col("contents") > min_docs) & (4 * F.col("contents") > F.col("docs")))
     hosts = lines.groupBy("host").agg(F.count(F.lit(1)).alias("all")).withColumnRenamed("host", "h")
     out = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("contents") > F.col("all") * F.lit(rate))
     return out.select("host", "k")

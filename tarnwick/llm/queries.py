@@ -143,7 +143,7 @@ WITH d AS (
   SELECT host, k, count(*) AS docs, count(DISTINCT CASE WHEN k = m1 THEN m2 ELSE m1 END) AS contents FROM k JOIN low USING (doc_id) GROUP BY host, k
 ), often AS (
   SELECT host, k FROM freq JOIN (SELECT host, count(*) AS total FROM d GROUP BY host) USING (host)
-  WHERE contents > 10 AND 2 * contents > docs AND contents > total * 0.001
+  WHERE contents > 10 AND 4 * contents > docs AND contents > total * 0.001
 ), lost AS (
   SELECT doc_id, sum(n)::BIGINT AS lost FROM (SELECT *, ('0x' || substr(md5(norm), 1, 15))::BIGINT AS k FROM lines) JOIN often USING (host, k) GROUP BY doc_id
 ), base AS (
