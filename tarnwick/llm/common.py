@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import table
 
-__all__ = ["BLANKS", "WORD", "documents", "key60", "let", "n_words", "table"]
+__all__ = ["BLANKS", "WORD", "documents", "join_spread", "key60", "let", "n_words", "table"]
 
 #: A word: a run of anything but the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,3 +31,11 @@ def key60(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, for expressions that use it many times."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def join_spread(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", spread: int = 64) -> DataFrame:
+    """rows joined with small, which has one row per key (null is a key too): small is repeated ``spread`` times and
+    rows are dealt by key and a share of the hash column ``by``, so a key with a third of all rows has 64 tasks."""
+    right = small.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    on = F.col(key).eqNullSafe(F.col("_key")) & (F.pmod(F.col(by), F.lit(spread)) == F.col("_part"))
+    return rows.join(right, on, how).drop("_key", "_part")

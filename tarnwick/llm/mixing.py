@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import key60, n_words, table
+from tarnwick.llm.common import join_spread, key60, n_words, table
 
 #: Buckets of the sampling order, per source, in which the cut is searched.
 ORDER_BUCKETS = 65_536
@@ -37,15 +37,15 @@ def _cuts(cands: DataFrame, left: DataFrame) -> DataFrame:
     hist = cands.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     w = Window.partitionBy("source").orderBy("bucket")
     hist = hist.withColumn("upto", F.sum("n").over(w))
-    hist = hist.join(left.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("upto") > F.col("left"))
+    hist = hist.join(left.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").where(F.col("upto") > F.col("left"))
     first = F.min(F.struct("bucket", (F.col("left") - F.col("upto") + F.col("n")).alias("rest")))
-    return hist.groupBy("s").agg(first.alias("c")).select("s", F.col("c.bucket").alias("cut"), F.col("c.rest").alias("rest"))
+    return hist.groupBy("source").agg(first.alias("c")).select("source", F.col("c.bucket").alias("cut"), F.col("c.rest").alias("rest"))
 
 
 def _take(cands: DataFrame, left: DataFrame, nearest: bool) -> DataFrame:
     """cands with ``won``: in sampling order, rows are taken while the words left last (nearest: the row that
     crosses the end too, if more than half of it fits). Only the rows of one order bucket per source are sorted."""
-    marked = cands.join(_cuts(cands, left), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    marked = join_spread(cands, _cuts(cands, left), "source", "tie", "left")
     inside = marked.where(F.col("bucket") == F.col("cut"))
     order = Window.partitionBy("source").orderBy("q", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum("size").over(order) - (F.col("size") / 2 if nearest else F.lit(0))
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_rep
 
     u = (key60(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) + F.lit(0.5)) / F.lit(float(2**60))
     e = F.least(F.col("rate") * F.col("value"), F.lit(float(max_repeat)))
-    rows = slim.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = join_spread(slim, targets, "source", "tie")
     rows = rows.withColumn("e", e).withColumn("sure", F.floor("e").cast("long")).withColumn("f", F.col("e") - F.col("sure"))
     rows = rows.withColumn("u", F.least(u, F.lit(1 - 2.0**-53))).withColumn("q", F.col("u") * (1 - F.col("f")) / (F.col("u") * (1 - F.col("f")) + (1 - F.col("u")) * F.col("f")))
     rows = rows.withColumn("bucket", F.floor(F.col("q") * ORDER_BUCKETS).cast("int")).drop("e", "u", "value", "mass", "rate")
@@ -90,8 +90,8 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_rep
     first = table(_take(open_, lacks, nearest=False), "mix-first")
     taken = first.where("won").groupBy("source").agg(F.sum("size").alias("t")).withColumnRenamed("source", "s")
     still = lacks.join(taken, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("left") - F.coalesce("t", F.lit(0))).alias("left"))
-    fits = first.where("not won").drop("won").join(still.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    fits = fits.withColumn("fits", F.col("size") <= F.col("left")).drop("s", "left")
+    fits = join_spread(first.where("not won").drop("won"), still, "source", "tie")
+    fits = fits.withColumn("fits", F.col("size") <= F.col("left")).drop("left")
     second = _take(fits.where("fits"), still, nearest=True)
     out = rows.where((F.col("f") <= 0) | (F.col("size") <= 0)).withColumn("won", F.lit(False))
     out = out.unionByName(first.where("won")).unionByName(second.drop("fits")).unionByName(fits.where("not fits").drop("fits").withColumn("won", F.lit(False)))
