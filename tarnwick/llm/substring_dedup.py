@@ -18,8 +18,9 @@ from tarnwick.llm.fm_index import matched
 GRAM = 8
 #: Symbols of one FM-index, about.
 SHARD_WORDS = 400_000
-#: Different segments at one anchor, beyond which its windows are matched by grouping instead of by index.
-MOST_AT_ANCHOR = 256
+#: Different segments at one anchor, beyond which its windows are matched by grouping instead of by index: so many
+#: fill an index of SHARD_WORDS alone.
+MOST_AT_ANCHOR = 4096
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -156,7 +157,7 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     again = classes.where(F.col("most") > F.col("first.doc_id")).select("anchor", "cls", F.col("first.doc_id").alias("owner"))
     known = classes.select("anchor", "cls", F.col("first.doc_id").alias("owner")).join(parts, ["anchor", "cls"])
     rules = again.join(known.select("anchor", "cls", "parts"), ["anchor", "cls"], "left").unionByName(known.join(again, ["anchor", "cls"], "left_anti"), allowMissingColumns=True)
-    hit = segs.join(rules, ["anchor", "cls"])
+    hit = segs.join(table(rules, "segment-rules"), ["anchor", "cls"])
     own = F.transform("parts", lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b")))
     whole = F.array(F.struct(F.col("start").alias("a"), F.col("end").alias("b")))
     hit = hit.select("row_key", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(own).alias("cuts")).where("cuts is not null")
