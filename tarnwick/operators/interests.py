@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,11 @@ from tarnwick.functions.values import dot, moved
 INTERESTS = "user_id string, coi_id string, step int, point array<double>, view_count long, view_time_ms long, last_view timestamp"
 
 
+def new_centre(user: str, step: int, time) -> dict:
+    name = hashlib.sha256(f"{user}|{step}".encode()).hexdigest()[:32]
+    return {"coi_id": name, "step": step, "view_count": 1, "view_time_ms": 0, "last_view": time}
+
+
 def fold(state: list[dict], events: Iterable[tuple], user: str, config: InterestConfig) -> list[dict]:
     """Centres after the events (time, vector), in order: the nearest centre moves if it is near enough (the first of
     equally near ones), else the vector begins a centre of its own."""
@@ -31,9 +36,7 @@ def fold(state: list[dict], events: Iterable[tuple], user: str, config: Interest
             c["view_count"] += 1
             c["last_view"] = time
         else:
-            step = len(state)
-            name = hashlib.sha256(f"{user}|{step}".encode()).hexdigest()[:32]
-            state.append({"coi_id": name, "step": step, "point": e, "view_count": 1, "view_time_ms": 0, "last_view": time})
+            state.append(new_centre(user, len(state), time) | {"point": e})
     return state
 
 
@@ -49,23 +52,67 @@ def state_frame(user: str, state: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["user_id", "coi_id", "step", "point", "view_count", "view_time_ms", "last_view"])
 
 
+class UserFold:
+    """One user's fold as rows arrive: centres in a growing matrix."""
+
+    def __init__(self, user: str, config: InterestConfig):
+        self.user, self.config, self.points, self.centres = user, config, np.empty((0, 0)), []
+
+    def add(self, time, e: np.ndarray) -> None:
+        n = len(self.centres)
+        if n:
+            sims = np.clip(self.points[:n] @ e, -1.0, 1.0)
+            i = int(sims.argmax())
+            if sims[i] >= self.config.threshold:
+                p = self.points[i] * (1 - self.config.shift) + e * self.config.shift
+                size = np.sqrt(p @ p)
+                self.points[i] = p / size if size > 0 else p
+                self.centres[i]["view_count"] += 1
+                self.centres[i]["last_view"] = time
+                return
+        if n == len(self.points):
+            grown = np.empty((max(8, 2 * n), len(e)))
+            grown[:n] = self.points[:n] if n else grown[:0]
+            self.points = grown
+        self.points[n] = e
+        self.centres.append(new_centre(self.user, n, time))
+
+    def frame(self) -> pd.DataFrame:
+        return state_frame(self.user, [c | {"point": p} for c, p in zip(self.centres, self.points, strict=False)])
+
+
 def fold_interactions(events: DataFrame, config: InterestConfig = InterestConfig(), prior: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Centres of every user after all events (user_id, time_stamp, event_id, embedding), in order of time and event.
 
-    The fold is sequential within a user and parallel across users. prior: centres from before, cogrouped by user.
+    Events are dealt by user and sorted, and each task folds them as they stream past: it holds one user's centres,
+    never a user's events. prior: centres from before; then users are cogrouped with theirs.
     """
     slim = events.select("user_id", "time_stamp", "event_id", F.col("embedding").alias("e"))
 
-    def run(key: tuple, pdf: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
-        state = []
-        if before is not None:
-            state = [r | {"point": np.asarray(r["point"], np.float64)} for r in before.sort_values("step").drop(columns="user_id").to_dict("records")]
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: UserFold | None = None
+        for pdf in batches:
+            done = []
+            vectors = np.array(pdf["e"].tolist(), np.float64)
+            for user, time, e in zip(pdf["user_id"], pdf["time_stamp"], vectors, strict=True):
+                if now is None or user != now.user:
+                    if now is not None:
+                        done.append(now.frame())
+                    now = UserFold(user, config)
+                now.add(time, e)
+            if done:
+                yield pd.concat(done)
+        if now is not None:
+            yield now.frame()
+
+    def with_prior(key: tuple, pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        state = [r | {"point": np.asarray(r["point"], np.float64)} for r in before.sort_values("step").drop(columns="user_id").to_dict("records")]
         pdf = pdf.sort_values(["time_stamp", "event_id"])
         return state_frame(key[0], fold(state, zip(pdf["time_stamp"], pdf["e"], strict=True), key[0], config))
 
     if prior is None:
-        return slim.groupBy("user_id").applyInPandas(lambda key, pdf: run(key, pdf), INTERESTS)
-    return slim.groupBy("user_id").cogroup(prior.groupBy("user_id")).applyInPandas(lambda key, a, b: run(key, a, b), INTERESTS)
+        return slim.repartition("user_id").sortWithinPartitions("user_id", "time_stamp", "event_id").mapInPandas(stream, INTERESTS)
+    return slim.groupBy("user_id").cogroup(prior.groupBy("user_id")).applyInPandas(with_prior, INTERESTS)
 
 
 def fold_column(events: Column, config: InterestConfig = InterestConfig()) -> Column:  # noqa: B008
@@ -120,12 +167,17 @@ def top_interests(weighted: DataFrame, most: int = MAX_INTERESTS_FOR_KNN) -> Dat
 def interest_scores(pairs: DataFrame, relevant: DataFrame) -> DataFrame:
     """(user_id, document_id, sub_id, score) for pairs (user_id, document_id, sub_id, embedding): of the user's centre
     nearest to the snippet (the first of equally near ones) (similarity * decay + relevance + 1) / 4. Users without a
-    centre have no scores. A user's centres travel as one array, so each pair is one row all the way."""
-    nearest = F.struct(F.col("step").alias("step"), "point", "decay", "relevance")
-    held = relevant.groupBy("user_id").agg(F.sort_array(F.collect_list(nearest)).alias("centres"))
-    joined = pairs.join(held, "user_id")
-    sims = F.transform("centres", lambda c: dot(c["point"], F.col("embedding")))
-    joined = joined.withColumn("sims", sims).withColumn("best", F.array_max("sims"))
-    joined = joined.withColumn("c", F.element_at("centres", F.array_position("sims", F.col("best")).cast("int")))
-    score = (F.col("best") * F.col("c.decay") + F.col("c.relevance") + 1) / 4
-    return joined.select("user_id", "document_id", "sub_id", score.alias("score"))
+    centre have no scores. Pairs and centres meet by user, as two matrices; a user has few centres."""
+    schema = pairs.select("user_id", "document_id", "sub_id").withColumn("score", F.lit(0.0)).schema
+
+    def run(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(c):
+            return pd.DataFrame(columns=schema.names)
+        c = c.sort_values("step")
+        sims = np.clip(np.array(p["embedding"].tolist(), np.float64) @ np.array(c["point"].tolist(), np.float64).T, -1.0, 1.0)
+        best = sims.argmax(axis=1)
+        score = (sims[np.arange(len(p)), best] * c["decay"].to_numpy()[best] + c["relevance"].to_numpy()[best] + 1) / 4
+        return pd.DataFrame({"user_id": p["user_id"].to_numpy(), "document_id": p["document_id"].to_numpy(), "sub_id": p["sub_id"].to_numpy(), "score": score})
+
+    left = pairs.select("user_id", "document_id", "sub_id", "embedding").groupBy("user_id")
+    return left.cogroup(relevant.select("user_id", "step", "point", "decay", "relevance").groupBy("user_id")).applyInPandas(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwick.config import MAX_HISTORY, MAX_HISTORY_FOR_INTERESTS, RECOMMENDATION_WEIGHTS, RRF_K
 from tarnwick.operators import interests as ci
 from tarnwick.operators.search import knn
+from tarnwick.session import table
 
 
 def seen_documents(interactions: DataFrame) -> DataFrame:
@@ -106,9 +107,9 @@ def recommend(snippets: DataFrame, interests: DataFrame, weights: DataFrame, see
     """(user_id, document_id, sub_id, score, rank) for all users with at least ``least`` centres. snippets: document_id,
     sub_id, embedding, tags; interests as fold_interactions() gives them."""
     users = gate(interests.select("user_id").distinct(), interests, least)
-    relevant = ci.relevance(interests.join(users, "user_id", "left_semi"), now, horizon_days)
+    relevant = table(ci.relevance(interests.join(users, "user_id", "left_semi"), now, horizon_days), "interests")
     top = ci.top_interests(ci.weights(relevant))
-    found = search_by_interests(snippets, top, seen, count, candidates)
+    found = table(search_by_interests(snippets, top, seen, count, candidates), "found")
     pairs = found.join(snippets.select("document_id", "sub_id", "embedding", "tags"), ["document_id", "sub_id"])
     scored = rerank(found, ci.interest_scores(pairs, relevant), tag_scores(pairs, weights))
     return best_per_user(scored, count)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.config import BM25_B, BM25_K1
 from tarnwick.functions.values import tokens
+from tarnwick.session import table
 
 #: Queries and snippets that are multiplied at once.
 QUERY_BLOCK, SNIPPET_BLOCK = 1024, 8192
@@ -101,7 +102,8 @@ def bm25(docs: DataFrame, query: str, condition=None) -> DataFrame:
     """(document_id, sub_id, score) of the documents (document_id, sub_id, text) with a query term.
 
     Statistics cover all of docs; condition filters results and never changes scores. Terms are the distinct query
-    tokens; a term's weight is ln(1 + (N - n + 0.5) / (n + 0.5)).
+    tokens; a term's weight is ln(1 + (N - n + 0.5) / (n + 0.5)). Texts are read once: lengths and term counts go to a
+    slim table, from which both the statistics and the scores come.
     """
     terms = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
     if not terms:
@@ -110,7 +112,7 @@ def bm25(docs: DataFrame, query: str, condition=None) -> DataFrame:
     t = docs.select("document_id", "sub_id", *extra, tokens(F.col("text")).alias("tokens"))
     times = lambda term: F.size(F.filter("tokens", lambda x: x == term)).cast("double")
     tf = [times(term).alias(f"tf{i}") for i, term in enumerate(terms)]
-    t = t.select("document_id", "sub_id", "shown", F.size("tokens").cast("double").alias("dl"), *tf)
+    t = table(t.select("document_id", "sub_id", "shown", F.size("tokens").cast("double").alias("dl"), *tf), "term-counts")
     stats = t.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     j = t.where(F.col("shown")).crossJoin(F.broadcast(stats))  # stats: one row
 
