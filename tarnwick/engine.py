@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.config import MAX_CANDIDATES, RECOMMENDATION_WEIGHTS, SEARCH_WEIGHTS, DocumentNotFound, EngineConfig, InvalidUser, NotEnoughInteractions
+from tarnwick.config import MAX_CANDIDATES, RECOMMENDATION_WEIGHTS, SEARCH_WEIGHTS, DocumentNotFound, EngineConfig, InvalidUser, NotEnoughInteractions, PropertyNotFound
 from tarnwick.operators import filters, fusion, ingest, personalize
 from tarnwick.operators import interests as ci
 from tarnwick.operators.embed import REGISTRY
@@ -99,6 +99,23 @@ class Engine:
         changes = self.spark.createDataFrame([(document_id, properties_json)], "document_id string, properties string")
         self.store.commit(self.tenant, {"document": ingest.put_properties(self._tables()["document"], changes)})
 
+    def property(self, document_id: str, name: str) -> DataFrame:
+        """One property as JSON text; a document without it is another error than no document."""
+        value = F.get_json_object("properties", f"$['{name}']")
+        row = self._document(document_id).select(value.alias("value")).where("value is not null")
+        if row.isEmpty():
+            raise PropertyNotFound(document_id=document_id, name=name)
+        return row
+
+    def put_property(self, document_id: str, name: str, value: str) -> None:
+        self._document(document_id)
+        filters.validate_property(name, value, self.schema())
+        self.store.commit(self.tenant, {"document": ingest.put_property(self._tables()["document"], document_id, name, value)})
+
+    def delete_property(self, document_id: str, name: str) -> None:
+        self.property(document_id, name)
+        self.store.commit(self.tenant, {"document": ingest.delete_property(self._tables()["document"], document_id, name)})
+
     def put_tags(self, document_id: str, tags: list[str]) -> None:
         self._document(document_id)
         self.store.commit(self.tenant, {"document": ingest.put_tags(self._tables()["document"], document_id, tags)})

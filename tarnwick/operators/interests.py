@@ -181,3 +181,20 @@ def interest_scores(pairs: DataFrame, relevant: DataFrame) -> DataFrame:
 
     left = pairs.select("user_id", "document_id", "sub_id", "embedding").groupBy("user_id")
     return left.cogroup(relevant.select("user_id", "step", "point", "decay", "relevance").groupBy("user_id")).applyInPandas(run, schema)
+
+
+def view_times(views: DataFrame, interests: DataFrame) -> DataFrame:
+    """interests with the milliseconds of views (user_id, embedding, view_ms) added to the user's nearest centre."""
+    added = "user_id string, coi_id string, added long"
+
+    def run(v: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(c):
+            return pd.DataFrame(columns=["user_id", "coi_id", "added"])
+        c = c.sort_values("step")
+        sims = np.array(v["embedding"].tolist(), np.float64) @ np.array(c["point"].tolist(), np.float64).T
+        sums = np.bincount(sims.argmax(axis=1), weights=v["view_ms"].to_numpy(np.float64), minlength=len(c))
+        return pd.DataFrame({"user_id": c["user_id"].to_numpy(), "coi_id": c["coi_id"].to_numpy(), "added": sums.astype(np.int64)})
+
+    per = views.select("user_id", "embedding", "view_ms").groupBy("user_id").cogroup(interests.select("user_id", "coi_id", "step", "point").groupBy("user_id")).applyInPandas(run, added)
+    out = interests.join(per, ["user_id", "coi_id"], "left").withColumn("view_time_ms", F.col("view_time_ms") + F.coalesce("added", F.lit(0)))
+    return out.select(*interests.columns)

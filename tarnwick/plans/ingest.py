@@ -11,7 +11,9 @@ from tarnwick.functions import ids, values
 from tarnwick.operators import ingest
 from tarnwick.operators.embed import REGISTRY
 from tarnwick.plans.common import with_corpus
-from tarnwick.sources import corpus
+from tarnwick.session import new_path
+from tarnwick.sources import corpus, readers
+from tarnwick.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -214,3 +216,25 @@ def vector_normalize(spark: SparkSession, sf: str) -> DataFrame:
     scaled = F.transform("embedding", lambda x: x.cast("double") * 3)
     n = lambda v: values.norm(v)
     return e.select("vec_id", F.round(n(scaled) * n(scaled), 4).alias("before"), F.round(n(values.normalized(scaled)), 6).alias("after"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def file_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that come as base64, read by a pluggable extractor."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = d.select("doc_id", readers.extracted_text(F.base64(F.col("text").cast("binary")), lambda b: b.decode("utf-8")).alias("text"))
+    return d.select("doc_id", values.sha256_of(F.col("text")).alias("sha"))
+
+
+@query("SELECT * FROM (VALUES ('alpha', 'hashing-64', 3), ('beta', 'hashing-128', 1)) t(tenant, embedder, versions)")
+def tenants(spark: SparkSession, sf: str) -> DataFrame:
+    """Tenants created, changed, dropped and listed."""
+    store = Store(spark, new_path(spark, "tenants"))
+    store.create("alpha")
+    store.create("beta", "hashing-128")
+    store.create("gone")
+    store.drop("gone")
+    store.commit("alpha", {"weighted_tag": spark.createDataFrame([("u", "t", 1)], "user_id string, tag string, weight long")})
+    store.commit("alpha", {}, {"embedder": "hashing-64"})
+    rows = [(t, store.manifest(t)["options"]["embedder"], len(store.versions(t))) for t in store.tenants()]
+    return spark.createDataFrame(rows, "tenant string, embedder string, versions int")

@@ -20,6 +20,9 @@ from tarnwick.streaming import interactions as streams
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Interests of the simulated personas.
+PERSONAS = {"anglophone": ["en/src1", "en/src2"], "francophile": ["fr/src3"], "generalist": ["de/src4", "es/src5"]}
+
 
 def now():
     """The time at which the queries are asked."""
@@ -263,6 +266,44 @@ def ndcg(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", F.round("ndcg_at_5", 6).alias("ndcg_at_5"), F.round("ndcg_at_10", 6).alias("ndcg_at_10"))
 
 
+@query(with_corpus(""" SELECT c.coi_id, c.view_time_ms + coalesce(sum(floor(i.value * 1000)::BIGINT), 0)::BIGINT AS view_time_ms
+FROM coi c LEFT JOIN inter i ON i.user_id = c.user_id AND c.coi_id = i.user_id || ':' || i.document_id GROUP BY c.coi_id, c.view_time_ms""", CENTRES))
+def view_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Every interaction's time goes to the nearest centre, which here is its own document's."""
+    views = _events(spark, sf).select("user_id", "embedding", F.floor(F.col("value") * 1000).cast("long").alias("view_ms"))
+    return ci.view_times(views, centres(spark, sf)).select("coi_id", "view_time_ms")
+
+
+@query("""WITH c AS (
+  SELECT user_id, event_id::VARCHAR AS document_id, (event_type = 'click')::INTEGER AS rel, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events
+), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rel DESC, rank) AS ideal FROM c)
+SELECT user_id AS impression_id, round(sum(CASE WHEN rank <= 5 THEN (pow(2, rel) - 1) / log2(rank + 1.0) ELSE 0 END) / (sum(CASE WHEN ideal <= 5 THEN (pow(2, rel) - 1) / log2(ideal + 1.0) ELSE 0 END) + 1e-5), 6) AS ndcg_at_5
+FROM i GROUP BY user_id""")
+def click_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Click logs, one line of "document-label" items per user, against a ranking by value."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    item = F.concat_ws("-", F.col("event_id").cast("string"), (F.col("event_type") == "click").cast("int").cast("string"))
+    log = e.groupBy(F.col("user_id").alias("impression_id")).agg(F.array_join(F.collect_list(item), " ").alias("log"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id"))
+    ranked = e.select(F.col("user_id").alias("impression_id"), F.col("event_id").cast("string").alias("document_id"), rank.alias("rank"))
+    out = evaluate.replay(ranked, evaluate.parse_clicks(log), (5,))
+    return out.select("impression_id", F.round("ndcg_at_5", 6).alias("ndcg_at_5"))
+
+
+@query()
+def persona_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    """Simulated personas: each clicks a fifth of the interesting documents it is shown; nDCG of showing by length."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    personas = F.explode(F.array(*[F.struct(F.lit(p).alias("persona"), F.array(*map(F.lit, likes)).alias("likes")) for p, likes in PERSONAS.items()]))
+    shown = d.select("doc_id", "lang", "source", "n_chars", personas.alias("p")).select("doc_id", "lang", "source", "n_chars", "p.*")
+    full, semi = match(F.col("lang"), F.col("source"), F.col("likes"))
+    key = F.concat_ws(":", "persona", F.col("doc_id").cast("string"))
+    clicked = F.when(full & evaluate.happens(0.2, key), 2).when(semi & evaluate.happens(0.05, key, 43), 1).otherwise(0)
+    rank = F.row_number().over(Window.partitionBy("persona").orderBy(F.col("n_chars").desc(), "doc_id"))
+    out = evaluate.ndcg(shown.select("persona", clicked.alias("relevance"), rank.alias("rank")), (3, 5), "persona")
+    return out.select("persona", F.round("ndcg_at_3", 6).alias("ndcg_at_3"), F.round("ndcg_at_5", 6).alias("ndcg_at_5"))
+
+
 @query("SELECT doc_id, lang IN ('en', 'fr') OR source IN ('src1', 'src2') AS interesting, lang IN ('en', 'fr') OR source <> 'src1' OR source <> 'src2' AS semi_interesting FROM documents")
 def interest_match(spark: SparkSession, sf: str) -> DataFrame:
     d = spark.read.parquet(f"{sf}/documents.parquet")

@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.config import BatchTooLarge, EngineConfig, IncompatibleType, IncompatibleUpdate, InterestConfig, InvalidCount, InvalidFilter, NotEnoughInteractions, UnindexedId
+from tarnwick.config import BatchTooLarge, DocumentNotFound, EngineConfig, IncompatibleType, IncompatibleUpdate, InterestConfig, InvalidCount, InvalidFilter, NotEnoughInteractions, PropertyNotFound, UnindexedId
 from tarnwick.engine import Engine
 from tarnwick.functions import ids, values
 from tarnwick.operators import evaluate, filters, fusion, ingest, interests, personalize, split, summarize
 from tarnwick.operators.embed import Embedder
 from tarnwick.operators.search import bm25, knn, top
+from tarnwick.sources import corpus, readers
 
 NOW = datetime(2024, 2, 1, tzinfo=UTC)
 SCHEMA = {"lang": "keyword", "n": "number", "on": "boolean", "at": "date", "many": "keyword[]"}
@@ -261,6 +262,13 @@ def test_engine_end_to_end(spark, tmp_path):
     assert sorted(r[0] for r in engine.candidates().collect()) == ["sky2"]
     engine.put_properties("sky2", None)
     assert engine.properties("sky2").first()[0] == "{}"
+    engine.put_property("sky2", "kind", "night")
+    assert engine.property("sky2", "kind").first()[0] == "night"
+    engine.delete_property("sky2", "kind")
+    with pytest.raises(PropertyNotFound):
+        engine.property("sky2", "kind")
+    with pytest.raises(DocumentNotFound):
+        engine.property("gone", "kind")
     engine.put_tags("sky2", ["x", "x"])
     engine.store.create("t2")
     assert engine.store.tenants() == ["t1", "t2"]
@@ -271,3 +279,45 @@ def test_engine_end_to_end(spark, tmp_path):
 def test_embedder_is_deterministic():
     a, b, zero = Embedder()(["same words", "same words", ""])
     assert (a == b).all() and np.linalg.norm(a) == pytest.approx(1, abs=1e-6) and not zero.any()
+
+
+# --- sources and plans ---
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "clicks.tsv").write_text("1\tu\t2019\ta b\tx-1 y-0\n2\tv\t2019\t\tz-1\n")
+    clicks = evaluate.parse_clicks(readers.click_log(spark, str(tmp_path / "clicks.tsv")))
+    assert sorted(map(tuple, clicks.collect())) == [("1", "x", 1), ("1", "y", 0), ("2", "z", 1)]
+    (tmp_path / "news.tsv").write_text("n1\tsport\tball\ttitle\ttext\n")
+    assert readers.news(spark, str(tmp_path / "news.tsv")).first()["sub_category"] == "ball"
+    (tmp_path / "p.json").write_text('{\n"name": ["a/b"]\n}')
+    assert readers.json_document(spark, str(tmp_path / "p.json")).first()["name"] == ["a/b"]
+    (tmp_path / "r.jsonl").write_text('{"id": "a", "snippet": "x", "tags": ["t"]}\n')
+    assert readers.requests(spark, str(tmp_path / "r.jsonl")).first()["tags"] == ["t"]
+    with pytest.raises(ValueError):
+        readers.requests_of(spark, [{"id": "a", "unknown": 1}])
+    readers.write_results(clicks, str(tmp_path / "out"), "json")
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    html = "<html><style>p{}</style><p>a &lt; b &amp;amp; c</p><!-- x --><script>1</script></html>"
+    df = spark.createDataFrame([(html,)], "html string").select(readers.html_text(F.col("html")).alias("t"))
+    assert df.first()["t"] == "a < b &amp; c"
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    tree = filters.parse({"$and": [{"lang": {"$eq": "en"}}, {"n_chars": {"$gte": 500}}]})
+    rows = corpus.documents(spark, "/root/testdata/sf0.001").where(filters.compile_filter(tree, corpus.SCHEMA, corpus.by_columns())).select("document_id")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan and "text" not in plan.split("ReadSchema")[1].split(">")[0]
+
+
+def test_queries_are_registered_with_sql():
+    import __spark_entry__ as entry_points
+
+    queries, oracles = entry_points.queries(), entry_points.oracle_sql()
+    assert set(oracles) <= set(queries) and len(queries) > 60
+
+
+def test_view_times(spark):
+    c = spark.createDataFrame([("u", "a", 0, [1.0, 0.0], 5), ("u", "b", 1, [0.0, 1.0], 0), ("v", "c", 0, [1.0, 0.0], 1)], "user_id string, coi_id string, step int, point array<double>, view_time_ms long")
+    v = spark.createDataFrame([("u", [0.9, 0.1], 10), ("u", [0.8, 0.1], 1), ("w", [1.0, 0.0], 3)], "user_id string, embedding array<double>, view_ms long")
+    assert {r["coi_id"]: r["view_time_ms"] for r in interests.view_times(v, c).collect()} == {"a": 16, "b": 0, "c": 1}
