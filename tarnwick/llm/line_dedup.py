@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import BLANKS, let, table
+from tarnwick.llm.common import table
 
 
 def _has_word(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANKS)) != ""
+    return F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
 
 
-def _windows(keys: Column, run: int, gram: int) -> Column:
-    """For each window of ``run`` line hashes: its start s, the hash w of the whole window, and the gram (k lines)
-    with the least hash in it (the rightmost of equals): hash g, position p."""
+def _line_keys(text: Column) -> Column:
+    """Hashes of the lines with a word, in lower case with blanks as one space."""
+    norm = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
+    return F.transform(F.filter(F.split(norm, "\n"), _has_word), lambda c: F.xxhash64(F.trim(c)))
 
-    def of(grams: Column) -> Column:
-        def window(s: Column) -> Column:
-            inside = F.slice(grams, s + 1, run - gram + 1)
-            least = F.array_min(inside)
-            p = s + (run - gram + 1) - F.array_position(F.reverse(inside), least).cast("int")
-            return F.struct(s.alias("s"), F.xxhash64(F.slice(keys, s + 1, run)).alias("w"), least.alias("g"), p.alias("p"))
 
-        return F.transform(F.sequence(F.lit(0), F.size(keys) - run), window)
-
-    grams = F.transform(F.sequence(F.lit(0), F.size(keys) - gram), lambda i: F.xxhash64(F.slice(keys, i + 1, gram)))
-    return F.when(F.size(keys) >= run, let(grams, of))
+def _windows(slim: DataFrame, run: int, gram: int) -> DataFrame:
+    """Each window of ``run`` line hashes of slim's ``keys``: its start s, the hash w of the whole window, and the gram
+    (k lines) with the least hash in it (the rightmost of equals): hash g, position p."""
+    cut = F.transform(F.sequence(F.lit(0), F.size("keys") - run), lambda s: F.slice("keys", s + 1, run))
+    win = slim.where(F.size("keys") >= run).select("doc_id", "row_key", F.posexplode(cut).alias("s", "k"))
+    key = [F.get("k", F.lit(i)) for i in range(run)]
+    grams = [F.xxhash64(*key[i : i + gram]) for i in range(run - gram + 1)]
+    win = win.select("doc_id", "row_key", "s", F.xxhash64(*key).alias("w"), *[h.alias(f"g{i}") for i, h in enumerate(grams)])
+    g = F.array_min(F.array(*[f"g{i}" for i in range(len(grams))]))
+    win = win.withColumn("g", g)
+    at = F.coalesce(*[F.when(F.col(f"g{i}") == F.col("g"), F.lit(i)) for i in reversed(range(len(grams)))])
+    return win.select("doc_id", "row_key", "s", "w", "g", (F.col("s") + at).alias("p"))
 
 
 def repeated_lines(docs: DataFrame, run: int = 3, gram: int = 2) -> DataFrame:
@@ -38,11 +41,9 @@ def repeated_lines(docs: DataFrame, run: int = 3, gram: int = 2) -> DataFrame:
     places go on; around those places all windows that selected the gram are matched with the first place of the
     same window, which extends the match to both sides as far as it holds.
     """
-    text = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n")
-    lines = F.filter(F.split(text, "\n"), _has_word)
-    slim = docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("row_key"), F.transform(lines, lambda c: F.xxhash64(F.btrim(c, F.lit(" ")))).alias("keys")).where(F.size("keys") >= run)
-    win = slim.withColumn("x", F.explode(_windows(F.col("keys"), run, gram))).select("doc_id", "row_key", "x.s", "x.w", "x.g", "x.p")
-    win = table(win, "line-windows")
+    slim = docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("row_key"), _line_keys(F.col("text")).alias("keys"))
+    slim = table(slim, "line-keys")  # else the planner repeats the keys' expressions inside the windows'
+    win = table(_windows(slim, run, gram), "line-windows")
     places = win.select("g", "row_key", "p").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
     cand = table(win.join(places, "g", "left_semi").select("doc_id", "row_key", "s", "w"), "line-candidates")
     first = cand.groupBy("w").agg(F.min(F.struct("doc_id", "s")).alias("first"))
