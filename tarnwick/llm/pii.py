@@ -203,7 +203,7 @@ MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip,
 
 
 def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
-    """docs plus ``found`` (kinds of the replaced values, in order), ``safe_text`` and ``digest_values``.
+    """docs plus ``found`` (kinds of the replaced values, in order) and ``safe_text``.
 
     Values that look like e-mail addresses, IBANs, dates, US social security numbers, IPv4 addresses, North American
     phone numbers or payment cards are replaced if they are valid (checksums, ranges, calendar); all others stay.
