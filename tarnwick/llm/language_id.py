@@ -24,9 +24,17 @@ def _grams(text: str) -> np.ndarray:
     return (((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)) & np.uint32(BUCKETS - 1)
 
 
+def _least_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` different rows (lang, text), never more. A bound on the hash, from the count of rows, lets little
+    more than these leave the scan; copies are one row before anything is sorted."""
+    share = min(1.0, 1.2 * most / max(1, rows.count()))
+    hashed = rows.withColumn("h", F.xxhash64("text", "lang")).where(F.col("h") <= int((share - 0.5) * 2.0**64 - 1024))
+    return hashed.where("text is not null").groupBy("h").agg(F.first("lang").alias("lang"), F.first("text").alias("text")).orderBy("h").limit(most).drop("h")
+
+
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of trigram buckets, from the FIT_DOCS labelled rows (text, lang) with the
-    least hash. What reaches the driver is a count for each language and bucket at most."""
+    """Languages and their log probabilities of trigram buckets, from at most FIT_DOCS different labelled rows (text,
+    lang), those with the least hashes. What reaches the driver is a count for each language and bucket at most."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -38,8 +46,7 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(v)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": v[at]})
 
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
-    sample = rows.orderBy(F.xxhash64("text", "lang")).limit(FIT_DOCS).repartition(8)
+    sample = _least_hashes(labelled.where("lang is not null").select("lang", "text"), FIT_DOCS).repartition(8)
     counts = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
     langs = sorted(got.groupby("lang")["n"].sum().nlargest(MOST_LANGS).index)

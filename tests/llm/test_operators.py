@@ -115,6 +115,14 @@ def test_language_held_out(spark):
     assert got.where("text_lang = truth").count() / got.count() > 0.95
 
 
+def test_language_sample_is_bounded(spark):
+    rows = spark.range(3000).select(F.lit("en").alias("lang"), F.when(F.col("id") < 1000, "same").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    got = language_id._least_hashes(rows, 200).collect()
+    assert 100 < len(got) <= 200 and len({r["text"] for r in got}) == len(got)
+    assert language_id._least_hashes(rows, 5000).count() == 2001
+    assert language_id._least_hashes(rows.where("false"), 200).collect() == []
+
+
 # --- quality ---
 
 
