@@ -57,20 +57,21 @@ def pack(docs: DataFrame, budget: int = 16_384, n_buckets: int = 16) -> DataFram
     Length is the number of words. The histogram of lengths up to ``budget`` has at most budget + 1 rows whatever
     the input, and goes to the driver for the dynamic program. A bucket's batches hold budget // bound documents,
     each padded to the bound; only a bucket's last batch can have room left. A document longer than the budget is a
-    batch of its own, without padding, in bucket -1.
+    batch of its own, without padding, in bucket -1, numbered by the same ranks as the rest.
 
     docs: doc_id, text; other columns are ignored. Null text has length 0; a null doc_id is ranked like any other;
     repeated rows get places of their own; an empty table gives an empty result. Returns doc_id, length, bucket,
     bound, batch, slot, padding.
     """
     slim = table(docs.select("doc_id", n_words(F.col("text")).alias("length"), F.xxhash64("doc_id").alias("mix")), "pack-lengths")
-    hist = slim.where(F.col("length") <= budget).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
-    hist = sorted((r["length"], r["n"]) for r in hist)
+    found = slim.groupBy(F.least("length", F.lit(budget + 1)).alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
+    hist = sorted((r["length"], r["n"]) for r in found if r["length"] <= budget)
+    n_long = sum(r["n"] for r in found if r["length"] > budget)
     bounds = best_boundaries([h[0] for h in hist], [h[1] for h in hist], n_buckets) if hist else []
-    return _batches(slim, hist, bounds, budget)
+    return _batches(slim, hist, n_long, bounds, budget)
 
 
-def _batches(slim: DataFrame, hist: list[tuple[int, int]], bounds: list[int], budget: int) -> DataFrame:
+def _batches(slim: DataFrame, hist: list[tuple[int, int]], n_long: int, bounds: list[int], budget: int) -> DataFrame:
     bucket = F.lit(-1)
     for k in range(len(bounds) - 1, -1, -1):
         bucket = F.when(F.col("length") <= bounds[k], F.lit(k)).otherwise(bucket)
@@ -78,16 +79,15 @@ def _batches(slim: DataFrame, hist: list[tuple[int, int]], bounds: list[int], bu
     for length, n in hist:
         sizes[int(np.searchsorted(bounds, length))] += n
     lists = lambda v, kind: F.array(*[F.lit(x) for x in v]).cast(f"array<{kind}>")
-    known = F.get(lists(bounds, "bigint"), F.col("bucket"))
-    shards = F.coalesce(F.get(lists([max(1, -(-n // SHARD_ROWS)) for n in sizes], "bigint"), F.col("bucket")), F.lit(1))
-    rows = slim.withColumn("bucket", bucket)
-    short = rows.where("bucket >= 0").withColumn("shard", F.pmod(F.xxhash64("mix", F.lit(7)), shards))
-    counts = short.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
+    known = F.coalesce(F.get(lists(bounds, "bigint"), F.col("bucket")), F.col("length"))
+    in_shards = lambda n: max(1, -(-n // SHARD_ROWS))
+    shards = F.coalesce(F.get(lists([in_shards(n) for n in sizes], "bigint"), F.col("bucket")), F.lit(in_shards(n_long)))
+    rows = slim.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("mix", F.lit(7)), shards))
+    counts = rows.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("bucket", "shard").orderBy("mix", "doc_id", "length")
-    short = short.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["bucket", "shard"])
+    rows = rows.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["bucket", "shard"])
     rank, room = F.col("rank") + F.col("offset"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(known, F.lit(1)))).cast("long")
-    short = short.select("doc_id", "length", "bucket", known.alias("bound"), F.floor(rank / room).cast("long").alias("batch"), (rank % room).cast("long").alias("slot"))
-    long_ = rows.where("bucket < 0").select("doc_id", "length", "bucket", F.col("length").alias("bound"), F.xxhash64("mix", "length").alias("batch"), F.lit(0).cast("long").alias("slot"))
-    return short.unionByName(long_).withColumn("padding", F.col("bound") - F.col("length"))
+    out = rows.select("doc_id", "length", "bucket", known.alias("bound"), F.floor(rank / room).cast("long").alias("batch"), (rank % room).cast("long").alias("slot"))
+    return out.withColumn("padding", F.col("bound") - F.col("length"))

@@ -282,6 +282,15 @@ def test_batches(spark, monkeypatch):
     assert [r["doc_id"] for r in got if r["bucket"] == -1] == [1000]
 
 
+def test_long_rows_have_batches_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 4)
+    rows = [(1, "w " * 50)] * 2 + [(None, "w " * 50)] * 2 + [(i, "w " * (20 + i)) for i in range(30)] + [(99, "a b")]
+    got = packing.pack(frame(spark, rows), budget=10, n_buckets=2).collect()
+    assert sorted(r["batch"] for r in got if r["bucket"] == -1) == list(range(34))
+    assert all(r["slot"] == 0 and r["padding"] == 0 for r in got if r["bucket"] == -1)
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in got}) == len(rows)
+
+
 # --- tokens ---
 
 
