@@ -17,20 +17,31 @@ from tarnwick.llm.components import components
 CODE_BITS = 31
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Bands of a near-copy sketch and minima in each: of two texts whose shingle sets are alike by 0.8, all bands differ
+#: with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6.
+BANDS, BAND_ROWS = 24, 4
 
 
-def simhash(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles, repeats included; a bit is 1 if set in over half of the hashes."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # on bytes: A-Z only, and the six ASCII blanks
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()  # on bytes: A-Z only, and the six ASCII blanks
+
+
+def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; fewer than width words are one shingle."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(last)].tolist(), last.tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(last)].tolist(), last.tolist(), strict=True)], np.uint64)
+
+
+def simhash(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash of the word shingles, repeats included; a bit is 1 if set in over half of the hashes."""
+    hashes = _shingle_hashes(_words(text), width)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BLOCK):
         block = hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8)
@@ -104,11 +115,99 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one with the least doc_id; of rows that share
-    that id, one row. Columns and texts unchanged."""
-    found = near_duplicates(docs)
+def _band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: of the least values of its rows' hash functions over the shingles."""
+    rng = np.random.default_rng(42)
+    n = BANDS * BAND_ROWS
+    flip, odd = rng.integers(0, 1 << 63, (2, n, 1), np.uint64)
+    least = np.full(n, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[i : i + 1024] ^ flip) * (odd | np.uint64(1))).min(axis=1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, tie, component_id: the least doc_id that links reach. Two texts are linked if the sets of their word
+    shingles have a Jaccard similarity of at least ``least``, in lower case and whatever the blanks.
+
+    Texts of equal words are one node. Nodes that agree in a band of minimum hashes share a bucket. First each node is
+    held against one node of each of its buckets, then against all nodes of its buckets that are in another component
+    still; so a bucket of like texts needs no pairs, and yet no two of a bucket stay apart unless their exact
+    similarity, of whole shingle sets, is too small. Null and blank texts are one node; null doc_id as in near_duplicates().
+    """
+
+    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                words = _words(text)
+                hashes = np.unique(_shingle_hashes(words, width))
+                node = xxhash.xxh64_intdigest(b" ".join(words), 7)
+                out.append((node - (1 << 64) if node >> 63 else node, len(hashes), _band_keys(hashes) if words else []))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tie": pdf["tie"], "node": [x[0] for x in out], "n": [x[1] for x in out], "bands": [x[2] for x in out]})
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "set": [np.unique(_shingle_hashes(_words(t), width)).view(np.int64) for t in pdf["text"]]})
+
+    kind = docs.schema["doc_id"].dataType
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rows = slim.mapInPandas(sketches, "doc_id string, tie long, node long, n long, bands array<long>")
+    rows = table(rows.withColumn("doc_id", F.col("doc_id").cast(kind)), "near-sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("tie").alias("tie"), F.min("n").alias("n"))
+    nodes = table(nodes, "near-nodes")
+    buckets = rows.select("node", "n", F.explode("bands").alias("bucket")).groupBy("bucket", "node").agg(F.min("n").alias("n"))
+    buckets = table(buckets, "near-buckets")
+    mix = F.xxhash64("node", "bucket")
+    heads = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("nodes"), F.min(F.struct(mix.alias("mix"), F.col("node"), F.col("n"))).alias("head"))
+    heads = heads.where("nodes > 1").select("bucket", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
+    buckets = table(buckets.join(heads, "bucket"), "near-shared")
+
+    wanted = buckets.select("node").distinct().join(nodes, "node").select("node", "tie")
+    texts = docs.select(F.xxhash64("text").alias("tie"), "text").join(wanted, "tie").dropDuplicates(["node"])
+    sets = table(texts.select("node", "text").mapInPandas(shingles, "node long, set array<long>"), "near-sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        same = F.size(F.array_intersect("x", "y"))
+        return both.where(same + 1e-9 >= (F.size("x") + F.size("y") - same) * F.lit(least)).select("a", "b")
+
+    sizes = lambda m, n: F.least(m, n) + 1e-9 >= F.greatest(m, n) * F.lit(least)
+    first = buckets.where((F.col("node") != F.col("head")) & sizes(F.col("n"), F.col("head_n")))
+    first = table(first.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct(), "near-pairs")
+    found = table(alike(first), "near-links")
+    roots = components(found)
+    named = buckets.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = table(named, "near-named")
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
+    left = table(named.join(mixed, "bucket", "left_semi"), "near-mixed")
+    right = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    apart = (F.col("node") > F.col("b")) & (F.col("root") != F.col("root2")) & sizes(F.col("n"), F.col("n2"))
+    rest = left.join(right, (left["bucket"] == right["bucket"]) & apart).select(F.col("node").alias("a"), "b").distinct()
+    rest = alike(table(rest.join(first, ["a", "b"], "left_anti"), "near-rest"))
+    roots = components(found.unionByName(rest))
+
+    nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    nodes = table(nodes, "near-roots")
+    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = nodes.join(ids, "root").select("node", "component_id")
+    return rows.select("doc_id", "tie", "node").join(of, "node").select("doc_id", "tie", "component_id")
+
+
+def _one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("tie").alias("tie"))
     stay = least.select(F.xxhash64(F.col("component_id"), F.col("tie")).alias("row_key"))
     keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id"), F.xxhash64("text")))
     return keyed.join(stay, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*[keyed[c] for c in docs.columns])
+
+
+def near_dedup_stage(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near-duplicates, the one with the least doc_id; of rows that share
+    that id, one row. Columns and texts unchanged. Near-duplicates as in near_duplicates(): op4's 3 words and 2 bits."""
+    return _one_each(docs, near_duplicates(docs))
+
+
+def near_copies_stage(docs: DataFrame) -> DataFrame:
+    """The same with the groups of near_copies(): five-word shingles alike by at least 0.8."""
+    return _one_each(docs, near_copies(docs))

@@ -193,6 +193,37 @@ def test_links_find_all_close_pairs(spark):
     assert {tuple(sorted((r["a"], r["b"]))) for r in simhash.links(df).collect()} == want
 
 
+def test_near_copies_of_five_words(spark, corpus):
+    rng = random.Random(17)
+    rows = list(corpus)
+    for i in range(25):
+        base = [f"{x}{i}" for x in sentence(rng, 150).split()]
+        rows.append((500 + i, " ".join(base)))
+        for j in range(6):  # 1 to 6 words changed: similarity 0.93 to about 0.66
+            words = list(base)
+            for k in rng.sample(range(150), j + 1):
+                words[k] = f"n{j}{k}"
+            rows.append((600 + 10 * i + j, " ".join(words)))
+    grams = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in rows for w in [(t or "").lower().split()]}
+    root = {d: d for d in grams}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in grams:
+        for b in grams:
+            if a < b and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert got == {d: find(d) for d in grams}
+    out = simhash.near_copies_stage(frame(spark, [*rows, rows[0]]))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted({find(d) for d in grams})
+    assert simhash.near_copies(frame(spark, rows[:0])).collect() == []
+
+
 # --- line dedup ---
 
 

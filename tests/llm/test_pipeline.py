@@ -48,3 +48,18 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     counts = {x: lengths.count(x) for x in set(lengths)}
     bounds = packing.best_boundaries(sorted(counts), [counts[x] for x in sorted(counts)], 16)
     assert sum(r["padding"] for r in last) == sum(min(b for b in bounds if b >= x) - x for x in lengths)
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    rows = []
+    for i in range(10):
+        base = [f"{x}{i}" for x in sentence(rng, 150).split()]
+        edited = list(base)
+        for k in (30, 80):
+            edited[k] = f"other{k}"
+        rows += [(i, " ".join(base)), (100 + i, " ".join(edited))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, str(tmp_path)).collect()) == list(range(10))
