@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import table
 
-__all__ = ["BLANKS", "WORD", "documents", "join_spread", "key60", "let", "n_words", "table"]
+__all__ = ["BLANKS", "WORD", "documents", "join_spread", "key60", "let", "n_words", "packed", "table", "unpacked"]
 
 #: A word: a run of anything but the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs as one struct column ``_row`` beside the computed keys, so that no column of docs can clash with an inner one."""
+    return docs.select(F.struct("*").alias("_row"), *[c.alias(name) for name, c in keys.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs out of ``_row``, then the new ones; a column of docs named like a new one gives way to it."""
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], *[c.alias(name) for name, c in new.items()])
+
+
 def join_spread(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", spread: int = 64) -> DataFrame:
     """rows joined with small, which has one row per key (null is a key too): small is repeated ``spread`` times and
     rows are dealt by key and a share of the hash column ``by``, so a key with a third of all rows has 64 tasks."""

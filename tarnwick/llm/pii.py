@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import let
+from tarnwick.llm.common import let, packed, unpacked
 
 ROUNDS = 10
 #: First day and length of the range of dates: 400 years, a whole Gregorian cycle of 146,097 = 189 * 773 days.
 FIRST_DAY, DAYS, DAY_SPLIT = "1800-01-01", 146_097, 773
 
-#: By kind, in the order in which they are tried.
+#: By kind, in the order in which they are tried. All repetitions are bounded: no text, however long, makes the matcher
+#: recurse deeply or read the same stretch again and again. An address has 64 characters before the @ and 16 labels at most.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,16}[A-Za-z]{2,24}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
@@ -182,16 +183,20 @@ def _date(key: str, m: Column) -> Column:
         day = lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * DAY_SPLIT + s["r"]).cast("int"))
         return F.when((x >= 0) & (x < DAYS), let(new, lambda s: write(day(s))))
 
-    def us(p: Column) -> Column:
-        iso = F.concat_ws("-", F.element_at(p, 3), F.lpad(F.element_at(p, 1), 2, "0"), F.lpad(F.element_at(p, 2), 2, "0"))
-        return from_iso(iso, lambda d: F.date_format(d, "MM/dd/yyyy"))
+    def parted(at: dict[str, int], separator: str):
+        """Day, month and year at these places; a day or month of one digit has no leading zero afterwards either."""
 
-    def eu(p: Column) -> Column:
-        iso = F.concat_ws("-", F.element_at(p, 3), F.lpad(F.element_at(p, 2), 2, "0"), F.lpad(F.element_at(p, 1), 2, "0"))
-        return from_iso(iso, lambda d: F.date_format(d, "dd.MM.yyyy"))
+        def one(p: Column) -> Column:
+            x = {k: F.element_at(p, i) for k, i in at.items()}
+            iso = F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0"))
+            part = lambda day, k, wide: F.when(F.length(x[k]) == 1, F.date_format(day, wide[0])).otherwise(F.date_format(day, wide))
+            texts = lambda day: {"d": part(day, "d", "dd"), "m": part(day, "m", "MM"), "y": F.date_format(day, "yyyy")}
+            return from_iso(iso, lambda day: F.concat_ws(separator, *[texts(day)[k] for k in sorted(at, key=at.get)]))
+
+        return one
 
     iso = from_iso(m, lambda d: F.date_format(d, "yyyy-MM-dd"))
-    return F.when(m.contains("-"), iso).when(m.contains("/"), let(F.split(m, "/"), us)).otherwise(let(F.split(m, r"\."), eu))
+    return F.when(m.contains("-"), iso).when(m.contains("/"), let(F.split(m, "/"), parted({"m": 1, "d": 2, "y": 3}, "/"))).otherwise(let(F.split(m, r"\."), parted({"d": 1, "m": 2, "y": 3}, ".")))
 
 
 def _email(key: str, m: Column) -> Column:
@@ -208,8 +213,10 @@ def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     Values that look like e-mail addresses, IBANs, dates, US social security numbers, IPv4 addresses, North American
     phone numbers or payment cards are replaced if they are valid (checksums, ranges, calendar); all others stay.
     Each kind's format is permuted onto itself, so different values get different pseudonyms and equal values the
-    same one in every document, whatever their separators. Null text stays null and has nothing found; all other
-    columns pass through. Repeated rows give repeated results; an empty table gives an empty result.
+    same one in every document, whatever their separators. Dates keep order, separators and the padding of each part.
+
+    Null text stays null and has nothing found; other columns pass through, nulls and repeated rows too; a column of
+    docs named ``found`` or ``safe_text`` gives way to the new one. An empty table gives an empty result.
     """
 
     def one(m: Column) -> Column:
@@ -220,10 +227,10 @@ def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
             kind, new = F.when(is_it, F.lit(name)).otherwise(kind), F.when(is_it, MAKERS[name](key, m)).otherwise(new)
         return F.struct(kind.alias("kind"), new.alias("new"), m.alias("old"))
 
-    out = docs.withColumn("hits", F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    out = packed(docs, text=F.col("text"), hits=F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
     out = out.withColumn("made", F.transform("hits", one))
     between = F.split("text", PATTERN, -1)
     parts = F.zip_with(between, F.transform("made", lambda x: F.coalesce(x["new"], x["old"])), lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
     kinds = F.transform(F.filter("made", lambda x: x["new"].isNotNull()), lambda x: x["kind"])
-    out = out.withColumn("found", kinds).withColumn("safe_text", F.when(F.size("found") > 0, F.array_join(parts, "")).otherwise(F.col("text")))
-    return out.select(*[out[c] for c in docs.columns], "found", "safe_text")
+    out = out.withColumn("kinds", kinds).withColumn("safe", F.when(F.size("kinds") > 0, F.array_join(parts, "")).otherwise(F.col("text")))
+    return unpacked(out, docs, found=F.col("kinds"), safe_text=F.col("safe"))

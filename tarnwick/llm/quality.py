@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import BLANKS, WORD, key60, n_words, table
+from tarnwick.llm.common import BLANKS, WORD, packed, table, unpacked
 
 SYMBOLS = "#*$%&|<>"
 #: From so many different repeated 3-word windows on, positions are found by sorting instead of by lookup.
@@ -39,9 +39,11 @@ def _repeat_words(n: Column, h: Column) -> Column:
 
 
 def line_frame(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, host, tie, the base figures, and ``lines``: key and words of each line with a word.
+    """One row per document: rid (unique), doc_id, host, tie, the base figures, ``lines``: key and words of each line with
+    a word, and ``content``: a hash of all keys in order.
 
-    Lines are normalised before they are hashed: lower case, digits as 0, blanks as one space.
+    Lines are normalised before they are hashed: lower case, digits as 0, blanks as one space. The key holds the host
+    too, so that equal lines of two hosts have different keys.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", F.col("source").alias("host"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), F.split(text, "\n").alias("rows"))
@@ -53,8 +55,9 @@ def line_frame(docs: DataFrame) -> DataFrame:
     s = F.col("sorted")
     base = base.withColumn("again", F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
     norm = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0")
-    keyed = F.transform(F.filter(F.split(norm, "\n"), has_word), lambda c: F.struct(key60(F.btrim(c, F.lit(" "))).alias("k"), F.regexp_count(c, F.lit(WORD)).alias("n")))
+    keyed = F.transform(F.filter(F.split(norm, "\n"), has_word), lambda c: F.struct(F.xxhash64("host", F.btrim(c, F.lit(" "))).alias("k"), F.regexp_count(c, F.lit(WORD)).alias("n")))
     return base.select(
+        F.monotonically_increasing_id().alias("rid"),
         "doc_id",
         "host",
         F.xxhash64("text").alias("tie"),
@@ -67,53 +70,52 @@ def line_frame(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = 10, rate: float = 0.001) -> DataFrame:
-    """(host, k) of the lines that more than max(min_docs, rate * the host's documents) distinct documents share.
+def frequent_lines(lines: DataFrame, min_docs: int = 10, rate: float = 0.05) -> DataFrame:
+    """(k) of the lines that more than max(min_docs, rate * the host's documents) distinct documents of a host share.
 
-    Documents count by content: copies of one document, near copies too, share most lines, and no line is boilerplate
-    for that. Two documents count as one for a line if the smallest of their other lines' keys agrees, and a line is
-    frequent only if over a quarter of its documents differ in that way.
+    Documents with equal sequences of normalised lines are one document, in both counts: exact copies of a text make
+    no line boilerplate. Hot hosts and large groups of copies are combined before each shuffle; a key is a 64-bit hash.
     """
-    keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["k"])))
-    each = lines.select("host", keys.alias("keys")).select("host", F.get("keys", F.lit(0)).alias("m1"), F.coalesce(F.get("keys", F.lit(1)), F.lit(-1)).alias("m2"), F.explode("keys").alias("k"))
-    each = each.select("host", "k", F.when(F.col("k") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("rest"))
-    contents = each.groupBy("host", "k", "rest").agg(F.count(F.lit(1)).alias("n"))
-    counts = contents.groupBy("host", "k").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("docs"))
-    counts = counts.where((F.col("contents") > min_docs) & (4 * F.col("contents") > F.col("docs")))
-    hosts = lines.groupBy("host").agg(F.count(F.lit(1)).alias("all")).withColumnRenamed("host", "h")
-    out = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("contents") > F.col("all") * F.lit(rate))
-    return out.select("host", "k")
-
-
-def quality(docs: DataFrame, min_words: int = 50, min_docs: int = 10, rate: float = 0.001, min_left: float = 0.5) -> DataFrame:
+    keys = F.transform("lines", lambda x: x["k"])
+    host = F.xxhash64("host").alias("host")
+    one = lines.select(host, F.xxhash64(keys).alias("content"), F.array_distinct(keys).alias("keys")).groupBy("host", "content").agg(F.first("keys").alias("keys"))
+    hosts = one.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    counts = one.select("host", F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("docs"), F.min("host").alias("host"))
+    out = counts.where(F.col("docs") > min_docs).join(hosts, "host")
+    return out.where(F.col("docs") > F.col("all") * F.lit(rate)).select("k")
+
+
+def quality(docs: DataFrame, min_words: int = 50, min_docs: int = 10, rate: float = 0.05, min_left: float = 0.5, spread: int = 16) -> DataFrame:
     """Base figures and verdict of every document.
 
     base_failed: fewer than min_words words, or more than half of them in repeated 3-word windows. kept: not
     base_failed, and at least min_left of the words are left once the host's frequent lines are removed.
 
-    docs: doc_id, text, source (the host); other columns are ignored. Null text counts as empty, null source is a
-    host of its own; repeated rows give repeated results; an empty table gives an empty result.
+    docs: doc_id, text, source (the host); other columns are ignored, whatever their names. Null text counts as empty,
+    null source is a host of its own, null ids are ids; repeated rows give repeated results; an empty table gives an
+    empty result. A frequent line is hot by nature: its rows are dealt over ``spread`` tasks.
     """
     lines = table(line_frame(docs), "quality-lines")
-    often = frequent_lines(lines, min_docs, rate)
-    row = ["doc_id", "tie", "host"]
-    flat = lines.select("host", F.xxhash64(*row).alias("row_key"), F.explode("lines").alias("x")).select("row_key", "host", F.col("x.k").alias("k"), F.col("x.n").alias("n"))
-    per_row = flat.groupBy("row_key", "host", "k").agg(F.sum("n").alias("n"))
-    hit = per_row.join(often.withColumnRenamed("host", "h"), (per_row["k"] == often["k"]) & F.col("host").eqNullSafe(F.col("h"))).groupBy("row_key").agg(F.sum("n").alias("lost"))
-    return _verdict(lines.withColumn("row_key", F.xxhash64(*row)).drop("lines"), hit, min_words, min_left)
+    often = table(frequent_lines(lines, min_docs, rate), "quality-frequent")
+    flat = lines.select("rid", F.explode("lines").alias("x")).select("rid", F.col("x.k").alias("k"), F.col("x.n").alias("n"), F.pmod(F.xxhash64("rid"), F.lit(spread)).cast("int").alias("part"))
+    dealt = often.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    hit = flat.join(dealt, ["k", "part"]).groupBy("rid").agg(F.sum("n").alias("lost"))
+    return _verdict(lines.drop("lines"), hit, min_words, min_left)
 
 
 def _verdict(rows: DataFrame, hit: DataFrame, min_words: int, min_left: float) -> DataFrame:
-    same = rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows"))  # identical rows counted their lines together
-    hit = hit.join(same, "row_key").select("row_key", (F.col("lost") / F.col("rows")).cast("long").alias("lost"))
-    out = rows.join(hit, "row_key", "left").withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("long"))
+    out = rows.join(hit, "rid", "left").withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words") >= F.col("n_words") * F.lit(min_left)
     return out.select("doc_id", "host", "tie", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & left).alias("kept"), "n_removed_words")
 
 
 def quality_stage(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that quality() rejects; columns and texts unchanged."""
+    """docs without those that quality() rejects; columns and texts unchanged, whatever further columns are named.
+
+    Null texts and texts without words are rejected (too few words); rows of one doc_id are judged each by its own
+    text; repeated rows stay or go together; an empty table stays empty.
+    """
     bad = quality(docs, **options).where("not kept").select(F.xxhash64("doc_id", "tie", "host").alias("row_key")).distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "source"))
-    return keyed.join(bad, "row_key", "left_anti").select(*[keyed[c] for c in docs.columns])
+    keyed = packed(docs, row_key=F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "source"))
+    return unpacked(keyed.join(bad, "row_key", "left_anti"), docs)

@@ -128,24 +128,23 @@ WITH d AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM again, range(0, 3) t(k) GROUP BY doc_id
 ), rows_ AS (
-  SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d
+  SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d
 ), lines AS (
-  SELECT doc_id, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT doc_id, host, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS norm
   FROM rows_ WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM lines GROUP BY doc_id
-), k AS (
-  SELECT DISTINCT doc_id, host, ('0x' || substr(md5(norm), 1, 15))::BIGINT AS k FROM lines
-), low AS (
-  SELECT doc_id, min(k) AS m1, coalesce((list_sort(list(k)))[2], -1) AS m2 FROM k GROUP BY doc_id
+), content AS (
+  SELECT doc_id, host, md5(string_agg(norm, chr(10) ORDER BY pos)) AS content FROM lines GROUP BY doc_id, host
+), hosts AS (
+  SELECT host, count(DISTINCT coalesce(content, '')) AS total FROM (SELECT DISTINCT doc_id, host FROM d) x LEFT JOIN content c USING (doc_id, host) GROUP BY host
 ), freq AS (
-  SELECT host, k, count(*) AS docs, count(DISTINCT CASE WHEN k = m1 THEN m2 ELSE m1 END) AS contents FROM k JOIN low USING (doc_id) GROUP BY host, k
+  SELECT l.host, norm, count(DISTINCT content) AS docs FROM lines l JOIN content USING (doc_id) GROUP BY l.host, norm
 ), often AS (
-  SELECT host, k FROM freq JOIN (SELECT host, count(*) AS total FROM d GROUP BY host) USING (host)
-  WHERE contents > 10 AND 4 * contents > docs AND contents > total * 0.001
+  SELECT f.host, norm FROM freq f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host WHERE docs > 10 AND docs > total * 0.05::DOUBLE
 ), lost AS (
-  SELECT doc_id, sum(n)::BIGINT AS lost FROM (SELECT *, ('0x' || substr(md5(norm), 1, 15))::BIGINT AS k FROM lines) JOIN often USING (host, k) GROUP BY doc_id
+  SELECT doc_id, sum(n)::BIGINT AS lost FROM lines l JOIN often o ON l.norm = o.norm AND l.host IS NOT DISTINCT FROM o.host GROUP BY doc_id
 ), base AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,

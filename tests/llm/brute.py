@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from datetime import date, timedelta
 from itertools import combinations
 
 import xxhash
@@ -91,3 +93,128 @@ def luhn(digits: str) -> bool:
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+# --- pseudonyms, one value at a time ---
+
+
+def _round(key: str, tweak: str, i: int, x) -> int:
+    return int(hashlib.sha256(f"{key}|{tweak}|{i}|{x}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(key: str, tweak: str, left: int, right: int, a: int, b: int) -> tuple[int, int]:
+    for i in range(10):
+        if i % 2 == 0:
+            left = (left + _round(key, tweak, i, right)) % a
+        else:
+            right = (right + _round(key, tweak, i, left)) % b
+    return left, right
+
+
+def digits_permuted(key: str, tweak: str, d: str) -> str:
+    n, la = len(d), len(d) // 2
+    x, y = feistel(key, f"{tweak}:{n}", int(d[:la] or 0), int(d[la:]), 10**la, 10 ** (n - la))
+    return (str(x).zfill(la) if la else "") + str(y).zfill(n - la)
+
+
+def filled(layout: str, chars: str, slot: str) -> str:
+    rest = iter(chars)
+    return "".join(next(rest) if re.match(slot, c) else c for c in layout)
+
+
+def text_permuted(key: str, s: str) -> str:
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+
+    def shifted(part: str, other: str, i: int) -> str:
+        stream = hashlib.sha256(f"{key}|email|{len(s)}|{i}|{other}".encode()).hexdigest()
+        out = []
+        for j, c in enumerate(part):
+            add = int(stream[j % 30 * 2 : j % 30 * 2 + 4], 16)
+            for first, n in (("a", 26), ("A", 26), ("0", 10)):
+                if ord(first) <= ord(c) < ord(first) + n:
+                    c = chr(ord(first) + (ord(c) - ord(first) + add) % n)
+                    break
+            out.append(c)
+        return "".join(out)
+
+    for i in range(10):
+        if i % 2 == 0:
+            left = shifted(left, right, i)
+        else:
+            right = shifted(right, left, i)
+    return left + right
+
+
+def mod97(s: str) -> int:
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def pseudonym(key: str, kind: str, m: str) -> str | None:
+    d = re.sub("[^0-9]", "", m)
+    if kind == "email":
+        name, host = m.split("@")
+        return text_permuted(key, name) + "@" + host
+    if kind == "card":
+        if not luhn(d):
+            return None
+        body = d[0] + digits_permuted(key, "card", d[1:-1])
+        return filled(m, body + next(c for c in "0123456789" if luhn(body + c)), "[0-9]")
+    if kind == "iban":
+        s = m.replace(" ", "")
+        body = s[4:]
+        own = re.sub("[^0-9]", "", body)
+        if mod97(body + s[:4]) != 1 or not 15 <= len(s) <= 34 or not own:
+            return None
+        body = filled(body, digits_permuted(key, "iban", own), "[0-9]")
+        return filled(m, s[:2] + str(98 - mod97(body + s[:2] + "00")).zfill(2) + body, "[A-Z0-9]")
+    if kind == "phone":
+        head, ten = d[:-10], d[-10:]
+        area, exchange, line = int(ten[:3]), int(ten[3:6]), int(ten[6:])
+        if area < 200 or exchange < 200:
+            return None
+        x, y = feistel(key, "phone", (area - 200) * 800 + exchange - 200, line, 640_000, 10_000)
+        return filled(m, f"{head}{x // 800 + 200:03}{x % 800 + 200:03}{y:04}", "[0-9]")
+    if kind == "ssn":
+        area, group, serial = (int(x) for x in m.split("-"))
+        if not 1 <= area <= 899 or area == 666 or not group or not serial:
+            return None
+        x, y = feistel(key, "ssn", (area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 898 * 99, 9999)
+        area = x // 99 + 1
+        return f"{area + (area >= 666):03}-{x % 99 + 1:02}-{y + 1:04}"
+    if kind == "ip":
+        p = m.split(".")
+        if any(int(x) > 255 or (x[0] == "0" and len(x) > 1) for x in p):
+            return None
+        a, b, c, e = map(int, p)
+        x, y = feistel(key, "ip", a * 256 + b, c * 256 + e, 65_536, 65_536)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    sep = next(c for c in "-/." if c in m)
+    p = m.split(sep)
+    order = {"-": (0, 1, 2), "/": (2, 0, 1), ".": (2, 1, 0)}[sep]
+    try:
+        n = (date(*(int(p[i]) for i in order)) - date(1800, 1, 1)).days
+    except ValueError:
+        return None
+    if not 0 <= n < 146_097:
+        return None
+    x, y = feistel(key, "date", n // 773, n % 773, 189, 773)
+    day = date(1800, 1, 1) + timedelta(days=x * 773 + y)
+    out = [""] * 3
+    for i, v in zip(order, (day.year, day.month, day.day), strict=True):
+        out[i] = str(v).zfill(len(p[i]))
+    return sep.join(out)
+
+
+def pseudonyms(key: str, text: str | None, pattern: str, kinds: dict[str, str]) -> tuple[str | None, list[str]]:
+    """The text with its values replaced, and their kinds; which stretches count as values is told by the patterns."""
+    found = []
+
+    def one(m) -> str:
+        kind = next(k for k, p in kinds.items() if re.fullmatch(p, m[0], re.ASCII))
+        new = pseudonym(key, kind, m[0])
+        if new is None:
+            return m[0]
+        found.append(kind)
+        return new
+
+    return (None if text is None else re.sub(pattern, one, text, flags=re.ASCII)), found

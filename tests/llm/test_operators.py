@@ -162,6 +162,20 @@ def test_quality_rejects_boilerplate_and_keeps_copies(spark):
     assert out.columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize(("shared", "own"), [(40, 1), (20, 2), (10, 2), (2, 1), (1, 0)])
+def test_quality_rejects_documents_of_shared_lines(spark, shared, own):
+    rng = random.Random(16)
+    menu = [sentence(rng, 55 if shared < 3 else 12) for _ in range(shared)]
+    pick = lambda: rng.sample(menu, max(1, shared - 3)) if shared > 3 else menu
+    hollow = [(i, "\n".join([*pick(), *(f"own {i} {k} {sentence(rng, 4)}" for k in range(own or i % 20))]), "h") for i in range(200)]
+    clean = [(1000 + i, "\n".join(sentence(rng, 12) for _ in range(6)), "h") for i in range(20)]
+    copies = [(2000 + i, clean[0][1].upper(), "h") for i in range(100)]
+    got = {r["doc_id"]: r for r in quality.quality(frame(spark, hollow + clean + copies)).collect()}
+    depleted = [i for i, t, _ in hollow if own or len(t.split()) < 2 * 55]
+    assert depleted and not any(got[i]["kept"] for i in depleted)
+    assert all(got[i]["kept"] and got[i]["n_removed_words"] == 0 for i, *_ in clean + copies)
+
+
 # --- simhash ---
 
 
@@ -408,6 +422,31 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert {r["safe_text"] for r in pii.pseudonyms(frame(spark, [(1, texts[1])]), "other key").collect()} != {t[1]}
 
 
+def test_pseudonyms_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9]' and length(text) < 8000").select("doc_id", "text")
+    made = ["born 1/2/1984 or 3.4.1990 or 01/2/1984, 12/11/1850; 31.2.1999", "x@a.b.co.uk. A@b", "0.0.0.0 1.2.3.4.5 01.2.3.4", "ssn 899-99-9999 665-12-3456 667-12-3456 000-11-2222"]
+    rng = random.Random(18)
+    for _ in range(60):
+        n = rng.choice([13, 15, 16, 19])
+        body = "".join(rng.choice("0123456789") for _ in range(n - 1))
+        card = body + next(c for c in "0123456789" if brute.luhn(body + c))
+        made.append(f"{card[:4]} {card[4:]}; +1 {rng.randint(150, 999)}-{rng.randint(150, 999)}-{rng.randint(0, 9999):04} {rng.randint(1, 13)}/{rng.randint(1, 31)}/{rng.randint(1790, 2210)} {rng.randint(0, 300)}.{rng.randint(0, 260)}.1.9 Qx{n}._%{rng.randint(0, 9)}@h-{n}.org")
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    rows = pii.pseudonyms(docs, "k").collect()
+    assert sum(len(r["found"]) for r in rows) > 200
+    for r in rows:
+        assert (r["safe_text"], list(r["found"])) == brute.pseudonyms("k", r["text"], pii.PATTERN, pii.PATTERNS)
+    safe = {r["text"]: r["safe_text"] for r in rows}[made[0]]
+    assert re.fullmatch(r"born \d{1,2}/\d{1,2}/\d{4} or \d{1,2}\.\d{1,2}\.\d{4} or \d\d/\d{1,2}/\d{4}, \d\d/\d\d/\d{4}; 31\.2\.1999", safe) and not re.search(r"[ ./]0\d?[./]", safe.split(" or 0")[0].split(" or ")[0])
+
+
+def test_pseudonyms_of_hostile_texts(spark):
+    n = 1 << 20
+    hostile = ["x@" + "a." * (n // 2) + "com", "a." * (n // 2) + "@", "a" * n + "@b.c", "1" * n, "1-" * (n // 2), "GB12" + " ABCD" * (n // 5), "1." * (n // 2), "1/" * (n // 2), "@" * n, "(" * n, "+1 " * (n // 3)]
+    rows = pii.pseudonyms(frame(spark, list(enumerate(hostile))), "k").select("doc_id", F.length("safe_text").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows if r["doc_id"] != 6} == {i: len(t) for i, t in enumerate(hostile) if i != 6}  # 6: addresses, which vary in length
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(90).select(F.floor(F.col("id") / 9).alias("l"), (F.col("id") % 9).alias("r"))
     got = df.select(pii.feistel("k", F.lit("t"), F.col("l"), F.col("r"), F.lit(10), F.lit(9)).alias("x")).select("x.l", "x.r")
