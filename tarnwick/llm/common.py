@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.session import table
 
-__all__ = ["BLANKS", "WORD", "documents", "join_spread", "key60", "let", "n_words", "packed", "table", "unpacked"]
+__all__ = ["BLANKS", "WORD", "documents", "join_spread", "key60", "let", "n_words", "packed", "same_row", "table", "unpacked"]
 
 #: A word: a run of anything but the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +45,11 @@ def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], *[c.alias(name) for name, c in new.items()])
 
 
+def same_row(names: dict[str, str]) -> Column:
+    """Condition: each left column is the same as the right one, nulls too."""
+    return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()])
+
+
 def join_spread(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", spread: int = 64) -> DataFrame:
     """rows joined with small, which has one row per key (null is a key too): small is repeated ``spread`` times and
     rows are dealt by key and a share of the hash column ``by``, so a key with a third of all rows has 64 tasks."""

@@ -165,12 +165,18 @@ WITH d AS (
   SELECT doc_id, pos, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS norm,
          row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS s
   FROM r WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), n AS (
+  SELECT *, len(string_split(norm, ' ')) AS n FROM l
+), near AS (
+  SELECT doc_id, s, norm, n, lead(norm) OVER o AS norm2, lead(n) OVER o AS n2, lead(norm, 2) OVER o AS norm3 FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY s)
 ), win AS (
-  SELECT doc_id, s, norm || chr(10) || lead(norm) OVER o || chr(10) || lead(norm, 2) OVER o AS w FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY s)
+  SELECT doc_id, s, CASE WHEN n >= 50 THEN 1 WHEN n + n2 >= 50 THEN 2 ELSE 3 END AS size,
+         CASE WHEN n >= 50 THEN norm WHEN n + n2 >= 50 THEN norm || chr(10) || norm2 ELSE norm || chr(10) || norm2 || chr(10) || norm3 END AS w
+  FROM near
 ), later AS (
-  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS n FROM win WHERE w IS NOT NULL) WHERE n > 1
+  SELECT doc_id, s, size FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS n FROM win WHERE w IS NOT NULL) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, s + k AS s FROM later, range(0, 3) t(k)
+  SELECT DISTINCT doc_id, s + k AS s FROM later, range(0, 3) t(k) WHERE k < size
 ), lines AS (
   SELECT doc_id, count(*)::BIGINT AS n_lines FROM l GROUP BY doc_id
 ), out AS (

@@ -55,8 +55,8 @@ def without_repeats(docs: list[tuple], window: int) -> dict:
     return out
 
 
-def kept_lines(docs: list[tuple], run: int) -> dict:
-    """doc_id -> text without later repeats of runs of lines; docs in order of doc_id."""
+def kept_lines(docs: list[tuple], run: int = 3, min_words: int = 50) -> dict:
+    """doc_id -> text without later repeats of runs of lines, or of fewer lines of min_words words; docs in order of doc_id."""
     norm = lambda line: " ".join(line.lower().split())
     seen: set[tuple] = set()
     out = {}
@@ -65,11 +65,14 @@ def kept_lines(docs: list[tuple], run: int) -> dict:
         at = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
         keys = [norm(lines[i]) for i in at]
         gone = set()
-        for s in range(len(keys) - run + 1):
-            k = tuple(keys[s : s + run])
-            if k in seen:
-                gone |= {at[j] for j in range(s, s + run)}
-            seen.add(k)
+        for s in range(len(keys)):
+            for size in range(1, run + 1):
+                k = tuple(keys[s : s + size])
+                if len(k) == size and (size == run or sum(len(x.split()) for x in k) >= min_words):
+                    if k in seen:
+                        gone |= {at[j] for j in range(s, s + size)}
+                    seen.add(k)
+                    break
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 

@@ -241,21 +241,57 @@ def test_near_copies_of_five_words(spark, corpus):
 # --- line dedup ---
 
 
-def test_line_dedup(spark, corpus):
+def line_rows(corpus):
     rng = random.Random(9)
-    lines = [sentence(rng, 6) for _ in range(30)]
+    lines = [sentence(rng, 30 if i % 7 == 3 else 6) for i in range(30)]
+    long = [sentence(rng, 60) for _ in range(3)]
     made = []
     for i in range(80):
         at = rng.randrange(24)
         body = lines[at : at + rng.randint(1, 6)]
-        made.append((600 + i, "\n".join([sentence(rng, 4), *(x.upper() if rng.random() < 0.3 else x + "  " for x in body), "", sentence(rng, 3), *body[:2]])))
-    rows = [r for r in corpus + made]
+        made.append((600 + i, "\n".join([sentence(rng, 4), *(x.upper() if rng.random() < 0.3 else x + "  " for x in body), "", sentence(rng, 3), *body[:2], *rng.sample(long, i % 2)])))
+    return [*corpus, *made, (800, long[0]), (801, " " + long[0]), (802, "\n".join(lines[3:4] * 3)), (803, "\n".join(["a b"] * 9))]
+
+
+def test_line_dedup(spark, corpus):
+    rows = line_rows(corpus)
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    want = brute.kept_lines(rows, 3)
+    want = brute.kept_lines(rows)
+    assert got[801]["kept_text"] == "" and got[803]["n_removed"] > 0
     for d, t in rows:
         assert got[d]["kept_text"] == (None if t is None else want[d])
     out = line_dedup.line_dedup_stage(frame(spark, rows))
     assert out.columns == frame(spark, rows).columns and out.where("length(text) <> n_chars").where("text is not null").count() == 0
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {d: None if t is None else want[d] for d, t in rows if not (t or "").strip() or want[d].strip()}
+
+
+def test_line_dedup_needs_extension(spark, corpus, monkeypatch):
+    """With matches cut to the selected lines themselves, windows around them are not covered."""
+    rows = line_rows(corpus)
+    met = line_dedup._extend
+    monkeypatch.setattr(line_dedup, "_extend", lambda r, f, run: met(r.withColumn("c0", F.lit(None).cast("long")).withColumn("c3", F.lit(None).cast("long")), f, run))
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    want = brute.kept_lines(rows)
+    assert sum(got[d] != want[d] for d, t in rows if t is not None) > 10
+
+
+def test_winnowing_selects_few_and_the_same(spark):
+    rng = random.Random(19)
+    lines = [sentence(rng, 6) for _ in range(300)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[100:140], "x y"]))]
+    slim = frame(spark, rows).select("doc_id", F.lit(1).cast("long").alias("tie"), line_dedup._lines(F.col("text")).alias("lines"))
+    got = [[r["p"] for r in line_dedup.minima(slim, 3, 50).where(f"doc_id = {d}").collect()] for d in (1, 2)]
+    assert 100 < len(got[0]) < 230 and max(b - a for a, b in zip(sorted(got[0]), sorted(got[0])[1:], strict=False)) <= 2
+    assert {p for p in got[0] if 101 <= p < 137} == {p + 100 for p in got[1] if 1 <= p < 37}
+
+
+def test_line_dedup_ties_and_repeats(spark):
+    run = "\n".join(f"line {i} here" for i in range(4))
+    rows = [(1, run + "\nfirst"), (1, run + "\nsecond"), (1, run + "\nsecond"), (None, run), (None, None), (2, None)]
+    got = sorted((str(r["doc_id"]), str(r["kept_text"])) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == sorted([("1", "first"), ("1", "second"), ("1", "second"), ("None", run), ("None", "None"), ("2", "None")])
+    got = sorted(r["kept_text"] for r in line_dedup.dedup_lines(frame(spark, rows[:3])).collect())
+    assert got in (["first", run + "\nsecond", run + "\nsecond"], sorted([run + "\nfirst", "second", "second"]))
 
 
 # --- fingerprints ---

@@ -30,7 +30,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     want = sorted((d, t) for d, t in rows if d in kept)
     assert got[0] == want and {d for d, _ in want} >= set(range(80)) - {d for d, t in rows if t and len(t.split()) < 50}
 
-    lines = brute.kept_lines(want, 3)
+    lines = brute.kept_lines(want)
     want = sorted((d, lines[d]) for d, t in want if lines[d].strip())
     assert got[1] == want
 
