@@ -52,7 +52,7 @@ def same_row(names: dict[str, str]) -> Column:
 
 def join_spread(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", spread: int = 64) -> DataFrame:
     """rows joined with small, which has one row per key (null is a key too): small is repeated ``spread`` times and
-    rows are dealt by key and a share of the hash column ``by``, so a key with a third of all rows has 64 tasks."""
+    rows are dealt by key and a share of the number ``by``, different for each row, so a key with a third of all rows has 64 tasks."""
     right = small.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.pmod(F.col(by), F.lit(spread)) == F.col("_part"))
     return rows.join(right, on, how).drop("_key", "_part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import join_spread, key60, n_words, table
+from tarnwick.llm.common import join_spread, key60, n_words, packed, same_row, table, unpacked
 
 #: Buckets of the sampling order, per source, in which the cut is searched.
 ORDER_BUCKETS = 65_536
@@ -45,7 +45,7 @@ def _cuts(cands: DataFrame, left: DataFrame) -> DataFrame:
 def _take(cands: DataFrame, left: DataFrame, nearest: bool) -> DataFrame:
     """cands with ``won``: in sampling order, rows are taken while the words left last (nearest: the row that
     crosses the end too, if more than half of it fits). Only the rows of one order bucket per source are sorted."""
-    marked = join_spread(cands, _cuts(cands, left), "source", "tie", "left")
+    marked = join_spread(cands, _cuts(cands, left), "source", "rid", "left")
     inside = marked.where(F.col("bucket") == F.col("cut"))
     order = Window.partitionBy("source").orderBy("q", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum("size").over(order) - (F.col("size") / 2 if nearest else F.lit(0))
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_rep
     its source, at most max_repeat times). Its whole copies are certain; for the fraction f that remains it is ranked
     by random odds over inclusion odds, u/(1-u) : f/(1-f), and the ranking's head that fills the words its source
     still lacks is taken. What the first too large document leaves open is filled once more by smaller ones further
-    down the ranking. Random numbers come from doc_id and seed, so reruns agree.
+    down the ranking, which favours small documents, by no more words than that document has. Random numbers come from doc_id and seed, so reruns agree.
 
     docs: doc_id, source, text (other columns are ignored). Returns one row per input row: doc_id, source, tie
     (a hash of the text), size, source_size, target, copies, taken. Null text has size 0 and one expected copy like
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_rep
     number and are told apart by their text. An empty table gives an empty result.
     """
     value = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), value.alias("value"))
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), value.alias("value"), F.monotonically_increasing_id().alias("rid"))
     slim = table(slim, "mix-sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("value") * F.col("size")).alias("mass"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, max_repeat)
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_rep
 
     u = (key60(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) + F.lit(0.5)) / F.lit(float(2**60))
     e = F.least(F.col("rate") * F.col("value"), F.lit(float(max_repeat)))
-    rows = join_spread(slim, targets, "source", "tie")
+    rows = join_spread(slim, targets, "source", "rid")
     rows = rows.withColumn("e", e).withColumn("sure", F.floor("e").cast("long")).withColumn("f", F.col("e") - F.col("sure"))
     rows = rows.withColumn("u", F.least(u, F.lit(1 - 2.0**-53))).withColumn("q", F.col("u") * (1 - F.col("f")) / (F.col("u") * (1 - F.col("f")) + (1 - F.col("u")) * F.col("f")))
     rows = rows.withColumn("bucket", F.floor(F.col("q") * ORDER_BUCKETS).cast("int")).drop("e", "u", "value", "mass", "rate")
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_rep
     first = table(_take(open_, lacks, nearest=False), "mix-first")
     taken = first.where("won").groupBy("source").agg(F.sum("size").alias("t")).withColumnRenamed("source", "s")
     still = lacks.join(taken, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("left") - F.coalesce("t", F.lit(0))).alias("left"))
-    fits = join_spread(first.where("not won").drop("won"), still, "source", "tie")
+    fits = join_spread(first.where("not won").drop("won"), still, "source", "rid")
     fits = fits.withColumn("fits", F.col("size") <= F.col("left")).drop("left")
     second = _take(fits.where("fits"), still, nearest=True)
     out = rows.where((F.col("f") <= 0) | (F.col("size") <= 0)).withColumn("won", F.lit(False))
@@ -100,9 +100,10 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_rep
 
 
 def mix_stage(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix has them: a document with no copy is gone, one with two comes twice; columns unchanged."""
+    """docs as the mix has them: a document with no copy is gone, one with two comes twice; columns unchanged, whatever
+    further columns are named. Nulls, rows that share an id, repeated rows and empty tables as in mix(); of equal rows that
+    tie at the end of the ranking, all come as often as the luckiest."""
     counts = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "tie").agg(F.max("copies").alias("copies"))
-    c = counts.select(F.xxhash64("doc_id", "source", "tie").alias("row_key"), "copies")
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "source", F.xxhash64("text")))
-    out = keyed.join(c, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[out[c] for c in docs.columns])
+    keyed = packed(docs, _id=F.col("doc_id"), _source=F.col("source"), _tie=F.xxhash64("text"))
+    out = keyed.join(counts, same_row({"_id": "doc_id", "_source": "source", "_tie": "tie"}))
+    return unpacked(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)

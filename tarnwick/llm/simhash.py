@@ -7,14 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import table
+from tarnwick.llm.common import packed, same_row, table, unpacked
 from tarnwick.llm.components import components
 
-#: Bits of a half that the anchors' code covers: the [31, 26] Hamming code, covering radius 1.
-CODE_BITS = 31
+#: Bits of a third of the fingerprint; two thirds make a part. Of a part's bits the first 31 are covered by the [31, 26]
+#: Hamming code (covering radius 1), the other 11 stand for themselves.
+THIRD, CODE_BITS = 21, 31
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 #: Bands of a near-copy sketch and minima in each: of two texts whose shingle sets are alike by 0.8, all bands differ
@@ -41,7 +42,10 @@ def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 def simhash(text: str | None, width: int = 3) -> int:
     """64-bit SimHash of the word shingles, repeats included; a bit is 1 if set in over half of the hashes."""
-    hashes = _shingle_hashes(_words(text), width)
+    return simhash_of(_shingle_hashes(_words(text), width))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BLOCK):
         block = hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8)
@@ -73,28 +77,33 @@ def _syndrome(x: Column) -> Column:
 
 
 def _around() -> Column:
-    """By syndrome: the flips that lead to all codewords within covering radius + threshold = 2."""
-    flips = [[0]]
-    for s in range(1, CODE_BITS + 1):
-        pairs = [(i, i ^ s) for i in range(1, CODE_BITS + 1) if i < (i ^ s)]
-        flips.append([1 << (s - 1)] + [(1 << (i - 1)) | (1 << (j - 1)) for i, j in pairs])
+    """By syndrome: the flips that lead to all anchors within covering radius + threshold = 2 of a part; the nearest first."""
+    rest = [1 << i for i in range(CODE_BITS, 2 * THIRD)]
+    flips = []
+    for s in range(CODE_BITS + 1):
+        near = 1 << (s - 1) if s else 0
+        pairs = [(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, CODE_BITS + 1) if s and 0 < (i ^ s) and i < (i ^ s)]
+        flips.append([near, *pairs, *[near | r for r in rest]])
     return F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in flips])
 
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b), a > b: all pairs of different fingerprints (column fp, each once) at 2 or fewer differing bits.
 
-    Of two such fingerprints one half differs in at most one bit. In each half, anchors are the codewords of the
-    [31, 26] code (bit 31 of the half takes no part). A fingerprint goes to the anchor within radius 1 as a guest
-    and to all anchors within 1 + 1 as a host, 16 at most; guest and host of a linked pair meet at the guest's anchor.
+    The first 63 bits are three thirds; each pair of thirds is a part of 42 bits. Two differing bits that lie in two
+    thirds leave one of them to two parts at most, and two in one third spare the part without it: some part differs in
+    at most one bit. Each part has its anchors. A fingerprint goes to the anchor within radius 1 as a guest and to all
+    anchors within 1 + 1 as a host, 27 at most; guest and host of a linked pair meet at the guest's anchor.
     """
-    halves = prints.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(F.lit(0x7FFFFFFF)).alias("x")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(0x7FFFFFFF)).alias("x")))).alias("p"))
-    halves = halves.select("fp", "p.half", "p.x", _syndrome(F.col("p.x")).alias("s"))
+    third = lambda i: F.shiftrightunsigned("fp", THIRD * i).bitwiseAND(F.lit((1 << THIRD) - 1).cast("long"))
+    part = lambda k, i, j: F.struct(F.lit(k).alias("part"), third(i).bitwiseOR(F.shiftleft(third(j), THIRD)).alias("x"))
+    parts = prints.select("fp", F.explode(F.array(part(0, 0, 1), part(1, 1, 2), part(2, 2, 0))).alias("p"))
+    parts = parts.select("fp", "p.part", "p.x", _syndrome(F.col("p.x")).alias("s"))
     masks = F.element_at(_around(), F.col("s") + 1)
-    hosts = halves.select(F.col("fp").alias("b"), "half", F.explode(F.transform(masks, lambda m: F.col("x").bitwiseXOR(m))).alias("anchor"))
-    guests = halves.select(F.col("fp").alias("a"), "half", F.col("x").bitwiseXOR(F.element_at(masks, 1)).alias("anchor"))
+    hosts = parts.select(F.col("fp").alias("b"), "part", F.explode(F.transform(masks, lambda m: F.col("x").bitwiseXOR(m))).alias("anchor"))
+    guests = parts.select(F.col("fp").alias("a"), "part", F.col("x").bitwiseXOR(F.element_at(masks, 1)).alias("anchor"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    return guests.join(hosts, ["half", "anchor"]).where((F.col("a") > F.col("b")) & near).select("a", "b")
+    return guests.join(hosts, ["part", "anchor"]).where((F.col("a") > F.col("b")) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -127,65 +136,112 @@ def _band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([digest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
 
 
-def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, tie, component_id: the least doc_id that links reach. Two texts are linked if the sets of their word
-    shingles have a Jaccard similarity of at least ``least``, in lower case and whatever the blanks.
+def _sketch(text: str | None, width: int) -> tuple:
+    """node (a hash of the words), number of different shingles, fingerprint, band keys."""
+    words = _words(text)
+    hashes = _shingle_hashes(words, width)
+    node = xxhash.xxh64_intdigest(b" ".join(words), 7)
+    once = np.unique(hashes)
+    return node - (1 << 64) if node >> 63 else node, len(once), np.uint64(simhash_of(hashes)).view(np.int64), _band_keys(once) if words else []
 
-    Texts of equal words are one node. Nodes that agree in a band of minimum hashes share a bucket. First each node is
-    held against one node of each of its buckets, then against all nodes of its buckets that are in another component
-    still; so a bucket of like texts needs no pairs, and yet no two of a bucket stay apart unless their exact
-    similarity, of whole shingle sets, is too small. Null and blank texts are one node; null doc_id as in near_duplicates().
-    """
 
-    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                words = _words(text)
-                hashes = np.unique(_shingle_hashes(words, width))
-                node = xxhash.xxh64_intdigest(b" ".join(words), 7)
-                out.append((node - (1 << 64) if node >> 63 else node, len(hashes), _band_keys(hashes) if words else []))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tie": pdf["tie"], "node": [x[0] for x in out], "n": [x[1] for x in out], "bands": [x[2] for x in out]})
-
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "set": [np.unique(_shingle_hashes(_words(t), width)).view(np.int64) for t in pdf["text"]]})
+            out = [_sketch(t, width) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tie": pdf["tie"]} | {c: [x[i] for x in out] for i, c in enumerate(("node", "n", "fp", "bands"))})
 
     kind = docs.schema["doc_id"].dataType
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    rows = slim.mapInPandas(sketches, "doc_id string, tie long, node long, n long, bands array<long>")
-    rows = table(rows.withColumn("doc_id", F.col("doc_id").cast(kind)), "near-sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("tie").alias("tie"), F.min("n").alias("n"))
+    rows = slim.mapInPandas(run, "doc_id string, tie long, node long, n long, fp long, bands array<long>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, set): the different shingles, as hashes, of each node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "set": [np.unique(_shingle_hashes(_words(t), width)).view(np.int64) for t in pdf["text"]]})
+
+    texts = docs.select(F.xxhash64("text").alias("tie"), "text").join(nodes, "tie").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInPandas(run, "node long, set array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.where(same + 1e-9 >= (F.size("x") + F.size("y") - same) * F.lit(least)).select("a", "b")
+
+
+def _close_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b), a > b: pairs of nodes (node, fp) that reach all nodes whose fingerprints are equal or linked: each node
+    with the least node of its fingerprint, and those of two linked fingerprints."""
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = nodes.join(heads, "fp").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    of = lambda fp, name: heads.select(F.col("fp").alias(fp), F.col("head").alias(name))
+    linked = links(heads.select("fp")).withColumnsRenamed({"a": "f", "b": "g"}).join(of("f", "x"), "f").join(of("g", "y"), "g")
+    return same.unionByName(linked.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+
+
+def _open_nodes(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shared): how many shingles of each node in left some other node in left has too."""
+    each = left.select("node").distinct().join(sets, "node").select("node", F.explode("set").alias("g"))
+    held = each.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    alone = held.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = left.groupBy("node").agg(F.min("n").alias("n"))
+    return sizes.join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, tie, component_id: the least doc_id that links reach. Two texts are linked if the sets of their word
+    shingles have a Jaccard similarity of at least ``least``, in lower case and whatever the blanks.
+
+    Texts of equal words are one node. Nodes whose fingerprints are 2 or fewer bits apart are found by the anchors, as in
+    near_duplicates(). At 0.8 fingerprints differ by about ten bits, more than anchors can cover, so nodes that agree in
+    a band of minimum hashes share a bucket too. First each node is held against one node of each of its buckets, then
+    against all nodes of its buckets that are in another component still. Before that, nodes go whose similarity to
+    all others is bounded below ``least``: the shingles that no other node in question has are in no intersection; and so do
+    pairs for which the rest is too small. So neither a bucket of like texts nor one of texts that share a frame but
+    differ too much needs all of its pairs, and yet no two of a bucket stay apart unless their exact similarity, of
+    whole shingle sets, is too small.
+
+    Null and blank texts are one node; null doc_id as in near_duplicates(); repeated rows get the same component; an empty
+    table gives an empty result; further columns are ignored.
+    """
+    rows = table(_sketches(docs, width), "near-sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("tie").alias("tie"), F.min("n").alias("n"), F.min("fp").alias("fp"))
     nodes = table(nodes, "near-nodes")
+    close = table(_close_prints(nodes.where("n > 0").select("node", "fp")), "near-prints")
     buckets = rows.select("node", "n", F.explode("bands").alias("bucket")).groupBy("bucket", "node").agg(F.min("n").alias("n"))
     buckets = table(buckets, "near-buckets")
     mix = F.xxhash64("node", "bucket")
     heads = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("nodes"), F.min(F.struct(mix.alias("mix"), F.col("node"), F.col("n"))).alias("head"))
     heads = heads.where("nodes > 1").select("bucket", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
-    buckets = table(buckets.join(heads, "bucket"), "near-shared")
-
-    wanted = buckets.select("node").distinct().join(nodes, "node").select("node", "tie")
-    texts = docs.select(F.xxhash64("text").alias("tie"), "text").join(wanted, "tie").dropDuplicates(["node"])
-    sets = table(texts.select("node", "text").mapInPandas(shingles, "node long, set array<long>"), "near-sets")
+    buckets = table(buckets.join(table(heads, "near-heads"), "bucket"), "near-shared")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return both.where(same + 1e-9 >= (F.size("x") + F.size("y") - same) * F.lit(least)).select("a", "b")
+    wanted = buckets.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = table(_sets(docs, wanted.join(nodes, "node").select("node", "tie"), width), "near-sets")
 
     sizes = lambda m, n: F.least(m, n) + 1e-9 >= F.greatest(m, n) * F.lit(least)
     first = buckets.where((F.col("node") != F.col("head")) & sizes(F.col("n"), F.col("head_n")))
-    first = table(first.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct(), "near-pairs")
-    found = table(alike(first), "near-links")
+    first = first.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+    first = table(first.unionByName(close).distinct(), "near-pairs")
+    found = table(_alike(first, sets, least), "near-links")
     roots = components(found)
     named = buckets.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = table(named, "near-named")
     mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
-    left = table(named.join(mixed, "bucket", "left_semi"), "near-mixed")
-    right = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    apart = (F.col("node") > F.col("b")) & (F.col("root") != F.col("root2")) & sizes(F.col("n"), F.col("n2"))
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & apart).select(F.col("node").alias("a"), "b").distinct()
-    rest = alike(table(rest.join(first, ["a", "b"], "left_anti"), "near-rest"))
+    left = table(named.join(table(mixed, "near-mixed"), "bucket", "left_semi"), "near-left")
+    open_ = table(_open_nodes(left, sets), "near-open")
+    left = left.join(open_, "node").where(F.col("shared") + 1e-9 >= F.col("n") * F.lit(least))
+    left = table(left, "near-candidates")
+    right = left.select(F.col("bucket").alias("bucket2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("shared").alias("shared2"))
+    most = F.least("shared", "shared2")
+    can = most + 1e-9 >= (F.col("n") + F.col("n2") - most) * F.lit(least)
+    apart = (F.col("bucket") == F.col("bucket2")) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("root2")) & sizes(F.col("n"), F.col("n2")) & can
+    rest = left.join(right, apart).select(F.col("node").alias("a"), "b").distinct()
+    rest = _alike(table(rest.join(first, ["a", "b"], "left_anti"), "near-rest"), sets, least)
     roots = components(found.unionByName(rest))
 
     nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -196,15 +252,17 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
 
 
 def _one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("tie").alias("tie"))
-    stay = least.select(F.xxhash64(F.col("component_id"), F.col("tie")).alias("row_key"))
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id"), F.xxhash64("text")))
-    return keyed.join(stay, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*[keyed[c] for c in docs.columns])
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("tie").alias("tie"))
+    keyed = packed(docs, _id=F.col("doc_id"), _tie=F.xxhash64("text"))
+    out = keyed.join(stay, same_row({"_id": "component_id", "_tie": "tie"}), "left_semi")
+    again = out.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_tie")))
+    return unpacked(again.where("_nth = 1"), docs)
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one with the least doc_id; of rows that share
-    that id, one row. Columns and texts unchanged. Near-duplicates as in near_duplicates(): op4's 3 words and 2 bits."""
+    """docs with one document of each group of near-duplicates, the one with the least doc_id (null only if all are
+    null); of rows that share that id, one row. Columns and texts unchanged, whatever further columns are named; null and
+    blank texts are one group; an empty table stays empty. Near-duplicates as in near_duplicates(): op4's 3 words and 2 bits."""
     return _one_each(docs, near_duplicates(docs))
 
 
