@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import line_dedup, mixing, packing, quality, simhash
-from tarnwick.llm.common import documents, table
+from tarnwick.llm import line_dedup, mixing, packing, quality, simhash, token_counts
+from tarnwick.llm.common import documents
+from tarnwick.session import delete, new_path, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches."""
-    return packing.pack(docs)
+    """Length buckets and token-budget batches, by the tokens of the vocabulary file."""
+    import public_tokenizers
+
+    return packing.pack(token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")), length="n_tokens")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("simhash near-dedup", near_dedup), ("source mixing", mix_sources), ("packing", pack)]
@@ -40,7 +43,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. Each stage's output is written, then its own intermediate tables and its input go."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import table
@@ -16,8 +17,11 @@ from tarnwick.llm.common import table
 #: Bins of a signature; each keeps 16 bits of its least phrase hash.
 BINS = 128
 EMPTY = np.uint64(2**64 - 1)
-#: Documents of one range, which a task reads in order, and the most ranges.
-RANGE_DOCS, MOST_PARTS = 1024, 4096
+#: Documents of one range, which a task reads in order; from GROW ranges on, ranges and their length grow alike, with
+#: the square root of the documents: 195,000 ranges of 51,000 for 10 billion.
+RANGE_DOCS, GROW = 1024, 4096
+#: Ranges of doc_id whose ends are found exactly; inside each, ends are interpolated.
+COARSE = 64
 
 
 def parse(data: bytes, phrases: set[bytes]) -> tuple[list[bytes], bytes]:
@@ -94,24 +98,41 @@ class Edited:
         return self.text[: self.n - self.half] + put, short(np.minimum(self.head, signature(self._after(put.encode("utf-8")))))
 
 
+def _part(ids: DataFrame) -> Column:
+    """Number of the range of (doc_id, tie): falls as doc_id grows; null ids come last, dealt by tie."""
+    n, n_null = ids.agg(F.count("doc_id"), F.count(F.lit(1)) - F.count("doc_id")).first()
+    long = RANGE_DOCS * max(1.0, ((n + n_null) / (RANGE_DOCS * GROW)) ** 0.5)
+    n_coarse = max(1, min(COARSE, int(n / long)))
+    fine = max(1, math.ceil(n / long / n_coarse))
+    ends = ids.stat.approxQuantile("doc_id", [i / n_coarse for i in range(n_coarse + 1)], 1 / (4 * n_coarse)) if n else [0.0, 0.0]
+    ends = sorted({int(e) for e in ends})
+    d = F.col("doc_id")
+    lows, highs = ends[:-1] or ends, ends[1:] or ends
+    part = F.lit(0)
+    for k, (lo, hi) in enumerate(zip(lows, highs, strict=True)):
+        inside = F.floor((d - lo).cast("double") / max(1, hi - lo) * fine).cast("long")
+        at = k * fine + F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1))
+        part = at if k == 0 else F.when(d >= lo, at).otherwise(part)
+    last = len(lows) * fine
+    null_parts = max(1, math.ceil(n_null / long))
+    of_null = last + 1 + F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * null_parts).cast("long")
+    return F.when(d.isNull(), of_null).otherwise(last - part)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) as rows (part, ahead, doc_id, tie, text) such that, within a part, in the order of
     ``ahead`` and then of doc_id descending, the row after each row is its next document; a part's row ``ahead`` is
     the first of the next part or, after the last part, of the first.
 
-    Parts are ranges of doc_id of about RANGE_DOCS rows, MOST_PARTS at most, found by two aggregations over the ids;
-    a part's first row is all that another part has to know. Texts are shuffled once. Null ids come last.
+    Parts are ranges of doc_id, found by two aggregations over the ids; a part's first row is all that another part has
+    to know. Texts are shuffled once. Null ids come last, in the order of a hash of their text, so they may be dealt too.
     """
     ids = table(docs.select("doc_id", F.xxhash64("text").alias("tie")), "lz-ids")
-    n_parts = max(1, min(MOST_PARTS, ids.count() // RANGE_DOCS))
-    cuts = ids.stat.approxQuantile("doc_id", [i / n_parts for i in range(1, n_parts)], 1 / (4 * n_parts)) if n_parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(len(cuts) - below)
+    part = _part(ids)
     tops = ids.groupBy(part.alias("part")).agg(F.max(F.struct("doc_id", F.negative("tie").alias("tie"))).alias("top"))
     tops = tops.select("part", F.col("top.doc_id").alias("id"), F.negative("top.tie").alias("t"), F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("to"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    ahead = rows.join(F.broadcast(tops), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t")))  # MOST_PARTS rows
+    ahead = rows.join(F.broadcast(table(tops, "lz-tops")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t")))  # a row for each range
     rows = rows.select(part.alias("part"), F.lit(False).alias("ahead"), "*")
     return rows.unionByName(ahead.select(F.col("to").alias("part"), F.lit(True).alias("ahead"), "doc_id", "tie", "text"))
 

@@ -51,19 +51,21 @@ def best_boundaries(lengths: list[int], counts: list[int], n_buckets: int) -> li
     return sorted(set(bounds))
 
 
-def pack(docs: DataFrame, budget: int = 16_384, n_buckets: int = 16) -> DataFrame:
+def pack(docs: DataFrame, budget: int = 16_384, n_buckets: int = 16, length: str | None = None) -> DataFrame:
     """Bucket, batch and slot of each document.
 
-    Length is the number of words. The histogram of lengths up to ``budget`` has at most budget + 1 rows whatever
-    the input, and goes to the driver for the dynamic program. A bucket's batches hold budget // bound documents,
-    each padded to the bound; only a bucket's last batch can have room left. A document longer than the budget is a
-    batch of its own, without padding, in bucket -1, numbered by the same ranks as the rest.
+    Length is docs' column ``length``, tokens as a rule, or the number of words of the text where none is named. The
+    histogram of lengths up to ``budget`` has at most budget + 1 rows whatever the input, and goes to the driver for the
+    dynamic program. A bucket's batches hold budget // bound documents, each padded to the bound; only a bucket's last
+    batch can have room left. A document longer than the budget is a batch of its own, without padding, in bucket -1,
+    numbered by the same ranks as the rest.
 
-    docs: doc_id, text; other columns are ignored. Null text has length 0; a null doc_id is ranked like any other;
-    repeated rows get places of their own; an empty table gives an empty result. Returns doc_id, length, bucket,
-    bound, batch, slot, padding.
+    docs: doc_id, and length or text; other columns are ignored, whatever their names. A null text or length is 0; a
+    null doc_id is ranked like any other; repeated rows get places of their own; an empty table gives an empty result.
+    Returns doc_id, length, bucket, bound, batch, slot, padding.
     """
-    slim = table(docs.select("doc_id", n_words(F.col("text")).alias("length"), F.xxhash64("doc_id").alias("mix")), "pack-lengths")
+    size = F.coalesce(F.col(length), F.lit(0)).cast("long") if length else n_words(F.col("text"))
+    slim = table(docs.select("doc_id", size.alias("length"), F.xxhash64("doc_id").alias("mix")), "pack-lengths")
     found = slim.groupBy(F.least("length", F.lit(budget + 1)).alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
     hist = sorted((r["length"], r["n"]) for r in found if r["length"] <= budget)
     n_long = sum(r["n"] for r in found if r["length"] > budget)

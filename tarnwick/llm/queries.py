@@ -39,7 +39,7 @@ def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(op8_token_counts(spark, sf_dir), length="n_tokens")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,8 +316,10 @@ def test_lz_parse_and_edits(spark, corpus):
         assert r["near_next"] == pytest.approx(lz_fingerprint.likeness(one, nxt))
 
 
-def test_lz_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(lz_fingerprint, "RANGE_DOCS", 16)
+@pytest.mark.parametrize(("size", "grow", "coarse"), [(16, 4096, 64), (4, 2, 3), (3, 4096, 1)])
+def test_lz_over_many_ranges(spark, monkeypatch, size, grow, coarse):
+    for name, value in (("RANGE_DOCS", size), ("GROW", grow), ("COARSE", coarse)):
+        monkeypatch.setattr(lz_fingerprint, name, value)
     rows = [(i * 3, f"text {i} " * (i % 4)) for i in range(200)] + [(None, "no id"), (30, "same id"), (30, "text 10 " * 2)]
     got = lz_fingerprint.fingerprint_and_edit(frame(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -329,6 +331,17 @@ def test_lz_over_many_ranges(spark, monkeypatch):
             assert r["edited_sha256"] == brute.sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
 
 
+def test_lz_of_null_ids_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(lz_fingerprint, "RANGE_DOCS", 8)
+    texts = [f"null {i} of {i * i}" for i in range(60)]
+    rows = [(None, t) for t in texts] + [(5, "five " * 9), (9, "nine " * 9)]
+    ties = {r["text"]: r["tie"] for r in frame(spark, rows).select("text", F.xxhash64("text").alias("tie")).collect()}
+    got = lz_fingerprint.fingerprint_and_edit(frame(spark, rows)).collect()
+    order = [rows[-1][1], rows[-2][1], *sorted(texts, key=ties.get)]
+    want = sorted(brute.sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2]) for t, after in zip(order, [*order[1:], order[0]], strict=True))
+    assert sorted(r["edited_sha256"] for r in got) == want
+
+
 # --- packing ---
 
 

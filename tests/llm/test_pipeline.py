@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from tarnwick.llm import mixing, packing, quality
+from tarnwick.llm import mixing, packing, quality, token_counts
 from tests.llm import brute
 from tests.llm.test_operators import sentence
 
@@ -44,7 +44,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     last = frames[4].collect()
     assert sorted(r["doc_id"] for r in last) == sorted(d for d, _ in want)
-    lengths = sorted(len(t.split()) for _, t in want)
+    import public_tokenizers
+
+    tok = token_counts.load(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = sorted(len(tok.encode(t, add_special_tokens=False).ids) for _, t in want)
     counts = {x: lengths.count(x) for x in set(lengths)}
     bounds = packing.best_boundaries(sorted(counts), [counts[x] for x in sorted(counts)], 16)
     assert sum(r["padding"] for r in last) == sum(min(b for b in bounds if b >= x) - x for x in lengths)
