@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import table
 
-__all__ = ["BLANKS", "WORD", "documents", "join_spread", "key60", "let", "n_words", "packed", "same_row", "table", "unpacked"]
+__all__ = ["BLANKS", "WORD", "documents", "join_skewed", "join_spread", "key60", "let", "n_words", "packed", "same_row", "table", "unpacked"]
 
 #: A word: a run of anything but the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +56,17 @@ def join_spread(rows: DataFrame, small: DataFrame, key: str, by: str, how: str =
     right = small.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.pmod(F.col(by), F.lit(spread)) == F.col("_part"))
     return rows.join(right, on, how).drop("_key", "_part")
+
+
+def join_skewed(rows: DataFrame, small: DataFrame, key: str, value: str, count: str, deal: str, total: int, hot: int = 1024) -> DataFrame:
+    """rows plus ``value`` of small, which has one row per key (not null) and how many of the ``total`` rows have it.
+
+    Keys with more than one ``hot``th of the rows, fewer than ``hot`` in number, are broadcast. The other keys meet in a
+    shuffle, in which rows of hot keys are dealt by the number ``deal`` and meet nothing.
+    """
+    often = small.where(F.col(count) > total / hot).select(F.col(key).alias("_hot"), F.col(value).alias("_hot_value"))
+    rare = small.where(F.col(count) <= total / hot).select(F.col(key).alias("_rare"), F.col(value).alias("_rare_value"))
+    out = rows.join(F.broadcast(often), F.col(key) == F.col("_hot"), "left")
+    out = out.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("\0"), F.col(deal).cast("string"))))
+    out = out.join(rare, F.col("_at") == F.col("_rare"), "left")
+    return out.withColumn(value, F.coalesce("_hot_value", "_rare_value")).drop("_hot", "_hot_value", "_at", "_rare", "_rare_value")

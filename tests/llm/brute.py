@@ -221,3 +221,31 @@ def pseudonyms(key: str, text: str | None, pattern: str, kinds: dict[str, str])
         return new
 
     return (None if text is None else re.sub(pattern, one, text, flags=re.ASCII)), found
+
+
+# --- language ---
+
+
+def fused(pages: list[dict]) -> list[list[float]]:
+    """Log posteriors of pages (ll, declared, suffix, domain, host), normalised."""
+    import math
+
+    k = range(len(pages[0]["ll"]))
+    for p in pages:
+        e = [math.exp(x) for x in p["ll"]]
+        p["p"] = [x / sum(e) for x in e]
+    every = [sum(p["p"][i] for p in pages) for i in k]
+    out = []
+    for p in pages:
+        others = lambda *names: [sum(q["p"][i] for q in pages if q is not p and all(q[n] == p[n] for n in names)) for i in k]  # noqa: B023, E731
+        total = lambda *names: [sum(q["p"][i] for q in pages if all(q[n] == p[n] for n in names)) for i in k]  # noqa: B023, E731
+        domain, host = others("domain"), others("domain", "host")
+        domain = [(x + 20 * every[i] / sum(every)) / (sum(domain) + 20) for i, x in enumerate(domain)]
+        host = [(x + 5 * domain[i]) / (sum(host) + 5) for i, x in enumerate(host)]
+        score = [p["ll"][i] + math.log(max(host[i], 1e-12)) for i in k]
+        for mark in ("declared", "suffix"):
+            own, share = others(mark), sum(total(mark)) / sum(every)
+            score = [s + math.log((own[i] + 10 * share) / (every[i] - p["p"][i] + 10)) for i, s in enumerate(score)]
+        norm = max(score) + math.log(sum(math.exp(s - max(score)) for s in score))
+        out.append([s - norm for s in score])
+    return out

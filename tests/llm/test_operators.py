@@ -115,12 +115,41 @@ def test_language_held_out(spark):
     assert got.where("text_lang = truth").count() / got.count() > 0.95
 
 
-def test_language_sample_is_bounded(spark):
-    rows = spark.range(3000).select(F.lit("en").alias("lang"), F.when(F.col("id") < 1000, "same").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
-    got = language_id._least_hashes(rows, 200).collect()
-    assert 100 < len(got) <= 200 and len({r["text"] for r in got}) == len(got)
-    assert language_id._least_hashes(rows, 5000).count() == 2001
-    assert language_id._least_hashes(rows.where("false"), 200).collect() == []
+def test_language_sample_is_bounded_and_has_all_languages(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") >= 2990, "xx").otherwise("en").alias("lang"), F.when(F.col("id") < 1000, "same").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    got = language_id._least_hashes(rows, {"en": 2990, "xx": 10}, 200).collect()
+    en = [r["text"] for r in got if r["lang"] == "en"]
+    assert 100 < len(en) <= 200 and len(set(en)) == len(en) and len(got) - len(en) == 10
+    assert language_id._least_hashes(rows, {"en": 2990, "xx": 10}, 5000).count() == 2001
+    assert language_id._least_hashes(rows.where("false"), {"en": 1}, 200).collect() == []
+    many = spark.range(900).select(F.concat(F.lit("l"), F.col("id") % 300).alias("lang"), F.concat(F.lit("abc "), "id").alias("text"))
+    langs, logs = language_id.fit(many)
+    assert len(langs) == 300 and logs.shape == (300, 1 << 15)
+
+
+def test_language_fusion_against_plain_python(spark, monkeypatch):
+    rng = random.Random(20)
+    pages = []
+    for i in range(120):
+        ll = [-rng.random() * 9 for _ in range(3)]
+        domain = f"d{rng.randrange(4) if i % 3 else 0}.org"
+        pages.append({"page_id": str(i), "ll": [x - max(ll) for x in ll], "declared": rng.choice(["", "en", "fr", f"x{i}"]), "suffix": rng.choice(["org", "fr"]), "domain": domain, "host": rng.choice(["www.", "a."]) + domain})
+    df = spark.createDataFrame([(p["page_id"], p["ll"], p["declared"], p["suffix"], p["domain"], p["host"]) for p in pages], "page_id string, ll array<double>, declared string, suffix string, domain string, host string")
+    got = {r["page_id"]: r["score"] for r in language_id.fuse(df, 3).collect()}
+    for p, want in zip(pages, brute.fused(pages), strict=True):
+        s = np.array(got[p["page_id"]])
+        assert s - np.log(np.exp(s - s.max()).sum()) - s.max() == pytest.approx(want, abs=1e-9)
+
+
+def test_language_of_odd_pages(spark):
+    labelled = spark.createDataFrame([("la été à é éé ù naïve où", "fr"), ("the of and this", "en"), (None, "de"), ("x", None)], "text string, lang string")
+    url = "http://h.example.org/"
+    long = "<p>" + "the of and " * 300_000 + "</p>"
+    pages = [(1, url, "<p>&eacute;t&eacute; &agrave; o&ugrave;</p>"), (2, url, long), (2, url, long), (3, url, ""), (None, None, None), (4, url, "<script>" * 100_000), (5, url, "<!--" * 100_000), (6, url, "<" * 300_000)]
+    got = language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), labelled).collect()
+    by = {r["page_id"]: r for r in got}
+    assert len(got) == len(pages) and by[1]["text_lang"] == "fr" and by[2]["text_lang"] == by[2]["lang"] == "en"
+    assert language_id.identify(spark.createDataFrame(pages[:0], "page_id long, url string, html string"), labelled).collect() == []
 
 
 # --- quality ---
