@@ -168,10 +168,19 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInPandas(run, "node long, set array<long>")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) plus ``same``, the number of their common shingles, and ``all``, that of all they have."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.where(same + 1e-9 >= (F.size("x") + F.size("y") - same) * F.lit(least)).select("a", "b")
+    both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
+    return both.withColumn("all", F.size("x") + F.size("y") - F.col("same")).drop("x", "y")
+
+
+def _enough(same: Column, all_: Column, least: float) -> Column:
+    return same + 1e-9 >= all_ * F.lit(least)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    return _overlap(pairs, sets).where(_enough(F.col("same"), F.col("all"), least)).drop("same", "all")
 
 
 def _close_prints(nodes: DataFrame) -> DataFrame:
@@ -184,6 +193,18 @@ def _close_prints(nodes: DataFrame) -> DataFrame:
     return same.unionByName(linked.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
 
 
+def _renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with their ``root`` replaced by the one that roots (node, root) have for it."""
+    to = roots.select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    return rows.join(to, F.col("root") == F.col("_from"), "left").withColumn("root", F.coalesce("_to", "root")).drop("_from", "_to")
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """The rows of named (bucket, root, ...) whose bucket has several roots."""
+    buckets = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
+    return named.join(table(buckets, "near-mixed"), "bucket", "left_semi")
+
+
 def _open_nodes(left: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, shared): how many shingles of each node in left some other node in left has too."""
     each = left.select("node").distinct().join(sets, "node").select("node", F.explode("set").alias("g"))
@@ -199,11 +220,13 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
 
     Texts of equal words are one node. Nodes whose fingerprints are 2 or fewer bits apart are found by the anchors, as in
     near_duplicates(). At 0.8 fingerprints differ by about ten bits, more than anchors can cover, so nodes that agree in
-    a band of minimum hashes share a bucket too. First each node is held against one node of each of its buckets, then
-    against all nodes of its buckets that are in another component still. Before that, nodes go whose similarity to
-    all others is bounded below ``least``: the shingles that no other node in question has are in no intersection; and so do
-    pairs for which the rest is too small. So neither a bucket of like texts nor one of texts that share a frame but
-    differ too much needs all of its pairs, and yet no two of a bucket stay apart unless their exact similarity, of
+    a band of minimum hashes share a bucket too, in which comparisons stay between components. First each node is held
+    against one node of each of its buckets. Then shingles that only one of the remaining nodes has are counted: they are in
+    no intersection, so nodes with too many of them go. Then each node is held against its bucket's hub, the node with the
+    least share of such shingles, and last against all that remain in its buckets and can be alike: a pair's common shingles
+    are at most as many as the lesser of the two has in common with the hub, and as the lesser has beside it that others
+    have too. A large group of near copies is joined by its hubs, and what is too far from a hub is too far from the rest
+    by that bound. So it needs few of its pairs, and yet no two of a bucket stay apart unless their exact similarity, of
     whole shingle sets, is too small.
 
     Null and blank texts are one node; null doc_id as in near_duplicates(); repeated rows get the same component; an empty
@@ -227,24 +250,34 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     first = buckets.where((F.col("node") != F.col("head")) & sizes(F.col("n"), F.col("head_n")))
     first = first.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
     first = table(first.unionByName(close).distinct(), "near-pairs")
-    found = table(_alike(first, sets, least), "near-links")
-    roots = components(found)
-    named = buckets.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = table(named, "near-named")
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
-    left = table(named.join(table(mixed, "near-mixed"), "bucket", "left_semi"), "near-left")
-    open_ = table(_open_nodes(left, sets), "near-open")
-    left = left.join(open_, "node").where(F.col("shared") + 1e-9 >= F.col("n") * F.lit(least))
+    roots = components(table(_alike(first, sets, least), "near-links"))
+    named = table(_renamed(buckets.select("bucket", "node", "n", F.col("node").alias("root")), roots), "near-named")
+    left = table(_mixed(named), "near-left")
+    left = left.join(table(_open_nodes(left, sets), "near-open"), "node").where(F.col("shared") + 1e-9 >= F.col("n") * F.lit(least))
     left = table(left, "near-candidates")
-    right = left.select(F.col("bucket").alias("bucket2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("shared").alias("shared2"))
-    most = F.least("shared", "shared2")
-    can = most + 1e-9 >= (F.col("n") + F.col("n2") - most) * F.lit(least)
-    apart = (F.col("bucket") == F.col("bucket2")) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("root2")) & sizes(F.col("n"), F.col("n2")) & can
-    rest = left.join(right, apart).select(F.col("node").alias("a"), "b").distinct()
-    rest = _alike(table(rest.join(first, ["a", "b"], "left_anti"), "near-rest"), sets, least)
-    roots = components(found.unionByName(rest))
-
-    nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+
+    def merged(found: DataFrame) -> DataFrame:
+        """found (pairs of nodes with their roots) -> (node, root) of the roots that they join."""
+        return components(found.select(F.greatest("r1", "r2").alias("a"), F.least("r1", "r2").alias("b")))
+
+    hub = F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), F.xxhash64("bucket", "node").alias("mix"), "node", "root")).alias("hub")
+    hubs = table(left.groupBy("bucket").agg(hub).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.root").alias("r2")), "near-hubs")
+    left = table(left.join(hubs, "bucket"), "near-spokes")
+    second = left.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("root").alias("r1"), "r2").dropDuplicates(["a", "b"])
+    second = table(_overlap(second, sets), "near-second")
+    by_hub = merged(second.where((F.col("r1") != F.col("r2")) & _enough(F.col("same"), F.col("all"), least)))
+    left = left.join(second.select(F.col("a").alias("node"), F.col("b").alias("hub"), "same"), ["node", "hub"])
+    left = table(_mixed(_renamed(left, by_hub)), "near-rest").select("bucket", "node", "n", "root", "same", (F.col("shared") - F.col("same")).alias("extra"))
+    right = left.select(F.col("bucket").alias("bucket2"), F.col("node").alias("m"), F.col("n").alias("n2"), F.col("root").alias("r2"), F.col("same").alias("same2"), F.col("extra").alias("extra2"))
+    most = F.least("same", "same2") + F.least("extra", "extra2")
+    can = _enough(most, F.col("n") + F.col("n2") - most, least)
+    third = left.join(right, (F.col("bucket") == F.col("bucket2")) & (F.col("root") != F.col("r2")) & (F.col("node") > F.col("m")) & can)
+    third = third.select(F.col("node").alias("a"), F.col("m").alias("b"), F.col("root").alias("r1"), "r2").dropDuplicates(["a", "b"])
+    by_rest = merged(table(_alike(table(third, "near-third"), sets, least), "near-third-links"))
+
+    nodes = nodes.select("node", "least", F.col("node").alias("root"))
+    for found in (roots, by_hub, by_rest):
+        nodes = _renamed(nodes, found)
     nodes = table(nodes, "near-roots")
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = nodes.join(ids, "root").select("node", "component_id")
