@@ -92,4 +92,7 @@ class DocumentNotFound(EngineError): ...
 class PropertyNotFound(EngineError): ...
 
 
+class InvalidProperties(EngineError): ...
+
+
 class InvalidTenant(EngineError): ...

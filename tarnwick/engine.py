@@ -7,15 +7,21 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.config import MAX_CANDIDATES, RECOMMENDATION_WEIGHTS, SEARCH_WEIGHTS, DocumentNotFound, EngineConfig, InvalidUser, NotEnoughInteractions, PropertyNotFound
+from tarnwick.config import MAX_CANDIDATES, RECOMMENDATION_WEIGHTS, SEARCH_WEIGHTS, DocumentNotFound, EngineConfig, InvalidProperties, InvalidUser, NotEnoughInteractions, PropertyNotFound
+from tarnwick.functions import values
 from tarnwick.operators import filters, fusion, ingest, personalize
 from tarnwick.operators import interests as ci
 from tarnwick.operators.embed import REGISTRY
 from tarnwick.operators.search import bm25, knn, top
 from tarnwick.sources.readers import requests_of
+from tarnwick.session import table
 from tarnwick.sources.store import Store
 
 
+#: Stands for the user of an inline history.
+INLINE = "inline"
+
+
 class Engine:
     """One tenant. ``now`` is an argument wherever time matters; it defaults to the clock."""
 
@@ -50,8 +56,8 @@ class Engine:
             ingest.check_batch(len(documents))
             documents = requests_of(self.spark, documents)
         t = self._tables()
-        out = ingest.upsert(documents, t["document"], t["snippet"], self.embedder)
-        report = self.spark.createDataFrame(out.report.collect(), "document_id string, status string") if documents.limit(1001).count() <= 1000 else out.report
+        out = ingest.upsert(documents, t["document"], t["snippet"], self.embedder, self.schema())
+        report = table(out.report, "report")
         self.store.commit(self.tenant, {"document": out.documents, "snippet": out.snippets})
         return report
 
@@ -94,23 +100,30 @@ class Engine:
     def properties(self, document_id: str) -> DataFrame:
         return self._document(document_id).select("properties")
 
+    def _commit_properties(self, document_id: str, documents: DataFrame) -> None:
+        mine = documents.where(F.col("document_id") == document_id)
+        if mine.where(~ingest.valid_properties(F.col("properties"), self.schema())).count():
+            raise InvalidProperties(document_id=document_id)
+        self.store.commit(self.tenant, {"document": documents})
+
     def put_properties(self, document_id: str, properties_json: str | None) -> None:
         self._document(document_id)
         changes = self.spark.createDataFrame([(document_id, properties_json)], "document_id string, properties string")
-        self.store.commit(self.tenant, {"document": ingest.put_properties(self._tables()["document"], changes)})
+        self._commit_properties(document_id, ingest.put_properties(self._tables()["document"], changes))
 
     def property(self, document_id: str, name: str) -> DataFrame:
         """One property as JSON text; a document without it is another error than no document."""
-        value = F.get_json_object("properties", f"$['{name}']")
+        value = F.get_json_object("properties", values.json_path(name))
         row = self._document(document_id).select(value.alias("value")).where("value is not null")
         if row.isEmpty():
             raise PropertyNotFound(document_id=document_id, name=name)
         return row
 
-    def put_property(self, document_id: str, name: str, value: str) -> None:
+    def put_property(self, document_id: str, name: str, value) -> None:
+        """value: a boolean, a number, a string or a list of strings."""
         self._document(document_id)
         filters.validate_property(name, value, self.schema())
-        self.store.commit(self.tenant, {"document": ingest.put_property(self._tables()["document"], document_id, name, value)})
+        self._commit_properties(document_id, ingest.put_property(self._tables()["document"], document_id, name, value))
 
     def delete_property(self, document_id: str, name: str) -> None:
         self.property(document_id, name)
@@ -134,19 +147,25 @@ class Engine:
         after = ci.fold_interactions(known, self.config.interests, before)
         interests = t["center_of_interest"].where(~mine).unionByName(after.drop("step").select(*t["center_of_interest"].columns))
         tags = personalize.tag_weights(known, t["document"]).unionByName(t["weighted_tag"]).groupBy("user_id", "tag").agg(F.sum("weight").alias("weight"))
-        seen = t["users"].unionByName(self.spark.createDataFrame([(user_id, now)], "user_id string, last_seen timestamp")).groupBy("user_id").agg(F.max("last_seen").alias("last_seen"))
+        seen = self._seen_at(t["users"], user_id, now)
         changed = {"center_of_interest": interests, "weighted_tag": tags, "users": seen}
         if self.config.store_user_history:
             log = known.select("document_id", "sub_id", "user_id", "time_stamp").distinct()
             changed["interaction"] = t["interaction"].unionByName(log).dropDuplicates(["document_id", "sub_id", "user_id", "time_stamp"])
         self.store.commit(self.tenant, changed)
 
-    def search(self, text: str | None = None, document_id: str | None = None, sub_id: int | None = None, count: int | None = None, filter: dict | None = None, published_after: str | None = None, hybrid: bool = False, hybrid_options: dict | None = None, user_id: str | None = None, exclude_seen: bool = True, include_properties: bool = True, include_snippet: bool = False, show_raw_scores: bool = False, now: datetime | None = None) -> DataFrame:
+    def _seen_at(self, users: DataFrame, user_id: str, now: datetime) -> DataFrame:
+        one = self.spark.createDataFrame([(user_id, now)], "user_id string, last_seen timestamp")
+        return users.unionByName(one).groupBy("user_id").agg(F.max("last_seen").alias("last_seen"))
+
+    def search(self, text: str | None = None, document_id: str | None = None, sub_id: int | None = None, count: int | None = None, filter: dict | None = None, published_after: str | None = None, hybrid: bool = False, hybrid_options: dict | None = None, user_id: str | None = None, history: list[dict] | None = None, exclude_seen: bool = True, include_properties: bool = True, include_snippet: bool = False, show_raw_scores: bool = False, now: datetime | None = None) -> DataFrame:
         """Rows (document_id, sub_id, score, ...) similar to a text, a document or one of its snippets, best first; with
-        a user, reranked by their interests and without what they have seen."""
+        a user, or with an inline history as in recommend(), reranked by their interests and without what they have seen."""
         count = self.config.checked_count(count)
         if (text is None) == (document_id is None):
             raise InvalidUser(reason="exactly one of text and document_id")
+        if user_id is not None and history is not None:
+            raise InvalidUser(reason="at most one of user_id and history")
         rows = self._candidates(self._condition(filter, published_after))
         if document_id is not None:
             t = self._tables()["snippet"].where((F.col("document_id") == document_id) & (F.col("sub_id") == (sub_id or 0)))
@@ -159,14 +178,21 @@ class Engine:
             vec = self.spark.createDataFrame([("q", [float(x) for x in self.embedder([text])[0]])], "q string, vec array<double>")
         if user_id is not None and exclude_seen and self.config.store_user_history:
             rows = personalize.exclude_documents(rows, self._tables()["interaction"].where(F.col("user_id") == user_id))
+        if history is not None and exclude_seen:
+            rows = self._unseen(rows, history)
         vector = knn(rows, vec, count).drop("q")
         found = vector
         lexical = None
         if hybrid and text is not None:
-            lexical = bm25(rows.withColumnRenamed("snippet", "text"), text)
+            # statistics of all candidates, whatever the filter
+            scored = bm25(self._candidates().withColumnRenamed("snippet", "text"), text)
+            lexical = scored.join(rows.select("document_id", "sub_id"), ["document_id", "sub_id"], "left_semi")
             found = fusion.hybrid(vector, lexical, count, **(hybrid_options or {}))
         if user_id is not None:
-            found = self._personalised(found, rows, user_id, now, SEARCH_WEIGHTS)
+            t, mine = self._tables(), F.col("user_id") == user_id
+            found = self._personalised(user_id, found, rows, t["center_of_interest"].where(mine), t["weighted_tag"].where(mine), now, SEARCH_WEIGHTS)
+        elif history is not None:
+            found = self._personalised(INLINE, found, rows, *self._of_history(history, now), now, SEARCH_WEIGHTS)
         out = top(found, count)
         if show_raw_scores:
             out = fusion.with_raw_scores(out, vector, lexical if lexical is not None else vector.where("false"))
@@ -177,15 +203,31 @@ class Engine:
     def _now(self, now: datetime | None) -> Column:
         return F.lit(now or datetime.now(UTC))
 
-    def _personalised(self, found: DataFrame, rows: DataFrame, user_id: str, now: datetime | None, weights: tuple) -> DataFrame:
-        t = self._tables()
-        mine = t["center_of_interest"].where(F.col("user_id") == user_id)
+    def _personalised(self, user: str, found: DataFrame, rows: DataFrame, mine: DataFrame, weights: DataFrame, now: datetime | None, parts: tuple) -> DataFrame:
+        """found reranked by one user's interests and tag weights; unchanged with too few interests."""
+        mine = table(mine, "own-interests")
         if mine.limit(self.config.interests.min_interests).count() < self.config.interests.min_interests:
             return found
         relevant = ci.relevance(mine.withColumn("step", F.row_number().over(_by_id())), self._now(now), self.config.interests.horizon_days)
-        pairs = found.join(rows.select("document_id", "sub_id", "embedding", "tags"), ["document_id", "sub_id"]).withColumn("user_id", F.lit(user_id))
-        tags = personalize.tag_scores(pairs, t["weighted_tag"].where(F.col("user_id") == user_id))
-        return personalize.rerank(pairs.select("user_id", "document_id", "sub_id", "score"), ci.interest_scores(pairs, relevant), tags, weights).drop("user_id")
+        pairs = found.join(rows.select("document_id", "sub_id", "embedding", "tags"), ["document_id", "sub_id"]).withColumn("user_id", F.lit(user))
+        return personalize.rerank(pairs.select("user_id", "document_id", "sub_id", "score"), ci.interest_scores(pairs, relevant), personalize.tag_scores(pairs, weights), parts).drop("user_id")
+
+    def _history(self, history: list[dict]) -> DataFrame:
+        rows = [(INLINE, i, h["document_id"], h.get("sub_id") or 0, h.get("time_stamp")) for i, h in enumerate(history)]
+        return self.spark.createDataFrame(rows, "user_id string, pos long, document_id string, sub_id long, time_stamp timestamp")
+
+    def _of_history(self, history: list[dict], now: datetime | None) -> tuple[DataFrame, DataFrame]:
+        """Interests and tag weights of an inline history."""
+        t = self._tables()
+        used = personalize.trim_history(personalize.backfill_history(self._history(history), self._now(now)))
+        loaded = personalize.load_history(used.where("used"), t["snippet"]).withColumn("event_id", F.col("pos"))
+        return table(ci.fold_interactions(loaded, self.config.interests), "history-interests"), personalize.tag_weights(loaded, t["document"])
+
+    def _unseen(self, rows: DataFrame, history: list[dict]) -> DataFrame:
+        """rows without the history's snippets, and without its documents where an entry names no snippet."""
+        h = self._history(history)
+        whole = h.where(F.col("pos").isin([i for i, x in enumerate(history) if x.get("sub_id") is None]) if history else F.lit(False))
+        return personalize.exclude_documents(personalize.exclude_documents(rows, whole), h, ("document_id", "sub_id"))
 
     def recommend_user(self, user_id: str, count: int | None = None, filter: dict | None = None, published_after: str | None = None, exclude_seen: bool = True, now: datetime | None = None) -> DataFrame:
         count = self.config.checked_count(count)
@@ -193,6 +235,7 @@ class Engine:
         mine = F.col("user_id") == user_id
         if t["center_of_interest"].where(mine).limit(self.config.interests.min_interests).count() < self.config.interests.min_interests:
             raise NotEnoughInteractions(user_id=user_id)
+        self.store.commit(self.tenant, {"users": self._seen_at(t["users"], user_id, now or datetime.now(UTC))})
         return self.recommend_all(count, filter, published_after, exclude_seen, now, mine)
 
     def recommend_all(self, count: int | None = None, filter: dict | None = None, published_after: str | None = None, exclude_seen: bool = True, now: datetime | None = None, users: Column | None = None) -> DataFrame:
@@ -207,19 +250,10 @@ class Engine:
     def recommend(self, history: list[dict], count: int | None = None, filter: dict | None = None, now: datetime | None = None) -> DataFrame:
         """For an inline history of {document_id, sub_id?, time_stamp?}, oldest first; nothing is stored."""
         count = self.config.checked_count(count)
-        rows = [("inline", i, h["document_id"], h.get("sub_id") or 0, h.get("time_stamp")) for i, h in enumerate(history)]
-        h = self.spark.createDataFrame(rows, "user_id string, pos long, document_id string, sub_id long, time_stamp timestamp")
-        t = self._tables()
-        used = personalize.trim_history(personalize.backfill_history(h, self._now(now)))
-        loaded = personalize.load_history(used.where("used"), t["snippet"]).withColumn("event_id", F.col("pos"))
-        interests = ci.fold_interactions(loaded, self.config.interests)
+        interests, tags = self._of_history(history, now)
         if interests.limit(self.config.interests.min_interests).count() < self.config.interests.min_interests:
             raise NotEnoughInteractions(history=len(history))
-        tags = personalize.tag_weights(loaded, t["document"])
-        cands = self._candidates(self._condition(filter, None))
-        whole = h.where(F.col("pos").isin([i for i, x in enumerate(history) if x.get("sub_id") is None]) if history else F.lit(False))
-        cands = personalize.exclude_documents(cands, whole)
-        cands = personalize.exclude_documents(cands, h, ("document_id", "sub_id"))
+        cands = self._unseen(self._candidates(self._condition(filter, None)), history)
         return personalize.recommend(cands, interests, tags, None, self._now(now), count, MAX_CANDIDATES, self.config.interests.horizon_days, self.config.interests.min_interests)
 
 

@@ -27,6 +27,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def json_path(name: str) -> str:
+    return "$['" + name + "']"
+
+
+def json_kind(value: Column) -> Column:
+    """Kind of a VARIANT value: boolean, number, string, strings (an array of strings only, or empty), null, other."""
+    kind = F.schema_of_variant(value)
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.when(kind == "BOOLEAN", "boolean").when(number, "number").when(kind == "STRING", "string").when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.when(F.forall(value.try_cast("array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), "strings").otherwise("other")).when(kind == "VOID", "null").otherwise("other")
+
+
+def with_property(json: Column, name: str, value: Column | None) -> Column:
+    """A JSON object with one property set to a VARIANT value, or without it (None). All others keep their types."""
+    kept = F.map_filter(F.parse_json(json).cast("map<string,variant>"), lambda k, v: k != name)
+    changed = F.to_json(kept if value is None else F.map_concat(kept, F.create_map(F.lit(name), value)))
+    return F.to_json(F.parse_json(changed))  # with the names in order
+
+
 def properties_size(json: Column) -> Column:
     """Bytes of a flat object of strings in the row store's binary JSON: 8, and per pair 8, its key and its value."""
     pairs = F.from_json(json, "map<string,string>")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.config import MAX_BATCH, MAX_PROPERTIES_BYTES, MAX_TAGS, BatchTooLarge
+from tarnwick.config import MAX_BATCH, MAX_PROPERTIES_BYTES, MAX_STRING_BYTES, MAX_TAGS, BatchTooLarge
 from tarnwick.functions import ids, values
 from tarnwick.operators.embed import Embedder, embedded
 from tarnwick.operators.split import split_text
@@ -24,18 +25,36 @@ def resolve_candidate(set_to: Column, default_to: Column, existing: Column) -> C
     return F.coalesce(set_to, F.when(default_to.isNotNull(), F.coalesce(existing, default_to)), F.lit(True))
 
 
-def validated(batch: DataFrame) -> DataFrame:
-    """batch (schema.INGEST, with pos) plus ``errors``: the names of the fields that don't hold."""
+def valid_properties(properties: Column, schema: dict[str, str] | None = None) -> Column:
+    """Whether a JSON text is an object of flat properties within all limits: names, kinds (booleans, numbers, strings, lists
+    of strings), lengths of strings, size of the whole, and for each declared property its type. A declared property may
+    be missing, but not null."""
+    object_ = F.try_parse_json(properties)
+    pairs = object_.try_cast("map<string,variant>")
+    kinds = F.transform(F.map_values(pairs), values.json_kind)
+    texts = F.from_json(properties, "map<string,string>")
+    ok = pairs.isNotNull() & F.forall(F.map_keys(pairs), ids.valid_property_id) & F.forall(kinds, lambda k: k != "other")
+    ok = ok & F.forall(F.map_values(texts), lambda t: F.coalesce(F.octet_length(t) <= MAX_STRING_BYTES, F.lit(True)))
+    ok = ok & (values.properties_size(properties) <= MAX_PROPERTIES_BYTES)
+    for name, kind in (schema or {}).items():
+        value = F.try_element_at(pairs, F.lit(name))
+        is_ = values.json_kind(value)
+        fits = {"boolean": is_ == "boolean", "number": is_ == "number", "keyword": is_ == "string", "keyword[]": is_ == "strings", "date": (is_ == "string") & values.parsed_date(F.try_element_at(texts, F.lit(name))).isNotNull()}
+        ok = ok & (~F.array_contains(F.map_keys(pairs), name) | F.coalesce(fits[kind], F.lit(False)))
+    return F.coalesce(ok, F.lit(False))
+
+
+def validated(batch: DataFrame, schema: dict[str, str] | None = None) -> DataFrame:
+    """batch (schema.INGEST, with pos) plus ``errors``: the names of the fields that don't hold. schema: declared properties."""
     split, text = F.coalesce("split", F.lit(False)), F.col("snippet")
-    pairs = F.from_json("properties", "map<string,string>")
     checks = {
         "id": ids.valid_document_id(F.col("id")),
         "snippet": F.when(F.col("file").isNull(), ids.valid_snippet(text, split)).otherwise(text.isNull()),
         "file": F.col("file").isNull() | values.decoded_base64(F.col("file")).isNotNull(),
-        "properties": F.col("properties").isNull() | F.coalesce(F.forall(F.map_keys(pairs), ids.valid_property_id) & (values.properties_size(F.col("properties")) <= MAX_PROPERTIES_BYTES), F.lit(False)),
+        "properties": F.col("properties").isNull() | valid_properties(F.col("properties"), schema),
         "tags": F.col("tags").isNull() | (F.coalesce(F.forall("tags", ids.valid_tag), F.lit(False)) & (F.size("tags") <= MAX_TAGS)),
         "is_candidate": F.col("is_candidate").isNull() | F.col("default_is_candidate").isNull(),
-        "preprocessing": ~(split & F.coalesce("summarize", F.lit(False))),
+        "preprocessing": F.when(F.col("file").isNull(), ~(split & F.coalesce("summarize", F.lit(False)))).otherwise(~F.coalesce("summarize", F.lit(False)) & F.coalesce("split", F.lit(True))),
     }
     errors = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
     return batch.withColumn("errors", errors)
@@ -47,8 +66,8 @@ def last_wins(batch: DataFrame, key: str = "id", order: str = "pos") -> DataFram
 
 
 def prepared(batch: DataFrame) -> DataFrame:
-    """Requests as document rows: trimmed text, hash of the input, step, defaults."""
-    step = F.when(F.coalesce("split", F.lit(False)), "nltk_split_v1").when(F.coalesce("summarize", F.lit(False)), "summarize").otherwise("none")
+    """Requests as document rows: trimmed text, hash of the input, step, defaults. A file is split."""
+    step = F.when(F.coalesce("split", F.col("file").isNotNull()), "nltk_split_v1").when(F.coalesce("summarize", F.lit(False)), "summarize").otherwise("none")
     text = F.coalesce(ids.trimmed(F.col("snippet")), values.decoded_base64(F.col("file")).cast("string"))
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), ids.trimmed)
     return batch.select(ids.trimmed(F.col("id")).alias("document_id"), text.alias("text"), values.sha256_of(text).alias("original_sha256"), step.alias("preprocessing_step"), F.coalesce("properties", F.lit("{}")).alias("properties"), tags.alias("tags"), F.col("is_candidate").alias("set_to"), F.col("default_is_candidate").alias("default_to"))
@@ -87,14 +106,18 @@ class Upsert:
     report: DataFrame
 
 
-def upsert(batch: DataFrame, documents: DataFrame, snippets: DataFrame, embedder: Embedder) -> Upsert:
+def upsert(batch: DataFrame, documents: DataFrame, snippets: DataFrame, embedder: Embedder, schema: dict[str, str] | None = None) -> Upsert:
     """One plan: validate, last wins, classify, embed only what is new, replace rows.
 
-    Invalid requests are reported and the others go on. A re-ingested document loses all its old snippets.
+    Invalid requests, and those whose text gives no snippet, are reported and the others go on. A re-ingested document
+    loses all its old snippets.
     """
-    checked = validated(batch)
+    checked = validated(batch, schema)
     invalid = checked.where(F.size("errors") > 0).select(F.col("id").alias("document_id"), F.lit("invalid").alias("status"))
-    rows = classified(last_wins(prepared_with_pos(checked.where(F.size("errors") == 0)), "document_id"), documents)
+    asked = last_wins(prepared_with_pos(checked.where(F.size("errors") == 0)), "document_id")
+    empty = F.coalesce(ids.trimmed(F.col("text")), F.lit("")) == ""
+    invalid = invalid.unionByName(asked.where(empty).select("document_id", F.lit("invalid").alias("status")))
+    rows = classified(asked.where(~empty), documents)
     columns = ["document_id", "original_sha256", "preprocessing_step", "properties", "tags", "is_candidate"]
     next_docs = documents.join(rows.select("document_id"), "document_id", "left_anti").select(*columns).unionByName(rows.select(*columns))
     new = rows.where("status = 'new'")
@@ -141,15 +164,13 @@ def put_properties(documents: DataFrame, changes: DataFrame) -> DataFrame:
     return documents.join(new, "document_id", "left").withColumn("properties", F.coalesce("new", "properties")).drop("new")
 
 
-def put_property(documents: DataFrame, document_id: str, name: str, value_json: str) -> DataFrame:
-    kept = F.map_filter(F.from_json("properties", "map<string,string>"), lambda k, v: k != name)
-    value = F.to_json(F.map_concat(kept, F.create_map(F.lit(name), F.lit(value_json))))
-    return _where_id(documents, document_id, "properties", value)
+def put_property(documents: DataFrame, document_id: str, name: str, value) -> DataFrame:
+    """value: any JSON value as Python has it. The document's other properties keep their values and types."""
+    return _where_id(documents, document_id, "properties", values.with_property(F.col("properties"), name, F.parse_json(F.lit(json.dumps(value)))))
 
 
 def delete_property(documents: DataFrame, document_id: str, name: str) -> DataFrame:
-    kept = F.map_filter(F.from_json("properties", "map<string,string>"), lambda k, v: k != name)
-    return _where_id(documents, document_id, "properties", F.to_json(kept))
+    return _where_id(documents, document_id, "properties", values.with_property(F.col("properties"), name, None))
 
 
 def put_tags(documents: DataFrame, document_id: str, tags: list[str]) -> DataFrame:

@@ -75,23 +75,15 @@ def knn(snippets: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 v = np.frombuffer(r.vecs).reshape(len(r.docs), -1)
                 s = np.clip(np.frombuffer(r.matrix).reshape(len(r.qs), -1) @ v.T, -1.0, 1.0)
-                docs, subs, found = np.array(r.docs, object), np.array(r.subs), []
-                at: dict[str, list[int]] = {}
-                if any(len(x) for x in r.exclude):
-                    for i, d in enumerate(r.docs):
-                        at.setdefault(d, []).append(i)
-                for i, (q, n, without) in enumerate(zip(r.qs, r.ks, r.exclude, strict=True)):
-                    row = s[i]
-                    for d in without:
-                        row[at.get(d, [])] = -np.inf
-                    if n < len(row):
-                        least = np.partition(row, len(row) - n)[len(row) - n]
-                        take = np.flatnonzero(row >= least)  # with all ties, which the final ranking resolves
-                    else:
-                        take = np.arange(len(row))
-                    take = take[row[take] > -np.inf]
-                    found.append(pd.DataFrame({"q": q, "document_id": docs[take], "sub_id": subs[take], "score": (1 + row[take]) / 2, "k": n}))
-                yield pd.concat(found)
+                docs, ks = np.array(r.docs, object), np.minimum(np.array(r.ks), len(r.docs))
+                out = pd.DataFrame({"q": np.repeat(np.arange(len(ks)), [len(x) for x in r.exclude]), "d": [d for x in r.exclude for d in x]})
+                if len(out):
+                    out = out.merge(pd.DataFrame({"d": docs, "at": np.arange(len(docs))}), on="d")
+                    s[out["q"], out["at"]] = -np.inf
+                best = -np.sort(-np.partition(s, s.shape[1] - ks.max(), axis=1)[:, s.shape[1] - ks.max() :], axis=1)
+                least = best[np.arange(len(ks)), ks - 1]
+                q, d = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # with all ties, which the final ranking resolves
+                yield pd.DataFrame({"q": np.array(r.qs, object)[q], "document_id": docs[d], "sub_id": np.array(r.subs)[d], "score": (1 + s[q, d]) / 2, "k": np.array(r.ks)[q]})
 
     # query blocks times snippet blocks: a stated query set against all rows
     best = packed.crossJoin(blocks).mapInPandas(score, RESULT + ", k int")

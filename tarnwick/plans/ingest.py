@@ -165,9 +165,17 @@ def properties_put(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.put_properties(_stored(spark, sf), changes).select("document_id", "properties")
 
 
-@query(f"SELECT document_id, CASE WHEN document_id = '7' THEN '{{\"lang\":\"' || lang || '\",\"topic\":\"x\"}}' WHEN document_id = '8' THEN '{{\"lang\":\"' || lang || '\"}}' ELSE p END AS properties FROM ({STORED})")
+@query("""SELECT doc_id::VARCHAR AS document_id, CASE
+  WHEN doc_id = 7 THEN '{"lang":"' || lang || '","long":' || (n_chars > 500)::VARCHAR || ',"n":' || n_chars || ',"some":["x","' || source || '"],"topic":' || '[1.5,"a"]' || '}'
+  WHEN doc_id = 8 THEN '{"lang":"' || lang || '","long":' || (n_chars > 500)::VARCHAR || ',"n":' || n_chars || ',"some":["x","' || source || '"]}'
+  WHEN doc_id = 9 THEN '{"lang":"' || lang || '","long":' || (n_chars > 500)::VARCHAR || ',"n":12,"some":["x","' || source || '"],"source":"' || source || '"}'
+  ELSE '{"lang":"' || lang || '","long":' || (n_chars > 500)::VARCHAR || ',"n":' || n_chars || ',"some":["x","' || source || '"],"source":"' || source || '"}' END AS properties FROM documents""")
 def property_put_and_delete(spark: SparkSession, sf: str) -> DataFrame:
-    d = ingest.put_property(_stored(spark, sf), "7", "topic", "x")
+    """Single properties of all kinds: the others of the document keep their types."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = F.struct("lang", (F.col("n_chars") > 500).alias("long"), F.col("n_chars").alias("n"), F.array(F.lit("x"), F.col("source")).alias("some"), "source")
+    d = d.select(F.col("doc_id").cast("string").alias("document_id"), F.to_json(mixed).alias("properties"))
+    d = ingest.put_property(ingest.put_property(d, "7", "topic", [1.5, "a"]), "9", "n", 12)
     d = ingest.delete_property(ingest.delete_property(d, "7", "source"), "8", "source")
     return d.select("document_id", "properties")
 

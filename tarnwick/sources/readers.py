@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,17 @@ NEWS = "document_id string, category string, sub_category string, title string,
 
 
 def requests(spark: SparkSession, path: str) -> DataFrame:
-    """Ingestion requests from JSON lines, with their order; unknown fields make a row invalid by _corrupt_record."""
-    rows = spark.read.schema(INGEST).json(path)
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    """Ingestion requests from JSON lines, with their order: by file name, then by place in the file. A line that is no
+    object, or has unknown fields, becomes a row without id, which validation rejects."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    fields = F.map_keys(F.try_parse_json("value").try_cast("map<string,variant>"))
+    fine = F.coalesce(F.size(F.array_except(fields, F.array(*[F.lit(f.name) for f in INGEST.fields]))) == 0, F.lit(False))
+    # rows of one block have ascending numbers; blocks are counted in order, so only a row for each block is sorted alone
+    blocks = lines.groupBy("path", "block").agg(F.min("nth").alias("from"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", "from", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rows = lines.join(F.broadcast(blocks), ["path", "block"]).where("trim(value) <> ''")
+    return rows.select(F.when(fine, F.from_json("value", INGEST)).alias("row"), (F.col("offset") + F.col("nth") - F.col("from")).alias("pos")).select("row.*", "pos")
 
 
 def requests_of(spark: SparkSession, documents: list[dict]) -> DataFrame:

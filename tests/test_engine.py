@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import base64
+import json
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.config import BatchTooLarge, DocumentNotFound, EngineConfig, IncompatibleType, IncompatibleUpdate, InterestConfig, InvalidCount, InvalidFilter, NotEnoughInteractions, PropertyNotFound, UnindexedId
+from tarnwick.config import BatchTooLarge, DocumentNotFound, EngineConfig, IncompatibleType, IncompatibleUpdate, InterestConfig, InvalidCount, InvalidFilter, InvalidProperties, InvalidUser, NotEnoughInteractions, PropertyNotFound, UnindexedId
 from tarnwick.engine import Engine
 from tarnwick.functions import ids, values
 from tarnwick.operators import evaluate, filters, fusion, ingest, interests, personalize, split, summarize
@@ -254,6 +256,18 @@ def test_engine_end_to_end(spark, tmp_path):
     assert {r["document_id"] for r in inline} == {"food2", "food3"}
     personal = engine.search(text="number3", count=5, user_id="u1", now=NOW).collect()
     assert "sky0" not in {r["document_id"] for r in personal}
+    assert engine.store.tables("t1")["users"].first()["last_seen"] is not None
+    later = NOW + timedelta(days=1)
+    engine.recommend_user("u1", count=1, now=later)
+    assert engine.store.tables("t1")["users"].first()["last_seen"].replace(tzinfo=UTC) == later
+    by_history = engine.search(text="number3", count=5, history=[{"document_id": "sky0"}, {"document_id": "sky1"}, {"document_id": "sky1"}], now=NOW).collect()
+    assert {r["document_id"] for r in by_history} and not {"sky0", "sky1"} & {r["document_id"] for r in by_history}
+    assert len({r["score"] for r in by_history}) > 1
+    with pytest.raises(InvalidUser):
+        engine.search(text="x", user_id="u1", history=[])
+    one, all_ = (engine.search(text="number3 sky", hybrid=True, show_raw_scores=True, filter=f, count=20, exclude_seen=False).collect() for f in ({"$ids": ["sky3"]}, None))
+    raw = {r["document_id"]: r["bm25_score"] for r in all_}
+    assert one[0]["bm25_score"] == pytest.approx(raw["sky3"])
 
     assert [r[0] for r in engine.set_candidates(["sky2", "nope"]).collect()] == ["nope"]
     assert [r[0] for r in engine.candidates().collect()] == ["sky2"]
@@ -269,6 +283,22 @@ def test_engine_end_to_end(spark, tmp_path):
         engine.property("sky2", "kind")
     with pytest.raises(DocumentNotFound):
         engine.property("gone", "kind")
+    engine.extend_schema({"size": "number", "on": "boolean", "names": "keyword[]", "at": "date", "word": "keyword"})
+    engine.put_properties("sky2", '{"size": 1.5, "on": true, "names": ["a", "b"], "at": "2024-01-02T03:04:05Z", "free": 7}')
+    engine.put_property("sky2", "size", 3)
+    engine.put_property("sky2", "other", ["x"])
+    engine.delete_property("sky2", "free")
+    assert json.loads(engine.properties("sky2").first()[0]) == {"size": 3, "on": True, "names": ["a", "b"], "at": "2024-01-02T03:04:05Z", "other": ["x"]}
+    for name, bad in (("size", "3"), ("on", 1), ("names", "a"), ("at", "yesterday"), ("word", 5)):
+        with pytest.raises(IncompatibleType):
+            engine.put_property("sky2", name, bad)
+    for bad in ('{"size": "3"}', '{"on": null}', '{"names": [1]}', '{"at": "x"}', '{"free": {"a": 1}}', '["no object"]', '{"long": "' + "x" * 2049 + '"}', '{"a b": 1}', json.dumps({f"k{i}": "x" * 600 for i in range(5)})):
+        with pytest.raises(InvalidProperties):
+            engine.put_properties("sky2", bad)
+    told = engine.upsert([{"id": "p1", "snippet": "text", "properties": '{"size": true}'}, {"id": "p2", "snippet": "text", "properties": '{"size": 4}'}, {"id": "p3", "file": base64.b64encode(b" \n ").decode()}, {"id": "p4", "file": base64.b64encode(b"One. Two.").decode(), "split": False}, {"id": "p5", "file": base64.b64encode(b"One. Two.").decode()}, {"id": "p6", "file": base64.b64encode(b"One.").decode(), "summarize": True}])
+    assert {r[0]: r[1] for r in told.collect()} == {"p1": "invalid", "p2": "new", "p3": "invalid", "p4": "invalid", "p5": "new", "p6": "invalid"}
+    steps = {r["document_id"]: r["preprocessing_step"] for r in engine.store.tables("t1")["document"].collect()}
+    assert steps["p5"] == "nltk_split_v1" and steps["p2"] == "none"
     engine.put_tags("sky2", ["x", "x"])
     engine.store.create("t2")
     assert engine.store.tenants() == ["t1", "t2"]
@@ -294,6 +324,14 @@ def test_readers(spark, tmp_path):
     assert readers.json_document(spark, str(tmp_path / "p.json")).first()["name"] == ["a/b"]
     (tmp_path / "r.jsonl").write_text('{"id": "a", "snippet": "x", "tags": ["t"]}\n')
     assert readers.requests(spark, str(tmp_path / "r.jsonl")).first()["tags"] == ["t"]
+    lines = [json.dumps({"id": f"d{i}", "snippet": "s"} | ({"unknown": 1} if i == 3 else {})) for i in range(6)] + ["no json"]
+    (tmp_path / "many").mkdir()
+    for k in range(2):
+        (tmp_path / "many" / f"{k}.jsonl").write_text("\n".join(lines[k::2]) + "\n")
+    got = readers.requests(spark, str(tmp_path / "many")).orderBy("pos").collect()
+    assert [r["id"] for r in got] == ["d0", "d2", "d4", None, "d1", None, "d5"] and [r["pos"] for r in got] == list(range(7))
+    bad = ingest.validated(readers.requests(spark, str(tmp_path / "many"))).where("size(errors) > 0").count()
+    assert bad == 2
     with pytest.raises(ValueError):
         readers.requests_of(spark, [{"id": "a", "unknown": 1}])
     readers.write_results(clicks, str(tmp_path / "out"), "json")
