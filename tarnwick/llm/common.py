@@ -42,7 +42,8 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
 
 def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     """The columns of docs out of ``_row``, then the new ones; a column of docs named like a new one gives way to it."""
-    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], *[c.alias(name) for name, c in new.items()])
+    made = rows.withColumns({f"_new_{name}": c for name, c in new.items()}) if new else rows  # apart from docs' names, which new may use inside
+    return made.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], *[F.col(f"_new_{name}").alias(name) for name in new])
 
 
 def same_row(names: dict[str, str]) -> Column:

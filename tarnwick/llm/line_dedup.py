@@ -155,7 +155,8 @@ def line_dedup_stage(docs: DataFrame, **options) -> DataFrame:
     dedup_lines(): null texts and texts without words stay."""
     cuts = line_cuts(docs, **options).where("size(gone) > 0").withColumn("all", F.size("gone") == F.col("n_lines"))
     out = _with_cuts(docs, cuts).where(~F.coalesce("all", F.lit(False)))
+    cut = F.col("gone").isNotNull()
+    out = out.withColumn("_text", F.when(cut, _kept(F.col("_row")["text"], F.col("gone"))).otherwise(F.col("_row")["text"]))
     kinds = {f.name: f.dataType for f in docs.schema}
-    text = F.when(F.col("gone").isNotNull(), _kept(F.col("_row")["text"], F.col("gone"))).otherwise(F.col("_row")["text"])
-    new = {"text": text, "n_chars": F.when(F.col("gone").isNotNull(), F.length(text)).otherwise(F.length(F.col("_row")["text"]))}
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
     return out.select(*[(new[c].cast(kinds[c]) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])

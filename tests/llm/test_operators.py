@@ -538,6 +538,29 @@ def test_feistel_is_a_permutation(spark):
 # --- all ---
 
 
+CLASHES = ["_row", "_id", "_tie", "_copy", "_nth", "row_key", "copy", "copies", "rows", "at", "all", "starts", "hits", "made", "gone", "kinds", "safe", "rid", "node", "component_id", "n_lines", "text2"]
+
+
+@pytest.mark.parametrize("name", ["quality", "lines", "near", "prints", "mix", "dedup_lines", "pii"])
+def test_clashing_columns_keep_their_values(spark, name):
+    rng = random.Random(23)
+    rows = [(i, "\n".join(sentence(rng, 20) for _ in range(4)), f"s{i % 3}") for i in range(30)] + [(None, None, None), (31, "", "s1")]
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select(*[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES], "*")
+    run = {
+        "quality": quality.quality_stage, "lines": line_dedup.line_dedup_stage, "near": simhash.near_copies_stage, "prints": simhash.near_dedup_stage, "mix": mixing.mix_stage,
+        "dedup_lines": line_dedup.dedup_lines, "pii": lambda d: pii.pseudonyms(d, "k"),
+    }[name]
+    out = run(docs)
+    mine = [c for c in CLASHES if not (name == "dedup_lines" and c == "n_lines")]
+    assert [c for c in docs.columns if c in mine] == [c for c in out.columns if c in mine]
+    got = out.collect()
+    assert len(got) > 10
+    for r in got:
+        assert all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for c in mine)
+    assert run(docs.where("false")).collect() == []
+
+
 @pytest.mark.parametrize("name", ["mix", "quality", "simhash", "lines", "lz", "pack", "tokens", "repeats", "pii"])
 def test_empty_tables(spark, name):
     import public_tokenizers
