@@ -34,8 +34,9 @@ def choose(rows: DataFrame, n: int, key: Column, seed: int = 42) -> DataFrame:
 
 
 def happens(probability: float, key: Column, seed: int = 42) -> Column:
-    """A reproducible coin flip per key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(probability * 1_000_000)
+    """A reproducible coin flip per key, by a digest that every engine has."""
+    digest = F.md5(F.concat_ws("#", key, F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % 1_000_000 < int(probability * 1_000_000)
 
 
 def saturation(recommended: DataFrame, categories: DataFrame) -> DataFrame:

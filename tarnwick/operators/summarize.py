@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,21 +14,38 @@ from pyspark.sql import functions as F
 SHORTEST, LONGEST, SENTENCES = 50, 1500, 4
 MOST_AT_ONCE, CHUNK, FROM_CHUNK = 2000, 500, 100
 
-
-def sentence_scores(sentences: list[str], only_first: bool = True) -> dict[int, float]:
-    """By position in the text: the sum over later sentences of |common words|^3, over length^5. Kept are sentences
-    between SHORTEST and LONGEST bytes; with only_first, of them only those at positions below the number kept."""
-    kept = [i for i, s in enumerate(sentences) if SHORTEST < len(s.encode()) < LONGEST]
-    if only_first:
-        kept = [i for i in kept if i < len([1 for s in sentences if SHORTEST < len(s.encode()) < LONGEST])]
-    words = {i: set(sentences[i].lower().split()) for i in kept}
-    out = {}
-    for n, i in enumerate(kept):
-        shared = sum(len(words[i] & words[j]) ** 3 for j in kept[n + 1 :])
-        out[i] = shared / len(sentences[i].encode()) ** 5 * 1e10
+WORD = re.compile(r"\S+", re.ASCII)
+
+
+def _overlaps(words: list[set[str]]) -> np.ndarray:
+    """For each set of words, the sum over later ones of |common words|^3, from the places of each word."""
+    places: dict[str, list[int]] = {}
+    for n, ws in enumerate(words):
+        for w in ws:
+            places.setdefault(w, []).append(n)
+    where = {w: np.array(at) for w, at in places.items() if len(at) > 1}
+    out = np.zeros(len(words), np.int64)
+    for n, ws in enumerate(words):
+        at = [where[w] for w in ws if w in where]
+        if at:
+            out[n] = (np.bincount(np.concatenate(at), minlength=len(words))[n + 1 :].astype(np.int64) ** 3).sum()
     return out
 
 
+def _kept(sentences: list[str]) -> dict[int, int]:
+    """Sizes in bytes of the sentences between SHORTEST and LONGEST, by position; of them only those at positions below
+    the number of such sentences."""
+    sizes = {i: n for i, s in enumerate(sentences) if SHORTEST < (n := len(s.encode("utf-8", "replace"))) < LONGEST}
+    return {i: n for i, n in sizes.items() if i < len(sizes)}
+
+
+def sentence_scores(sentences: list[str]) -> dict[int, float]:
+    """By position in the text: the sum over later kept sentences of |common words|^3, over length^5."""
+    kept = _kept(sentences)
+    shared = _overlaps([set(sentences[i].lower().split()) for i in kept])
+    return {i: int(n) / size**5 * 1e10 for (i, size), n in zip(kept.items(), shared, strict=True)}
+
+
 def _best(scores: dict[int, float], n: int) -> list[int]:
     order = sorted((i for i, s in scores.items() if s > 0), key=lambda i: (-scores[i], i))
     return sorted(order[:n])
@@ -60,19 +78,21 @@ def summarized(text: Column) -> Column:
 
 
 def sentence_overlap(docs: DataFrame) -> DataFrame:
-    """(document_id, i, shared, size) of the kept sentences of each document: by an equi-join of the sentences' words,
-    the sum over later sentences of |common words|^3, and the length in bytes; shared / size^5 is the sentence's score."""
-    s = docs.select("document_id", F.posexplode(F.split("text", r"\.")).alias("i", "raw")).withColumn("sentence", F.btrim("raw"))
-    size = F.octet_length("sentence")
-    s = s.withColumn("size", size).where((size > SHORTEST) & (size < LONGEST))
-    counts = s.groupBy("document_id").agg(F.count(F.lit(1)).alias("kept"))
-    s = s.join(counts, "document_id").where("i < kept").select("document_id", "i", "size", F.array_distinct(F.filter(F.split(F.lower("sentence"), r"\s+"), lambda w: w != "")).alias("words"))
-    w = s.select("document_id", "i", F.explode("words").alias("word"))
-    later = w.select("document_id", F.col("i").alias("j"), "word")
-    common = w.join(later, ["document_id", "word"]).where("i < j").groupBy("document_id", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    total = common.groupBy("document_id", "i").agg(F.sum(F.col("n") * F.col("n") * F.col("n")).alias("shared"))
-    out = s.join(total, ["document_id", "i"], "left")
-    return out.select("document_id", F.col("i").cast("long").alias("i"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), F.col("size").cast("long").alias("size"))
+    """(document_id, i, shared, size) of the kept sentences of each document: the sum over later sentences of
+    |common words|^3, and the length in bytes; shared / size^5 is the sentence's score. No shuffle: a text is one row."""
+    schema = docs.select("document_id").withColumns({n: F.lit(0).cast("long") for n in ("i", "shared", "size")}).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for document_id, text in zip(pdf["document_id"], pdf["text"], strict=True):
+                sentences = [s.strip(" ") for s in (text or "").split(".")]
+                kept = _kept(sentences)
+                shared = _overlaps([set(WORD.findall(sentences[i].lower())) for i in kept])
+                rows += [(document_id, i, n, size) for (i, size), n in zip(kept.items(), shared, strict=True)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return docs.select("document_id", "text").mapInPandas(run, schema)
 
 
 def pagerank(similarity: np.ndarray, damping: float = 0.85, tolerance: float = 1e-3) -> np.ndarray:

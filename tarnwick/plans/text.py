@@ -42,7 +42,22 @@ def sentence_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return summarize.sentence_overlap(_docs(spark, sf))
 
 
-@query()
+@query("""WITH s AS (
+  SELECT doc_id, unnest(string_split(text, '.')) AS raw, generate_subscripts(string_split(text, '.'), 1) - 1 AS i FROM documents
+), t AS (
+  SELECT doc_id, i, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence FROM s
+), k AS (
+  SELECT *, strlen(sentence) AS size, count(*) OVER (PARTITION BY doc_id) AS kept FROM t WHERE strlen(sentence) > 50 AND strlen(sentence) < 1500
+), w AS (
+  SELECT doc_id, i, sentence, size, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '\\s+'), lambda x: x <> '')) AS words FROM k WHERE i < kept
+), sc AS (
+  SELECT a.doc_id, a.i, a.sentence, sum(pow(len(list_intersect(a.words, b.words)), 3)) / pow(a.size, 5) * 1e10 AS score
+  FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.i < b.i GROUP BY a.doc_id, a.i, a.sentence, a.size
+), best AS (
+  SELECT doc_id, string_agg(sentence, '.' || chr(10) ORDER BY i) AS summary
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS n FROM sc WHERE score > 0) WHERE n <= 4 GROUP BY doc_id
+)
+SELECT d.doc_id::VARCHAR AS document_id, coalesce(summary, text, '') AS summary FROM documents d LEFT JOIN best USING (doc_id)""")
 def summarize_naive(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("document_id", summarize.summarized(F.col("text")).alias("summary"))
 

@@ -290,7 +290,23 @@ def click_replay(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("impression_id", F.round("ndcg_at_5", 6).alias("ndcg_at_5"))
 
 
-@query()
+def _happens(percent: int, seed: int) -> str:
+    return f"('0x' || substr(md5(persona || ':' || doc_id || '#{seed}'), 1, 12))::BIGINT % 1000000 < {percent * 10_000}"
+
+
+@query(f"""WITH p AS (
+  SELECT * FROM (VALUES ('anglophone', 1), ('francophile', 2), ('generalist', 3)) v(persona, k)
+), shown AS (
+  SELECT persona, doc_id, n_chars, CASE k WHEN 1 THEN lang = 'en' OR source IN ('src1', 'src2') WHEN 2 THEN lang = 'fr' OR source = 'src3' ELSE lang IN ('de', 'es') OR source IN ('src4', 'src5') END AS fully,
+    CASE k WHEN 1 THEN lang = 'en' OR source <> 'src1' OR source <> 'src2' WHEN 2 THEN lang = 'fr' OR source <> 'src3' ELSE lang IN ('de', 'es') OR source <> 'src4' OR source <> 'src5' END AS half
+  FROM documents, p
+), r AS (
+  SELECT persona, CASE WHEN fully AND {_happens(20, 42)} THEN 2 WHEN half AND {_happens(5, 43)} THEN 1 ELSE 0 END AS rel,
+    row_number() OVER (PARTITION BY persona ORDER BY n_chars DESC, doc_id) AS rank FROM shown
+), i AS (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY rel DESC, rank) AS ideal FROM r)
+SELECT persona, round(sum(CASE WHEN rank <= 3 THEN (pow(2, rel) - 1) / log2(rank + 1.0) ELSE 0 END) / (sum(CASE WHEN ideal <= 3 THEN (pow(2, rel) - 1) / log2(ideal + 1.0) ELSE 0 END) + 1e-5), 6) AS ndcg_at_3,
+  round(sum(CASE WHEN rank <= 5 THEN (pow(2, rel) - 1) / log2(rank + 1.0) ELSE 0 END) / (sum(CASE WHEN ideal <= 5 THEN (pow(2, rel) - 1) / log2(ideal + 1.0) ELSE 0 END) + 1e-5), 6) AS ndcg_at_5
+FROM i GROUP BY persona""")
 def persona_clicks(spark: SparkSession, sf: str) -> DataFrame:
     """Simulated personas: each clicks a fifth of the interesting documents it is shown; nDCG of showing by length."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
