@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tarnwick.config import MAX_INTERESTS_FOR_KNN, InterestConfig
 from tarnwick.functions.values import dot, moved
 
+#: Rows of one user that meet the user's centres in one group.
+ROWS_A_PART = 20_000
+
 INTERESTS = "user_id string, coi_id string, step int, point array<double>, view_count long, view_time_ms long, last_view timestamp"
 
 
@@ -70,49 +73,58 @@ class UserFold:
                 self.centres[i]["view_count"] += 1
                 self.centres[i]["last_view"] = time
                 return
+        self.append(e, new_centre(self.user, n, time))
+
+    def append(self, e: np.ndarray, centre: dict) -> None:
+        n = len(self.centres)
         if n == len(self.points):
             grown = np.empty((max(8, 2 * n), len(e)))
             grown[:n] = self.points[:n] if n else grown[:0]
             self.points = grown
         self.points[n] = e
-        self.centres.append(new_centre(self.user, n, time))
+        self.centres.append(centre)
 
     def frame(self) -> pd.DataFrame:
         return state_frame(self.user, [c | {"point": p} for c, p in zip(self.centres, self.points, strict=False)])
 
 
+#: What a centre from before the events brings, beside its user, time and point.
+BEFORE = {"step": "int", "coi_id": "string", "view_count": "long", "view_time_ms": "long"}
+
+
 def fold_interactions(events: DataFrame, config: InterestConfig = InterestConfig(), prior: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Centres of every user after all events (user_id, time_stamp, event_id, embedding), in order of time and event.
 
     Events are dealt by user and sorted, and each task folds them as they stream past: it holds one user's centres,
-    never a user's events. prior: centres from before; then users are cogrouped with theirs.
+    never a user's events. prior: centres from before, which go ahead of their user's events.
     """
-    slim = events.select("user_id", "time_stamp", "event_id", F.col("embedding").alias("e"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in BEFORE.items()]
+    rows = events.select("user_id", "time_stamp", "event_id", F.col("embedding").cast("array<double>").alias("e"), *none)
+    if prior is not None:
+        no_event = F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id")
+        rows = rows.unionByName(prior.select("user_id", F.col("last_view").alias("time_stamp"), no_event, F.col("point").alias("e"), *[F.col(n).cast(t) for n, t in BEFORE.items()]))
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now: UserFold | None = None
         for pdf in batches:
             done = []
             vectors = np.array(pdf["e"].tolist(), np.float64)
-            for user, time, e in zip(pdf["user_id"], pdf["time_stamp"], vectors, strict=True):
+            for user, time, e, coi_id, views, ms in zip(pdf["user_id"], pdf["time_stamp"], vectors, pdf["coi_id"], pdf["view_count"], pdf["view_time_ms"], strict=True):
                 if now is None or user != now.user:
                     if now is not None:
                         done.append(now.frame())
                     now = UserFold(user, config)
-                now.add(time, e)
+                if isinstance(coi_id, str):
+                    now.append(e, {"coi_id": coi_id, "step": len(now.centres), "view_count": int(views), "view_time_ms": int(ms), "last_view": time})
+                else:
+                    now.add(time, e)
             if done:
                 yield pd.concat(done)
         if now is not None:
             yield now.frame()
 
-    def with_prior(key: tuple, pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        state = [r | {"point": np.asarray(r["point"], np.float64)} for r in before.sort_values("step").drop(columns="user_id").to_dict("records")]
-        pdf = pdf.sort_values(["time_stamp", "event_id"])
-        return state_frame(key[0], fold(state, zip(pdf["time_stamp"], pdf["e"], strict=True), key[0], config))
-
-    if prior is None:
-        return slim.repartition("user_id").sortWithinPartitions("user_id", "time_stamp", "event_id").mapInPandas(stream, INTERESTS)
-    return slim.groupBy("user_id").cogroup(prior.groupBy("user_id")).applyInPandas(with_prior, INTERESTS)
+    order = ["user_id", F.col("step").asc_nulls_last(), "time_stamp", "event_id"]
+    return rows.repartition("user_id").sortWithinPartitions(*order).mapInPandas(stream, INTERESTS)
 
 
 def fold_column(events: Column, config: InterestConfig = InterestConfig()) -> Column:  # noqa: B008
@@ -164,10 +176,21 @@ def top_interests(weighted: DataFrame, most: int = MAX_INTERESTS_FOR_KNN) -> Dat
     return out.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("user_id")))
 
 
+def _dealt(rows: DataFrame, centres: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows and centres with a part: users with more than ROWS_A_PART rows are dealt over as many parts as they need, by
+    a hash of the key, and their centres go to each part. Only such users are in the table of sizes."""
+    sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROWS_A_PART).select("user_id", F.ceil(F.col("n") / ROWS_A_PART).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(sizes, "user_id", "left").withColumn("part", F.pmod(F.xxhash64(*key), parts).cast("int"))
+    right = centres.join(sizes, "user_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("parts"), right.drop("parts")
+
+
 def interest_scores(pairs: DataFrame, relevant: DataFrame) -> DataFrame:
     """(user_id, document_id, sub_id, score) for pairs (user_id, document_id, sub_id, embedding): of the user's centre
     nearest to the snippet (the first of equally near ones) (similarity * decay + relevance + 1) / 4. Users without a
-    centre have no scores. Pairs and centres meet by user, as two matrices; a user has few centres."""
+    centre have no scores. Pairs and centres meet by user, as two matrices; a user has few centres, and
+    one with many pairs is dealt over parts."""
     schema = pairs.select("user_id", "document_id", "sub_id").withColumn("score", F.lit(0.0)).schema
 
     def run(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -179,8 +202,8 @@ def interest_scores(pairs: DataFrame, relevant: DataFrame) -> DataFrame:
         score = (sims[np.arange(len(p)), best] * c["decay"].to_numpy()[best] + c["relevance"].to_numpy()[best] + 1) / 4
         return pd.DataFrame({"user_id": p["user_id"].to_numpy(), "document_id": p["document_id"].to_numpy(), "sub_id": p["sub_id"].to_numpy(), "score": score})
 
-    left = pairs.select("user_id", "document_id", "sub_id", "embedding").groupBy("user_id")
-    return left.cogroup(relevant.select("user_id", "step", "point", "decay", "relevance").groupBy("user_id")).applyInPandas(run, schema)
+    left, right = _dealt(pairs.select("user_id", "document_id", "sub_id", "embedding"), relevant.select("user_id", "step", "point", "decay", "relevance"), ["document_id", "sub_id"])
+    return left.groupBy("user_id", "part").cogroup(right.groupBy("user_id", "part")).applyInPandas(run, schema)
 
 
 def view_times(views: DataFrame, interests: DataFrame) -> DataFrame:
@@ -195,6 +218,8 @@ def view_times(views: DataFrame, interests: DataFrame) -> DataFrame:
         sums = np.bincount(sims.argmax(axis=1), weights=v["view_ms"].to_numpy(np.float64), minlength=len(c))
         return pd.DataFrame({"user_id": c["user_id"].to_numpy(), "coi_id": c["coi_id"].to_numpy(), "added": sums.astype(np.int64)})
 
-    per = views.select("user_id", "embedding", "view_ms").groupBy("user_id").cogroup(interests.select("user_id", "coi_id", "step", "point").groupBy("user_id")).applyInPandas(run, added)
+    left, right = _dealt(views.select("user_id", "embedding", "view_ms"), interests.select("user_id", "coi_id", "step", "point"), ["embedding", "view_ms"])
+    per = left.groupBy("user_id", "part").cogroup(right.groupBy("user_id", "part")).applyInPandas(run, added)
+    per = per.groupBy("user_id", "coi_id").agg(F.sum("added").alias("added"))
     out = interests.join(per, ["user_id", "coi_id"], "left").withColumn("view_time_ms", F.col("view_time_ms") + F.coalesce("added", F.lit(0)))
     return out.select(*interests.columns)

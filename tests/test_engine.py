@@ -359,3 +359,28 @@ def test_view_times(spark):
     c = spark.createDataFrame([("u", "a", 0, [1.0, 0.0], 5), ("u", "b", 1, [0.0, 1.0], 0), ("v", "c", 0, [1.0, 0.0], 1)], "user_id string, coi_id string, step int, point array<double>, view_time_ms long")
     v = spark.createDataFrame([("u", [0.9, 0.1], 10), ("u", [0.8, 0.1], 1), ("w", [1.0, 0.0], 3)], "user_id string, embedding array<double>, view_ms long")
     assert {r["coi_id"]: r["view_time_ms"] for r in interests.view_times(v, c).collect()} == {"a": 16, "b": 0, "c": 1}
+
+
+def test_users_with_many_rows_are_dealt_over_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = spark.createDataFrame([("u" if i % 3 else "v", str(i), 0, rng.normal(size=4).tolist()) for i in range(60)], "user_id string, document_id string, sub_id long, embedding array<double>")
+    centres = spark.createDataFrame([(u, f"{u}{i}", i, rng.normal(size=4).tolist(), 0.5, 0.25, 0) for u in "uvw" for i in range(3)], "user_id string, coi_id string, step int, point array<double>, decay double, relevance double, view_time_ms long")
+    views = pairs.select("user_id", "embedding", F.length("document_id").cast("long").alias("view_ms"))
+
+    def both():
+        return sorted((r["user_id"], r["document_id"], round(r["score"], 12)) for r in interests.interest_scores(pairs, centres).collect()), sorted((r["coi_id"], r["view_time_ms"]) for r in interests.view_times(views, centres).collect())
+
+    whole = both()
+    monkeypatch.setattr(interests, "ROWS_A_PART", 7)
+    assert both() == whole and len(whole[0]) == 60 and len(whole[1]) == 9
+
+
+def test_fold_after_earlier_centres_equals_one_fold(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    rows = [(f"u{i % 3}", NOW + timedelta(minutes=i), i, unit(rng.normal(size=3))) for i in range(60)]
+    e = spark.createDataFrame(rows, "user_id string, time_stamp timestamp, event_id long, embedding array<double>")
+    once = interests.fold_interactions(e)
+    twice = interests.fold_interactions(e.where("event_id >= 25 and user_id <> 'u2'"), prior=interests.fold_interactions(e.where("event_id < 25 or user_id = 'u2'")))
+    key = lambda df: sorted((r["user_id"], r["step"], r["coi_id"], r["view_count"], r["last_view"], [round(x, 9) for x in r["point"]]) for r in df.collect())
+    assert key(once) == key(twice)
