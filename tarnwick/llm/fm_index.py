@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 ONE = np.uint64(1)
+#: Suffixes of one run, whose least owner is kept.
+RUN = 32
+NOBODY = np.iinfo(np.int32).max
 
 
 class Bits:
@@ -81,24 +84,32 @@ class FMIndex:
         self.matrix = WaveletMatrix(np.where(last < m, 0, last - m + 1), len(self.alphabet) + 1)
         self.first = np.concatenate([[0, m], m + np.cumsum(np.bincount(flat, minlength=len(self.alphabet)))])
         owner = np.searchsorted(ends, order).astype(np.int64)
-        self.least = [owners[owner].astype(np.int32)]
-        while 2 * (1 << (len(self.least) - 1)) <= len(order):
+        self.owner = np.full(-(-len(order) // RUN) * RUN, NOBODY, np.int32)
+        self.owner[: len(order)] = owners[owner]
+        self.least = [self.owner.reshape(-1, RUN).min(axis=1)]
+        while 2 << (len(self.least) - 1) <= len(self.least[0]):
             step, x = 1 << (len(self.least) - 1), self.least[-1]
             self.least.append(np.minimum(x[:-step], x[step:]))
 
     def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The least owner among the suffixes lo..hi-1 (lo < hi)."""
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int64)
-        for k in np.unique(level):
+        """The least owner among the suffixes lo..hi-1 (lo < hi): its first and last run looked through, the runs between by table."""
+        a, b = lo // RUN, (hi - 1) // RUN
+        out = np.minimum(self._in_run(a, lo, hi), self._in_run(b, lo, hi))
+        between = b - a - 1
+        level = np.frexp(np.maximum(between, 0).astype(np.float64))[1] - 1
+        for k in np.unique(level[between > 0]):
             at = level == k
             x = self.least[k]
-            out[at] = np.minimum(x[lo[at]], x[hi[at] - (1 << int(k))])
+            out[at] = np.minimum(out[at], np.minimum(x[a[at] + 1], x[b[at] - (1 << int(k))]))
         return out
 
-    def extend_back(self, start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def _in_run(self, run: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        at = run[:, None] * RUN + np.arange(RUN)
+        return np.where((at >= lo[:, None]) & (at < hi[:, None]), self.owner[at], NOBODY).min(axis=1)
+
+    def extend_back(self, start: np.ndarray, end: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """For each stretch start..end-1 of the indexed symbols (without separators), read from its end: where its
-        longest ending that an earlier owner has too begins (start if the whole stretch is matched)."""
+        longest ending that an owner below limit has begins (start if the whole stretch is matched)."""
         at = end.copy()
         live = np.arange(len(start))
         lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.first[-1], np.int64)
@@ -107,7 +118,7 @@ class FMIndex:
             a = self.first[c] + self.matrix.rank(c, lo[live])
             b = self.first[c] + self.matrix.rank(c, hi[live])
             found = b > a
-            found[found] = self.earliest(a[found], b[found]) < owner[live[found]]
+            found[found] = self.earliest(a[found], b[found]) < limit[live[found]]
             live, a, b = live[found], a[found], b[found]
             at[live] -= 1
             lo[live], hi[live] = a, b
@@ -115,23 +126,26 @@ class FMIndex:
         return at
 
 
-def matched(parts: list[np.ndarray], owners: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
-    """Per part the intervals covered by windows that an earlier owner has too, as (from, to), merged.
+def matched(parts: list[np.ndarray], owners: np.ndarray, window: int, asked: np.ndarray, limits: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For each asked part (its number) the intervals covered by windows that an owner below its limit has, as
+    (from, to), merged. A part may be asked for several times, with different limits.
 
     A stretch of window + g symbols from s on is read backwards. If all of it is matched, so are g + 1 windows, and
     the stretch grows; if not, it shrinks, and at g = 0 no window can hold the symbol where the match broke off.
+    What is asked on behalf of later owners is in the index as a whole, so that stretch is tried first.
     """
     index = FMIndex(parts, owners)
-    sizes = np.array([len(p) for p in parts])
-    last = sizes - window
-    s, g = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
-    out: list[list[tuple[int, int]]] = [[] for _ in parts]
+    last = np.array([len(p) for p in parts])[asked] - window
+    starts = index.starts[asked]
+    s = np.zeros(len(asked), np.int64)
+    g = np.where(limits > owners[asked], np.maximum(last, 0), 0)
+    out: list[list[tuple[int, int]]] = [[] for _ in asked]
     live = np.flatnonzero(last >= 0)
     while len(live):
-        base = index.starts[live]
+        base = starts[live]
         g[live] = np.minimum(g[live], last[live] - s[live])
         begin, end = base + s[live], base + s[live] + window + g[live]
-        at = index.extend_back(begin, end, owners[live])
+        at = index.extend_back(begin, end, limits[live])
         whole = at == begin
         for i, a, b in zip(live[whole].tolist(), s[live[whole]].tolist(), (end - base)[whole].tolist(), strict=True):
             if out[i] and out[i][-1][1] >= a:

@@ -95,10 +95,10 @@ def _find(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _words_of(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(anchor, cls, doc_id, words, windows) for each wanted (row_key, anchor, cls, start, end, hot): the segment's
-    word hashes, or, where hot, the hashes of its windows."""
+    """(anchor, cls, again, doc_id, words, windows) for each wanted (row_key, anchor, cls, again, start, end, hot): the
+    segment's word hashes, or, where hot, the hashes of its windows."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    per_doc = wanted.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "cls", "start", "end", "hot")).alias("take"))
+    per_doc = wanted.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "cls", "again", "start", "end", "hot")).alias("take"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -109,25 +109,30 @@ def _words_of(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 for t in take:
                     a, b = t["start"], t["end"]
                     s = np.arange(a, b - window + 1)
-                    out.append((t["anchor"], t["cls"], doc_id, None if t["hot"] else words[a:b].tobytes(), hashes.of(s, s + window).view(np.int64) if t["hot"] else None))
+                    out.append((t["anchor"], t["cls"], t["again"], doc_id, None if t["hot"] else words[a:b].tobytes(), hashes.of(s, s + window).view(np.int64) if t["hot"] else None))
             if out:
-                yield pd.DataFrame(out, columns=["anchor", "cls", "doc_id", "words", "windows"])
+                yield pd.DataFrame(out, columns=["anchor", "cls", "again", "doc_id", "words", "windows"])
 
     rows = keyed.join(per_doc, "row_key").select("doc_id", "text", "take")
-    return rows.mapInPandas(run, f"anchor long, cls long, doc_id {kind}, words binary, windows array<long>")
+    return rows.mapInPandas(run, f"anchor long, cls long, again boolean, doc_id {kind}, words binary, windows array<long>")
 
 
 def _search(cold: DataFrame, n_shards: int, window: int) -> DataFrame:
-    """(anchor, cls, a, b): the stretches of each segment that segments of smaller doc_ids hold too. Anchors are dealt
-    to shards by hash, so all segments that can share a window meet in one index."""
+    """(anchor, cls, later, a, b): the stretches of each segment that segments of smaller doc_ids hold too; later: as
+    seen from the other documents that have the segment, else from its first. Anchors are dealt to shards by hash,
+    so all segments that can share a window meet in one index."""
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(w, np.uint64) for w in pdf["words"]]
         owners = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)[1].astype(np.int64)
-        found = matched(parts, owners, window)
-        return pd.DataFrame([(n, c, a, b) for n, c, x in zip(pdf["anchor"], pdf["cls"], found, strict=True) for a, b in x], columns=["anchor", "cls", "a", "b"])
+        again = np.flatnonzero(pdf["again"].to_numpy(bool))
+        asked = np.concatenate([np.arange(len(parts)), again])
+        later = np.arange(len(asked)) >= len(parts)
+        found = matched(parts, owners, window, asked, owners[asked] + later)
+        anchor, cls = pdf["anchor"].to_numpy()[asked], pdf["cls"].to_numpy()[asked]
+        return pd.DataFrame([(n, c, is_later, a, b) for n, c, is_later, x in zip(anchor, cls, later, found, strict=True) for a, b in x], columns=["anchor", "cls", "later", "a", "b"])
 
-    return cold.groupBy(F.pmod("anchor", F.lit(n_shards)).alias("shard")).applyInPandas(shard, "anchor long, cls long, a int, b int")
+    return cold.groupBy(F.pmod("anchor", F.lit(n_shards)).alias("shard")).applyInPandas(shard, "anchor long, cls long, later boolean, a int, b int")
 
 
 def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -135,33 +140,36 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     docs: doc_id, row_key, text without nulls.
 
     Each window goes with the anchor it chooses, so equal windows share an anchor. Segments with equal words are one
-    class; every document of a class but the first loses the whole segment. Only the first document's segment of a
-    class is looked up, and only at anchors with several classes: in the FM-index of the anchor's shard, or, where
-    an anchor has more than MOST_AT_ANCHOR classes, by grouping its windows by hash.
+    class, indexed once and asked for twice: what do documents before its first one have of it, and what do documents
+    before the others? Both answers come from the FM-index of the anchor's shard, or, where an anchor has more than
+    MOST_AT_ANCHOR classes, from grouping its windows by hash. A class of one document alone at its anchor has no one
+    to match, so neither is its text read again.
     """
     segs = table(_find(docs, window), "segments")
     first = F.min(F.struct("doc_id", "row_key", "start", "end")).alias("first")
-    classes = table(segs.groupBy("anchor", "cls").agg(first, F.max("doc_id").alias("most")), "segment-classes")
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > MOST_AT_ANCHOR).alias("hot"))
-    wanted = classes.join(several, "anchor").select("first.row_key", "anchor", "cls", "first.start", "first.end", "hot")
-    found = table(_words_of(docs, wanted, window), "segment-words")
+    classes = segs.groupBy("anchor", "cls").agg(first, F.max("doc_id").alias("most"))
+    classes = table(classes.select("anchor", "cls", "first", (F.col("most") > F.col("first.doc_id")).alias("again")), "segment-classes")
+    shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("any")).where("n > 1 or any")
+    wanted = classes.join(shared.select("anchor", (F.col("n") > MOST_AT_ANCHOR).alias("hot")), "anchor")
+    found = table(_words_of(docs, wanted.select("first.row_key", "anchor", "cls", "again", "first.start", "first.end", "hot"), window), "segment-words")
 
     cold = found.where("words is not null").drop("windows")
     total = cold.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     by_index = _search(cold, max(1, -(-total // (8 * SHARD_WORDS))), window)
-    hot = found.where("windows is not null").select("anchor", "cls", "doc_id", F.posexplode("windows").alias("a", "w"))
+    hot = found.where("windows is not null").select("anchor", "cls", "again", "doc_id", F.posexplode("windows").alias("a", "w"))
     least = hot.groupBy("w").agg(F.min("doc_id").alias("least"))
-    by_group = hot.join(least, "w").where("doc_id > least").select("anchor", "cls", "a", (F.col("a") + window).alias("b"))
-    parts = by_index.unionByName(by_group).groupBy("anchor", "cls").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
-
-    again = classes.where(F.col("most") > F.col("first.doc_id")).select("anchor", "cls", F.col("first.doc_id").alias("owner"))
-    known = classes.select("anchor", "cls", F.col("first.doc_id").alias("owner")).join(parts, ["anchor", "cls"])
-    rules = again.join(known.select("anchor", "cls", "parts"), ["anchor", "cls"], "left").unionByName(known.join(again, ["anchor", "cls"], "left_anti"), allowMissingColumns=True)
-    hit = segs.join(table(rules, "segment-rules"), ["anchor", "cls"])
-    own = F.transform("parts", lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b")))
-    whole = F.array(F.struct(F.col("start").alias("a"), F.col("end").alias("b")))
-    hit = hit.select("row_key", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(own).alias("cuts")).where("cuts is not null")
-    return hit.groupBy("row_key").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    sides = F.when(F.col("doc_id") > F.col("least"), F.array(F.lit(False), F.col("again"))).otherwise(F.array("again"))
+    by_group = hot.join(least, "w").withColumn("later", F.explode(F.array_distinct(sides))).where("later or doc_id > least")
+    by_group = by_group.select("anchor", "cls", "later", "a", (F.col("a") + window).alias("b"))
+    parts = by_index.unionByName(by_group).groupBy("anchor", "cls")
+    part = lambda side: F.collect_list(F.when(side, F.struct("a", "b")))
+    rules = table(parts.agg(part(~F.col("later")).alias("own"), part(F.col("later")).alias("later")), "segment-rules")
+
+    rules = rules.join(classes.select("anchor", "cls", F.col("first.doc_id").alias("owner")), ["anchor", "cls"])
+    hit = segs.join(rules, ["anchor", "cls"])
+    its = F.when(F.col("doc_id") > F.col("owner"), F.col("later")).otherwise(F.col("own"))
+    hit = hit.select("row_key", F.transform(its, lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b"))).alias("cuts"))
+    return hit.where(F.size("cuts") > 0).groupBy("row_key").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:

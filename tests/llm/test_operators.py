@@ -439,16 +439,29 @@ def test_fm_index_against_search():
     for _ in range(20):
         parts = [np.array([rng.randrange(4) for _ in range(rng.randint(3, 40))], np.uint64) for _ in range(12)]
         owners = np.array([rng.randrange(6) for _ in parts])
-        got = fm_index.matched(parts, owners, 5)
-        for p, o, found in zip(parts, owners, got, strict=True):
-            want = set()
+        asked = np.array([rng.randrange(len(parts)) for _ in range(20)])
+        limits = owners[asked] + np.array([rng.randrange(2) for _ in asked])
+        got = fm_index.matched(parts, owners, 5, asked, limits)
+        for i, limit, found in zip(asked, limits, got, strict=True):
+            p, want = parts[i], set()
             for s in range(len(p) - 4):
                 k = p[s : s + 5].tolist()
-                if any(q[i : i + 5].tolist() == k for q, x in zip(parts, owners, strict=True) if x < o for i in range(len(q) - 4)):
+                if any(q[j : j + 5].tolist() == k for q, x in zip(parts, owners, strict=True) if x < limit for j in range(len(q) - 4)):
                     want |= set(range(s, s + 5))
             assert {j for a, b in found for j in range(a, b)} == want
 
 
+def test_least_owner_of_long_ranges():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 3, 40).astype(np.uint64) for _ in range(200)]
+    owners = rng.permutation(200)
+    index = fm_index.FMIndex(parts, owners)
+    n = int(index.first[-1])
+    lo = rng.integers(0, n, 500)
+    hi = lo + 1 + (rng.random(500) * (n - lo)).astype(np.int64)
+    assert index.earliest(lo, hi).tolist() == [index.owner[a:b].min() for a, b in zip(lo, hi, strict=True)]
+
+
 @pytest.mark.parametrize("most", [2, 256])
 def test_substring_dedup(spark, corpus, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "MOST_AT_ANCHOR", most)
@@ -464,6 +477,12 @@ def test_substring_dedup(spark, corpus, monkeypatch, most):
             assert (r["n_words"], r["n_removed"], r["kept_text"]) == want[r["doc_id"]]
 
 
+def test_substring_dedup_goes_by_the_index(spark, corpus, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_search", lambda cold, n, window: cold.selectExpr("anchor", "cls", "again as later", "0 as a", "0 as b").where("false"))
+    got = substring_dedup.remove_repeats(frame(spark, corpus)).collect()
+    assert sum(r["n_removed"] for r in got) == 0
+
+
 # --- pseudonyms ---
 
 
