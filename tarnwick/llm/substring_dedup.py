@@ -163,9 +163,9 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     by_group = by_group.select("anchor", "cls", "later", "a", (F.col("a") + window).alias("b"))
     parts = by_index.unionByName(by_group).groupBy("anchor", "cls")
     part = lambda side: F.collect_list(F.when(side, F.struct("a", "b")))
-    rules = table(parts.agg(part(~F.col("later")).alias("own"), part(F.col("later")).alias("later")), "segment-rules")
-
-    rules = rules.join(classes.select("anchor", "cls", F.col("first.doc_id").alias("owner")), ["anchor", "cls"])
+    rules = parts.agg(part(~F.col("later")).alias("own"), part(F.col("later")).alias("later"))
+    owners = classes.select("anchor", "cls", F.col("first.doc_id").alias("owner"))
+    rules = table(rules.join(owners, ["anchor", "cls"]), "segment-rules")  # written, so that the next join is of two shuffles and hot classes are split in it
     hit = segs.join(rules, ["anchor", "cls"])
     its = F.when(F.col("doc_id") > F.col("owner"), F.col("later")).otherwise(F.col("own"))
     hit = hit.select("row_key", F.transform(its, lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b"))).alias("cuts"))
