@@ -93,6 +93,12 @@ class FMIndex:
 
     def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The least owner among the suffixes lo..hi-1 (lo < hi): its first and last run looked through, the runs between by table."""
+        out = self.owner[lo].astype(np.int64)
+        wide = np.flatnonzero(hi - lo > 1)  # most ranges soon hold one suffix
+        out[wide] = self._earliest_of_several(lo[wide], hi[wide])
+        return out
+
+    def _earliest_of_several(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         a, b = lo // RUN, (hi - 1) // RUN
         out = np.minimum(self._in_run(a, lo, hi), self._in_run(b, lo, hi))
         between = b - a - 1
