@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with production parameters, over whole tables."""
+"""The registered queries of the operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import language_id, line_dedup, lz_fingerprint, mixing, packing, pii, quality, simhash, substring_dedup, token_counts
+from tarnwick.llm import decontaminate, divergence, language_id, line_dedup, lz_fingerprint, merkle, mixing, packing, pii, quality, simhash, substring_dedup, token_counts
 from tarnwick.llm.common import documents
 
 #: Stands for the secret that a deployment passes to pii.pseudonyms().
@@ -58,6 +58,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("found").alias("n_replaced"), F.array_join("found", ",").alias("kinds"), F.col("safe_text").alias("text"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(merkle.tampered(documents(spark, sf_dir)), proofs=False)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +90,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_pii": op10_pii,
+    "op11_decontamination": op11_decontamination,
+    "op12_merkle": op12_merkle,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
 
@@ -202,3 +220,105 @@ WITH d AS (
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN out USING (doc_id)
 """
+
+ORACLE_SQL["op11_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), tests AS (
+  SELECT DISTINCT item_id, n, md5(array_to_string(w[i : i + n - 1], ' ')) AS k
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)
+), wins AS (
+  SELECT doc_id, n, i, md5(array_to_string(w[i : i + n - 1], ' ')) AS k
+  FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, (SELECT DISTINCT n FROM tests))
+), met AS (
+  SELECT doc_id, n, i, item_id FROM wins JOIN tests USING (n, k)
+), hit AS (
+  SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM met), range(0, 10) t(j) WHERE j < n GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE_SQL["op12_merkle"] = r"""
+WITH RECURSIVE field AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body,
+         coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low,
+         list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+                     lambda c, x: CASE WHEN xor(c, x) & 1 = 1 THEN xor(xor(c, x) >> 1, 3988292384::BIGINT) ELSE xor(c, x) >> 1 END) AS crc
+  FROM documents
+), leaf AS (
+  SELECT doc_id, lang, sha256(head || body) AS leaf, CASE WHEN xor(crc, 4294967295::BIGINT) % 3 = 0 THEN sha256(head || low) ELSE sha256(head || body) END AS found,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx
+  FROM field
+), up AS (
+  SELECT lang, 0 AS lvl, idx, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+  UNION ALL
+  SELECT lang, any_value(lvl) + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8) FROM up WHERE n > 1 GROUP BY lang, idx // 8
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n, max(lvl) OVER () AS tall FROM up WHERE n = 1
+), over AS (
+  SELECT 0 AS lvl, idx, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT any_value(lvl) + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8) FROM over WHERE n > 1 GROUP BY idx // 8
+), sides AS (
+  SELECT a.lang, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM up a JOIN up b ON a.lang IS NOT DISTINCT FROM b.lang AND a.lvl = b.lvl AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY a.lang, a.lvl, a.idx
+), over_sides AS (
+  SELECT a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM over a JOIN over b ON a.lvl = b.lvl AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY a.lvl, a.idx
+), way AS (
+  SELECT doc_id, s.lvl, l, r FROM leaf JOIN sides s ON leaf.lang IS NOT DISTINCT FROM s.lang AND s.idx = leaf.idx // (8 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT doc_id, tall + 1 + o.lvl, l, r FROM leaf JOIN subroots t ON leaf.lang IS NOT DISTINCT FROM t.lang JOIN over_sides o ON o.idx = t.idx // (8 ** o.lvl)::BIGINT
+), proof AS (
+  SELECT doc_id, string_agg(l || r, '' ORDER BY lvl) AS p, list(struct_pack(l := l, r := r) ORDER BY lvl) AS steps FROM way GROUP BY doc_id
+), fold AS (
+  SELECT doc_id, found AS h, 0 AS k, coalesce(steps, []) AS steps FROM leaf LEFT JOIN proof USING (doc_id)
+  UNION ALL
+  SELECT doc_id, sha256(steps[k + 1].l || h || steps[k + 1].r), k + 1, steps FROM fold WHERE k < len(steps)
+)
+SELECT leaf.doc_id, leaf.leaf, t.subroot, o.h AS root, sha256(coalesce(p, '')) AS proof_sha256, f.h AS folded_root, f.h = o.h AS verified
+FROM leaf JOIN subroots t ON leaf.lang IS NOT DISTINCT FROM t.lang JOIN (SELECT h FROM over WHERE n = 1) o ON true
+LEFT JOIN proof USING (doc_id) JOIN (SELECT doc_id, h FROM fold WHERE k = len(steps)) f ON f.doc_id = leaf.doc_id
+"""
+
+ORACLE_SQL["op13_divergence"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), t AS (
+  SELECT doc_id, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3
+), l AS (
+  SELECT lang, count(*) AS v, sum(n) AS words FROM kept GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term
+), s AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS words FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.words + l.v) AS p,
+         1 + 1000000000::HUGEINT * (kept.n + 1) // (l.words + l.v) AS q
+  FROM s JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+), pair AS (
+  SELECT pairs.lang, pairs.source, item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0)::BIGINT AS value
+  FROM pairs LEFT JOIN p a ON a.lang = pairs.lang AND a.source = pairs.source LEFT JOIN p b ON b.lang = pairs.lang AND b.source = item AND b.term = a.term
+  GROUP BY pairs.lang, pairs.source, item
+), term AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE "C") AS rank FROM pair
+  UNION ALL
+  SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE "C") AS rank FROM term) WHERE rank <= 200
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked
+"""
