@@ -105,14 +105,14 @@ def _bound(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray
     return lo
 
 
-def occurrences(words: np.ndarray, tests: Tests, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, windows): where in words the tests' windows stand, from a suffix array of each SHARD_WORDS places; a shard
+def occurrences(words: np.ndarray, tests: Tests, window: int, shard: int = SHARD_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(places, windows): where in words the tests' windows stand, from a suffix array of each ``shard`` places; a shard
     sees the words that follow it, so nothing is lost between two."""
     places, windows = [], []
     padded = np.concatenate([words, np.zeros(window, words.dtype)]).astype(np.int64)
-    for base in range(0, len(words), SHARD_WORDS):
-        piece = padded[base : base + SHARD_WORDS + window]
-        order = suffix_array(piece, min(SHARD_WORDS, len(words) - base), window, tests)
+    for base in range(0, len(words), shard):
+        piece = padded[base : base + shard + window]
+        order = suffix_array(piece, min(shard, len(words) - base), window, tests)
         live = np.arange(len(tests.start))
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(order), np.int64)
         for j in range(window):
@@ -143,11 +143,11 @@ def _lists(doc: np.ndarray, values: list, n: int) -> list[list]:
     return [values[a:b] for a, b in zip(cut, cut[1:])]
 
 
-def look_up(sizes: list[int], words: np.ndarray, tests: Tests, items: list[str], window: int, longest: bool) -> dict[str, list]:
+def look_up(sizes: list[int], words: np.ndarray, tests: Tests, items: list[str], window: int, longest: bool, shard: int = SHARD_WORDS) -> dict[str, list]:
     """Columns n_hit, spans, items, matches for documents that stand in words one after another, each followed by a zero."""
     ends = np.cumsum(np.array(sizes, np.int64) + 1)
     begins = ends - np.array(sizes, np.int64) - 1
-    places, windows = occurrences(words, tests, window)
+    places, windows = occurrences(words, tests, window, shard)
     doc = np.searchsorted(ends, places, side="right")
     step = np.zeros(len(words) + 1, np.int64)
     np.add.at(step, places, 1)
@@ -175,7 +175,7 @@ def look_up(sizes: list[int], words: np.ndarray, tests: Tests, items: list[str],
     return out
 
 
-def _chunks(benchmark: DataFrame, window: int) -> DataFrame:
+def _chunks(benchmark: DataFrame, window: int, size: int) -> DataFrame:
     """(item, place, whole, words): the words of the items, joined by blanks, in chunks that overlap by window - 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,27 +183,27 @@ def _chunks(benchmark: DataFrame, window: int) -> DataFrame:
             out = []
             for item, text in zip(pdf["item"], pdf["text"], strict=True):
                 words = list(chain.from_iterable(slices(text)))
-                for place in range(0, max(1, len(words) - window + 1) if words else 0, CHUNK_WORDS):
-                    out.append((item, place, len(words), b" ".join(words[place : place + CHUNK_WORDS + window - 1]).decode()))
+                for place in range(0, max(1, len(words) - window + 1) if words else 0, size):
+                    out.append((item, place, len(words), b" ".join(words[place : place + size + window - 1]).decode()))
             yield pd.DataFrame(out, columns=["item", "place", "whole", "words"])
 
     slim = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     return slim.mapInPandas(run, "item string, place long, whole long, words string").distinct()
 
 
-def _blocks(chunks: DataFrame) -> tuple[DataFrame, int]:
-    """chunks with the number of their block, and the number of blocks; each has at most BLOCK_WORDS words."""
+def _blocks(chunks: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """chunks with the number of their block, and the number of blocks; each has at most limit words."""
     size = F.size(F.split("words", " "))
     n = 1
     while True:
         out = chunks.withColumn("block", F.pmod(F.xxhash64("item", "place", "words"), F.lit(n)))
         most = out.groupBy("block").agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0] or 0
-        if most <= BLOCK_WORDS:
+        if most <= limit:
             return out, n if most else 0
         n *= 2
 
 
-def _pass(docs: DataFrame, block: list, window: int, longest: bool, hits_only: bool) -> DataFrame:
+def _pass(docs: DataFrame, block: list, window: int, longest: bool, hits_only: bool, shard_words: int) -> DataFrame:
     items = sorted({r["item"] for r in block})
     number = {item: i for i, item in enumerate(items)}
     tests = tests_of([(number[r["item"]], r["place"], r["whole"], r["words"].encode().split()) for r in block], window)
@@ -212,7 +212,7 @@ def _pass(docs: DataFrame, block: list, window: int, longest: bool, hits_only: b
     def shard(rows: list[tuple], words: list[np.ndarray]) -> pd.DataFrame:
         sizes = [len(w) for w in words]
         flat = np.concatenate([x for w in words for x in (w, np.zeros(1, np.int32))])
-        out = pd.DataFrame({"doc_id": [r[0] for r in rows], "tie": [r[1] for r in rows], "n_words": sizes} | look_up(sizes, flat, tests, items, window, longest))
+        out = pd.DataFrame({"doc_id": [r[0] for r in rows], "tie": [r[1] for r in rows], "n_words": sizes} | look_up(sizes, flat, tests, items, window, longest, shard_words))
         return out[out["n_hit"] > 0] if hits_only else out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +224,7 @@ def _pass(docs: DataFrame, block: list, window: int, longest: bool, hits_only: b
                 rows.append((doc_id, tie))
                 words.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
                 held += len(words[-1]) + 1
-                if held >= SHARD_WORDS:
+                if held >= shard_words:
                     yield shard(rows, words)
                     rows, words, held = [], [], 0
         if rows:
@@ -234,7 +234,7 @@ def _pass(docs: DataFrame, block: list, window: int, longest: bool, hits_only: b
     return docs.mapInPandas(run, "doc_id string, tie long, n_words long, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, longest: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, longest: bool = False, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, tie (a hash of the text), n_words, n_hit, spans (word intervals hit, merged), items (ids, as strings, of items
     that have a window in the document), contaminated; with longest also ``matches``: the longest verbatim matches, each as
     the item, its first word there and in the document, and its number of words, ``window`` at least or a shorter item whole.
@@ -244,19 +244,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, longe
     words in an occurrence of a window are hit. Null text has no words, nor has an item without words windows. Items are told
     apart by item_id; a null one is the empty string. Repeated rows get the same; empty tables give no row, or no hit.
 
-    Each task sorts its own documents' words into suffix arrays of about SHARD_WORDS places, in which all windows of the
+    Each task sorts its own documents' words into suffix arrays of about ``shard_words`` places, in which all windows of the
     benchmark are looked up together by binary search, so no text is shuffled. What a task gets of the benchmark is at most
-    BLOCK_WORDS words. A larger benchmark is cut into blocks, one pass over the documents each; passes after the first return the documents hit
+    ``block_words`` words. A larger benchmark is cut into blocks of whole chunks of ``chunk_words`` words of an item (far fewer), one pass over the documents each; passes after the first return the documents hit
     only. Windows that overlap on one way through document and item are one longer match.
     """
     kind = docs.schema["doc_id"].dataType
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    chunks, n = _blocks(table(_chunks(benchmark, window), "tests"))
-    out = _pass(slim, chunks.where("block = 0").collect(), window, longest, False)
+    chunks, n = _blocks(table(_chunks(benchmark, window, chunk_words), "tests"), block_words)
+    out = _pass(slim, chunks.where("block = 0").collect(), window, longest, False, shard_words)
     if n > 1:
         lists = ["spans", "items"] + ["matches"] * longest
         base = table(out, "tests-first")
-        rest = [table(_pass(slim, chunks.where(F.col("block") == b).collect(), window, longest, True), "tests-more") for b in range(1, n)]
+        rest = [table(_pass(slim, chunks.where(F.col("block") == b).collect(), window, longest, True, shard_words), "tests-more") for b in range(1, n)]
         found = base.where("n_hit > 0")
         for r in rest:
             found = found.unionByName(r)

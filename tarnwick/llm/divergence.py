@@ -54,22 +54,22 @@ def _merged(db: duckdb.DuckDBPyConnection, parts: list[pa.Table]) -> pa.Table:
     return db.sql("SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM parts GROUP BY lang, source, term").to_arrow_table().cast(COUNTS)
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) -> COUNTS, each key once for a task unless it has more than GATHERED of them."""
+def _term_counts(batches: Iterator[pa.RecordBatch], chunk_bytes: int, gathered: int) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) -> COUNTS, each key once for a task unless it has more than ``gathered`` of them."""
     db, parts, held = _shard(), [], 0
     for batch in batches:
         lang, source, text = (batch.column(i).to_pylist() for i in range(3))
         first, size = 0, 0
         for i, t in enumerate(text):
             size += len(t)
-            if size >= CHUNK_BYTES or i == len(text) - 1:
+            if size >= chunk_bytes or i == len(text) - 1:
                 parts.append(_count(db, lang[first : i + 1], source[first : i + 1], text[first : i + 1]))
                 held += parts[-1].num_rows
                 first, size = i + 1, 0
-                if held > 2 * GATHERED:
+                if held > 2 * gathered:
                     parts = [_merged(db, parts)]
                     held = parts[0].num_rows
-                    if held > GATHERED:
+                    if held > gathered:
                         yield from parts.pop().to_batches(1 << 14)
                         held = 0
     if parts:
@@ -113,8 +113,8 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _share(n: str, all_: str) -> Column:
-    """1 + floor(WHOLE * (n + 1) / all_), exactly."""
-    return F.expr(f"cast(1 + (cast({WHOLE} as decimal(18,0)) * cast({n} + 1 as decimal(19,0))) div ({all_}) as long)")
+    """1 + floor(WHOLE * (n + 1) / all_), exactly; all_ is 0 only where no term is kept, and no share is used."""
+    return F.expr(f"cast(1 + (cast({WHOLE} as decimal(18,0)) * cast({n} + 1 as decimal(19,0))) div greatest({all_}, 1L) as long)")
 
 
 def _far(p: str, q: str, times: str) -> Column:
@@ -127,7 +127,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(by))
 
 
-def audit(docs: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, gathered: int = GATHERED) -> DataFrame:
     """lang, source, part, item, value, rank: how far each group (lang, source) lies from each other source of its language
     (part ``pair``, all of them) and which terms it has more of than the language (part ``term``, the first 200).
 
@@ -136,7 +136,7 @@ def audit(docs: DataFrame) -> DataFrame:
     row, so repeated rows count each. Ties go to the item that comes first in UTF-8. A group without terms has its pairs; a
     language without kept terms has pairs of value 0; an empty table gives an empty result. All numbers are whole.
 
-    Tasks count their own documents in DuckDB, each text by itself and chunks of about 16 MB at once. The counts are dealt to
+    Tasks count their own documents in DuckDB, each text by itself and chunks of ``chunk_bytes`` at once. The counts are dealt to
     shards by language and term, whose number and size Spark chooses (``spark.sql.shuffle.partitions``, adaptive), so a
     language with most rows is spread like any other, and a frequent term has one row for each task and source. In a shard DuckDB
     merges the counts, drops rare terms, and later adds up f over pairs of sources that share a term: the only pairs
@@ -147,7 +147,7 @@ def audit(docs: DataFrame) -> DataFrame:
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     slim = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
-    counts = slim.mapInArrow(_term_counts, _ddl(COUNTS)).repartition("lang", "term")
+    counts = slim.mapInArrow(lambda batches: _term_counts(batches, chunk_bytes, gathered), _ddl(COUNTS)).repartition("lang", "term")
     kept = table(counts.mapInArrow(_kept, "lang string, source string, term string, n long, total long, one long"), "kept-terms")
 
     groups = slim.select("lang", "source").distinct()

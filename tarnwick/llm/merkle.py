@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import table
 
-#: Nodes of a run, which have one parent; levels of a block, and its leaves.
+#: Nodes of a run, which have one parent; levels of a block, whose leaves are worked on together.
 ARITY, BLOCK_LEVELS = 8, 4
-BLOCK = ARITY**BLOCK_LEVELS
 #: What a leaf holds, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -118,8 +117,9 @@ def _placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     return made.join(ranges, ["grp", "_part"]).withColumn("idx", F.col("_at") + F.col("_by")).drop("_at", "_part", "_by")
 
 
-def _block_levels(n: int) -> int:
-    return BLOCK_LEVELS if n > BLOCK else levels_of(n)
+def _block_levels(n: int, most: int) -> int:
+    """Levels of a block in a group of n leaves: most, or fewer if the group is less than a whole block."""
+    return min(most, levels_of(n))
 
 
 def _sorted(rows: pa.Table) -> tuple[pa.Table, list[bytes]]:
@@ -127,41 +127,42 @@ def _sorted(rows: pa.Table) -> tuple[pa.Table, list[bytes]]:
     return rows, [x.encode() for x in rows["node"].to_pylist()]
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, levels: int) -> DataFrame:
     """nodes (grp, idx, n, node) -> the same one block up."""
+    size = ARITY**levels
 
     def run(rows: pa.Table) -> pa.Table:
         rows, leaves = _sorted(rows)
         n = rows["n"][0].as_py()
-        return pa.table({"grp": rows["grp"][:1], "idx": [rows["idx"][0].as_py() // BLOCK], "n": [-(-n // BLOCK)], "node": [top(leaves, _block_levels(n)).decode()]})
+        return pa.table({"grp": rows["grp"][:1], "idx": [rows["idx"][0].as_py() // size], "n": [-(-n // size)], "node": [top(leaves, _block_levels(n, levels)).decode()]})
 
-    slim = nodes.select("grp", "idx", "n", "node", F.expr(f"idx div {BLOCK}").alias("block"))
+    slim = nodes.select("grp", "idx", "n", "node", F.expr(f"idx div {ARITY**levels}").alias("block"))
     return slim.groupBy("grp", "block").applyInArrow(run, "grp string, idx long, n long, node string")
 
 
 PATH = "array<struct<left:string,right:string>>"
 
 
-def _upward(nodes: DataFrame) -> DataFrame:
+def _upward(nodes: DataFrame, levels: int) -> DataFrame:
     """nodes (grp, idx, n, node) -> (grp, idx, path, top): each node's siblings up to the top of its group. Blocks first give
-    their tops, which are nodes again, BLOCK times fewer; their paths are appended to those inside the blocks."""
+    their tops, which are nodes again, fewer by the size of a block; their paths are appended to those inside the blocks."""
     if (nodes.agg(F.max("n")).first()[0] or 0) <= 1:
         return nodes.select("grp", "idx", F.lit(None).cast(PATH).alias("path"), F.col("node").alias("top")).withColumn("path", F.coalesce("path", F.array().cast(PATH)))
-    over = _upward(table(_tops(nodes), "merkle-tops"))
+    over = _upward(table(_tops(nodes, levels), "merkle-tops"), levels)
 
     def run(rows: pa.Table, upper: pa.Table) -> pa.Table:
         rows, leaves = _sorted(rows)
         up = upper["path"][0].as_py()
-        got = [[{"left": a.decode(), "right": b.decode()} for a, b in p] + up for p in paths(leaves, _block_levels(rows["n"][0].as_py()))]
+        got = [[{"left": a.decode(), "right": b.decode()} for a, b in p] + up for p in paths(leaves, _block_levels(rows["n"][0].as_py(), levels))]
         kind = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
         return pa.table({"grp": rows["grp"], "idx": rows["idx"], "path": pa.array(got, kind), "top": pa.array([upper["top"][0].as_py()] * len(leaves))})
 
-    slim = nodes.select("grp", "idx", "n", "node", F.expr(f"idx div {BLOCK}").alias("block"))
+    slim = nodes.select("grp", "idx", "n", "node", F.expr(f"idx div {ARITY**levels}").alias("block"))
     out = slim.groupBy("grp", "block").cogroup(over.groupBy("grp", "idx")).applyInArrow(run, f"grp string, idx long, path {PATH}, top string")
     return table(out, "merkle-paths")
 
 
-def manifest(rows: DataFrame, proofs: bool = True) -> DataFrame:
+def manifest(rows: DataFrame, proofs: bool = True, levels: int = BLOCK_LEVELS) -> DataFrame:
     """rows: group (a string), id, leaf, and found, the digest that the row has now -> id, leaf, subroot (its group's root),
     root, proof_sha256, folded_root (from found and the leaf's siblings), verified, and with proofs ``proof``, the siblings
     left and right of the way, level by level.
@@ -170,17 +171,17 @@ def manifest(rows: DataFrame, proofs: bool = True) -> DataFrame:
     run: fewer) become the digest of their digests. The groups' roots, null first, then bytewise, are leaves of one tree more.
 
     Equal rows are leaves beside each other. A group of one row is its own subroot; an empty table gives an empty result. Only
-    digests are sorted and shuffled, never texts. Blocks of 4,096 leaves are worked on alone; what a task holds is one
-    block's digests, whatever the size of a group.
+    digests are sorted and shuffled, never texts. Blocks of ``levels`` levels (4,096 leaves) are worked on alone; what a task holds is
+    one block's digests, whatever the size of a group.
     """
     grp = F.coalesce(F.concat(F.lit("="), "group"), F.lit(""))  # null sorts first and is a group
     digests = table(rows.select(grp.alias("grp"), "id", F.col("leaf").alias("node"), "found"), "merkle-digests")  # ranges sample their rows: not twice from texts
     placed = table(_placed(digests, [F.col("id").asc_nulls_first(), F.col("node")]), "merkle-leaves")
-    blocks = table(_tops(placed), "merkle-tops")
-    over = _upward(blocks)
+    blocks = table(_tops(placed, levels), "merkle-tops")
+    over = _upward(blocks, levels)
     subroots = over.groupBy("grp").agg(F.first("top").alias("node"))
     all_ = table(_placed(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "node"), [F.col("name")]), "merkle-groups")
-    last = _upward(all_.select("grp", "idx", "n", "node")).withColumnRenamed("path", "rest").withColumnRenamed("top", "root")
+    last = _upward(all_.select("grp", "idx", "n", "node"), levels).withColumnRenamed("path", "rest").withColumnRenamed("top", "root")
     last = all_.select("idx", F.col("name").alias("grp"), F.col("node").alias("subroot")).join(last.drop("grp"), "idx").drop("idx")
     over = over.join(last, "grp").select("grp", "idx", F.concat("path", "rest").alias("path"), "subroot", "root")
     kind = rows.schema["id"].dataType.simpleString()
@@ -190,7 +191,7 @@ def manifest(rows: DataFrame, proofs: bool = True) -> DataFrame:
         up = [(x["left"].encode(), x["right"].encode()) for x in upper["path"][0].as_py()]
         subroot, root = upper["subroot"][0].as_py(), upper["root"][0].as_py()
         sums, folds, kept = [], [], []
-        for leaf, path in zip((x.encode() for x in block["found"].to_pylist()), paths(leaves, _block_levels(block["n"][0].as_py())), strict=True):
+        for leaf, path in zip((x.encode() for x in block["found"].to_pylist()), paths(leaves, _block_levels(block["n"][0].as_py(), levels)), strict=True):
             path += up
             sums.append(digest(*(x for both in path for x in both)).decode())
             folds.append(folded(leaf, path).decode())
@@ -202,7 +203,7 @@ def manifest(rows: DataFrame, proofs: bool = True) -> DataFrame:
         return pa.table(out)
 
     schema = f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean" + f", proof {PATH}" * proofs
-    slim = placed.withColumn("block", F.expr(f"idx div {BLOCK}"))
+    slim = placed.withColumn("block", F.expr(f"idx div {ARITY**levels}"))
     return slim.groupBy("grp", "block").cogroup(over.groupBy("grp", "idx")).applyInArrow(run, schema)
 
 

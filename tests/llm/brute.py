@@ -249,3 +249,84 @@ def fused(pages: list[dict]) -> list[list[float]]:
         norm = max(score) + math.log(sum(math.exp(s - max(score)) for s in score))
         out.append([s - norm for s in score])
     return out
+
+
+def lower_az(text: str | None) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def contamination(docs: list[tuple], items: list[tuple], window: int = 10) -> list[tuple]:
+    """(doc_id, n_words, n_hit, items, longest matches) by trying every window at every place."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_az(t))
+    tests = [("" if i is None else str(i), split(t)) for i, t in items]
+    out = []
+    for doc_id, text in docs:
+        w, hit, found, matches = split(text), set(), set(), set()
+        for name, t in tests:
+            n = min(window, len(t))
+            for a in range(len(t) - n + 1 if n else 0):
+                for b in range(len(w) - n + 1):
+                    if w[b : b + n] == t[a : a + n]:
+                        hit.update(range(b, b + n))
+                        found.add(name)
+                        if not (a and b and w[b - 1] == t[a - 1] and n == window):
+                            k = n
+                            while a + k < len(t) and b + k < len(w) and w[b + k] == t[a + k]:
+                                k += 1
+                            matches.add((name, a, b, k))
+        out.append((doc_id, len(w), len(hit), sorted(found), sorted(matches)))
+    return out
+
+
+def merkle(rows: list[tuple]) -> list[tuple]:
+    """(id, leaf, subroot, root, proof_sha256, folded_root) of rows (group, id, leaf, found)."""
+    h = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def climb(leaves):
+        ways, level = [[] for _ in leaves], list(leaves)
+        places = list(range(len(leaves)))
+        while len(level) > 1:
+            for i, p in enumerate(places):
+                a = p // 8 * 8
+                ways[i].append(("".join(level[a:p]), "".join(level[p + 1 : a + 8])))
+            level = [h(*level[a : a + 8]) for a in range(0, len(level), 8)]
+            places = [p // 8 for p in places]
+        return level[0], ways
+
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    subs = {}
+    for g in names:
+        groups[g].sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        subs[g] = climb([r[2] for r in groups[g]])
+    root, over = climb([subs[g][0] for g in names])
+    out = []
+    for g, up in zip(names, over, strict=True):
+        for (_, i, leaf, found), way in zip(groups[g], subs[g][1], strict=True):
+            node = found
+            for a, b in way + up:
+                node = h(a, node, b)
+            out.append((i, leaf, subs[g][0], root, h(*(a + b for a, b in way + up)), node))
+    return out
+
+
+def audit(docs: list[tuple]) -> list[tuple]:
+    """(lang, source, part, item, value, rank) of documents (lang, source, text)."""
+    docs = [(a or "", b or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower_az(t))) for a, b, t in docs]
+    out = []
+    f = lambda p, q: (p - q) ** 2 // q
+    for lang in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == lang]
+        seen = [t for d in mine for t in set(d[2])]
+        kept = sorted({t for t in seen if seen.count(t) >= 3})
+        share = lambda ws: {t: 1 + 10**9 * (ws.count(t) + 1) // (len(ws) + len(kept)) for t in kept}
+        words = {s: [w for d in mine if d[1] == s for w in d[2] if w in kept] for s in {d[1] for d in mine}}
+        p, q = {s: share(ws) for s, ws in words.items()}, share([w for ws in words.values() for w in ws])
+        for s in words:
+            pairs = sorted(((-sum(f(p[s][t], p[o][t]) for t in kept), o) for o in words if o != s), key=lambda x: (x[0], x[1].encode()))
+            terms = sorted(((-f(p[s][t], q[t]), t) for t in kept if t in words[s] and p[s][t] > q[t]), key=lambda x: (x[0], x[1].encode()))[:200]
+            for part, rows in (("pair", pairs), ("term", terms)):
+                out += [(lang, s, part, item, -v, i + 1) for i, (v, item) in enumerate(rows)]
+    return out
