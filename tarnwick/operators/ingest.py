@@ -13,6 +13,7 @@ from tarnwick.functions import ids, values
 from tarnwick.operators.embed import Embedder, embedded
 from tarnwick.operators.split import split_text
 from tarnwick.operators.summarize import summarized
+from tarnwick.session import table
 
 
 def check_batch(n: int, most: int = MAX_BATCH) -> None:
@@ -117,7 +118,7 @@ def upsert(batch: DataFrame, documents: DataFrame, snippets: DataFrame, embedder
     asked = last_wins(prepared_with_pos(checked.where(F.size("errors") == 0)), "document_id")
     empty = F.coalesce(ids.trimmed(F.col("text")), F.lit("")) == ""
     invalid = invalid.unionByName(asked.where(empty).select("document_id", F.lit("invalid").alias("status")))
-    rows = classified(asked.where(~empty), documents)
+    rows = table(classified(asked.where(~empty), documents), "classified")  # tables are overwritten one after another
     columns = ["document_id", "original_sha256", "preprocessing_step", "properties", "tags", "is_candidate"]
     next_docs = documents.join(rows.select("document_id"), "document_id", "left_anti").select(*columns).unionByName(rows.select(*columns))
     new = rows.where("status = 'new'")

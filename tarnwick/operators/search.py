@@ -50,6 +50,28 @@ def _blocks(queries: DataFrame) -> DataFrame:
     return queries.mapInPandas(run, "qs array<string>, ks array<int>, exclude array<array<string>>, matrix binary")
 
 
+def best_of_blocks(pairs: DataFrame) -> DataFrame:
+    """RESULT and k: of each pair of a block of queries (qs, ks, exclude, matrix) and one of snippets (docs, subs, vecs) the best
+    k snippets of each query, with all that are as good as the last."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                v = np.frombuffer(r.vecs).reshape(len(r.docs), -1)
+                s = np.clip(np.frombuffer(r.matrix).reshape(len(r.qs), -1) @ v.T, -1.0, 1.0)
+                docs, ks = np.array(r.docs, object), np.minimum(np.array(r.ks), len(r.docs))
+                out = pd.DataFrame({"q": np.repeat(np.arange(len(ks)), [len(x) for x in r.exclude]), "d": [d for x in r.exclude for d in x]})
+                if len(out):
+                    out = out.merge(pd.DataFrame({"d": docs, "at": np.arange(len(docs))}), on="d")
+                    s[out["q"], out["at"]] = -np.inf
+                best = -np.sort(-np.partition(s, s.shape[1] - ks.max(), axis=1)[:, s.shape[1] - ks.max() :], axis=1)
+                least = best[np.arange(len(ks)), ks - 1]
+                q, d = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # with all ties, which the final ranking resolves
+                yield pd.DataFrame({"q": np.array(r.qs, object)[q], "document_id": docs[d], "sub_id": np.array(r.subs)[d], "score": (1 + s[q, d]) / 2, "k": np.array(r.ks)[q]})
+
+    return pairs.mapInPandas(score, RESULT + ", k int")
+
+
 def knn(snippets: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(q, document_id, sub_id, score): per query its k snippets of the largest dot product, score (1 + dot) / 2.
 
@@ -70,23 +92,8 @@ def knn(snippets: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     packed = rows.mapInPandas(pack, "docs array<string>, subs array<long>, vecs binary")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                v = np.frombuffer(r.vecs).reshape(len(r.docs), -1)
-                s = np.clip(np.frombuffer(r.matrix).reshape(len(r.qs), -1) @ v.T, -1.0, 1.0)
-                docs, ks = np.array(r.docs, object), np.minimum(np.array(r.ks), len(r.docs))
-                out = pd.DataFrame({"q": np.repeat(np.arange(len(ks)), [len(x) for x in r.exclude]), "d": [d for x in r.exclude for d in x]})
-                if len(out):
-                    out = out.merge(pd.DataFrame({"d": docs, "at": np.arange(len(docs))}), on="d")
-                    s[out["q"], out["at"]] = -np.inf
-                best = -np.sort(-np.partition(s, s.shape[1] - ks.max(), axis=1)[:, s.shape[1] - ks.max() :], axis=1)
-                least = best[np.arange(len(ks)), ks - 1]
-                q, d = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # with all ties, which the final ranking resolves
-                yield pd.DataFrame({"q": np.array(r.qs, object)[q], "document_id": docs[d], "sub_id": np.array(r.subs)[d], "score": (1 + s[q, d]) / 2, "k": np.array(r.ks)[q]})
-
     # query blocks times snippet blocks: a stated query set against all rows
-    best = packed.crossJoin(blocks).mapInPandas(score, RESULT + ", k int")
+    best = best_of_blocks(packed.crossJoin(blocks))
     return ranked(best).where("rank <= k").drop("rank", "k")
 
 
@@ -95,13 +102,13 @@ def bm25(docs: DataFrame, query: str, condition=None) -> DataFrame:
 
     Statistics cover all of docs; condition filters results and never changes scores. Terms are the distinct query
     tokens; a term's weight is ln(1 + (N - n + 0.5) / (n + 0.5)). Texts are read once: lengths and term counts go to a
-    slim table, from which both the statistics and the scores come.
+    slim table, from which both the statistics and the scores come. Null text has no terms.
     """
     terms = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
     if not terms:
         return docs.select("document_id", "sub_id", F.lit(0.0).alias("score")).limit(0)
     extra = [condition.alias("shown")] if condition is not None else [F.lit(True).alias("shown")]
-    t = docs.select("document_id", "sub_id", *extra, tokens(F.col("text")).alias("tokens"))
+    t = docs.select("document_id", "sub_id", *extra, tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     times = lambda term: F.size(F.filter("tokens", lambda x: x == term)).cast("double")
     tf = [times(term).alias(f"tf{i}") for i, term in enumerate(terms)]
     t = table(t.select("document_id", "sub_id", "shown", F.size("tokens").cast("double").alias("dl"), *tf), "term-counts")

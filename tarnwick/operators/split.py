@@ -3,60 +3,99 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnwick.operators.subwords import Length, words
+
+length = words
 SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=\S)")
+#: Where a too long sentence is cut, the first choice first; at last between any two characters.
+CUTS = ("\n\n", "\n", " ", "")
 
 
-def length(text: str) -> int:
-    return len(text.split())
+def by_marks(text: str | None) -> list[str]:
+    """Sentences end at each mark that a blank follows."""
+    return [s.strip() for s in SENTENCE.split(text or "") if s.strip()]
 
 
-def merged(parts: list[str], limit: int, joint: str) -> list[str]:
+def merged(parts: list[str], limit: int, joint: str, length: Length = words) -> list[str]:
     """Neighbours joined while they stay within the limit together."""
     out: list[str] = []
-    size = 0
+    size, between = 0, length(joint)
     for p in parts:
         n = length(p)
-        if out and size + n <= limit:
+        if out and size + between + n <= limit:
             out[-1] += joint + p
-            size += n
+            size += between + n
         else:
             out.append(p)
             size = n
     return out
 
 
-def halved(text: str, limit: int) -> list[str]:
-    """Pieces within the limit, cut at paragraphs, else lines, else words."""
-    if length(text) <= limit:
+def cut(text: str, limit: int, length: Length = words, cuts: tuple[str, ...] = CUTS) -> list[str]:
+    """Pieces within the limit: cut at the first of cuts that the text has, short neighbours joined again, and what is still
+    too long cut at the next one. A single character is never cut."""
+    if length(text) <= limit or len(text) <= 1:
         return [text]
-    for joint in ("\n\n", "\n"):
-        parts = [p for p in text.split(joint) if p.strip()]
-        if len(parts) > 1:
-            return [x for p in parts for x in halved(p, limit)]
-    words = text.split()
-    return [" ".join(words[i : i + limit]) for i in range(0, len(words), limit)]
+    at = next((i for i, c in enumerate(cuts) if c in text), len(cuts) - 1)
+    joint, rest = cuts[at], cuts[at + 1 :]
+    parts = [p for p in text.split(joint) if p.strip()] if joint else _halves(text)
+    if not joint:
+        return [x for p in parts for x in cut(p, limit, length, ("",))]
+    out: list[str] = []
+    short: list[str] = []
+    for p in [*parts, None]:
+        if p is not None and length(p) <= limit:
+            short.append(p)
+            continue
+        out += merged(short, limit, joint, length)
+        short = []
+        if p is not None:
+            out += cut(p, limit, length, rest)
+    return out
+
+
+def _halves(text: str) -> list[str]:
+    return [text[: len(text) // 2], text[len(text) // 2 :]]
+
+
+@dataclass(frozen=True)
+class Splitter:
+    """Sentences merged up to chunk_size; what is longer than hard_limit is cut, and neighbours are merged up to it. ``length``
+    counts words, or the tokens of a vocabulary (Subwords.length); ``sentences`` is by_marks or a trained model's split."""
+
+    chunk_size: int = 500
+    hard_limit: int = 520
+    length: Length = words
+    sentences: Callable[[str | None], list[str]] = by_marks
+
+    def __call__(self, text: str | None) -> list[str]:
+        out: list[str] = []
+        for chunk in merged(self.sentences(text), self.chunk_size, "\n\n", self.length):
+            out += [chunk] if self.length(chunk) <= self.hard_limit else cut(chunk, self.chunk_size, self.length)
+        return self._within(merged(out, self.hard_limit, "\n", self.length))
+
+    def _within(self, snippets: list[str]) -> list[str]:
+        """Joining can make more tokens than the parts had, where a mark of the vocabulary spans the joint."""
+        return [x for s in snippets for x in ([s] if self.length(s) <= self.hard_limit else cut(s, self.chunk_size, self.length))]
 
 
 def split_one(text: str | None, chunk_size: int = 500, hard_limit: int = 520) -> list[str]:
-    """Sentences merged up to chunk_size words; a longer sentence is cut and its pieces merged up to hard_limit."""
-    sentences = [s.strip() for s in SENTENCE.split(text or "") if s.strip()]
-    out: list[str] = []
-    for chunk in merged(sentences, chunk_size, "\n\n"):
-        if length(chunk) <= hard_limit:
-            out.append(chunk)
-        else:
-            out += merged(halved(chunk, chunk_size), hard_limit, "\n")
-    return out
+    return Splitter(chunk_size, hard_limit)(text)
+
 
+def split_text(text: Column, splitter: Splitter | int = Splitter(), hard_limit: int = 520) -> Column:  # noqa: B008
+    """The snippets of a text. splitter: or its chunk size in words."""
+    do = splitter if isinstance(splitter, Splitter) else Splitter(splitter, hard_limit)
 
-def split_text(text: Column, chunk_size: int = 500, hard_limit: int = 520) -> Column:
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_one(t, chunk_size, hard_limit) for t in texts])
+        return pd.Series([do(t) for t in texts])
 
     return run(text)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.operators import segment
+
 # Lengths in bytes of the sentences that count, sentences of a summary, sizes of the long-text path.
 SHORTEST, LONGEST, SENTENCES = 50, 1500, 4
 MOST_AT_ONCE, CHUNK, FROM_CHUNK = 2000, 500, 100
@@ -95,13 +97,36 @@ def sentence_overlap(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", "text").mapInPandas(run, schema)
 
 
-def pagerank(similarity: np.ndarray, damping: float = 0.85, tolerance: float = 1e-3) -> np.ndarray:
-    n = len(similarity)
-    sums = similarity.sum(axis=0)
-    flow = np.divide(similarity, sums, out=np.full_like(similarity, 1 / n), where=sums > 0)
+class Likeness:
+    """The graph of sentences whose weights are 1 - cosine of their word counts, none from a sentence to itself, without its
+    matrix: with U the unit vectors as rows, it is all ones less U times its transpose, and a product takes the words of the
+    sentences only. A sentence without words has a weight of 1 to all others."""
+
+    def __init__(self, sentences: list[list[str]]):
+        self.n = len(sentences)
+        vocabulary: dict[str, int] = {}
+        rows = np.repeat(np.arange(self.n), [len(s) for s in sentences])
+        words = np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s], np.int64)
+        pairs, counts = np.unique(rows * max(1, len(vocabulary)) + words, return_counts=True)
+        self.rows, self.words = pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary))
+        norms = np.sqrt(np.bincount(self.rows, weights=counts.astype(np.float64) ** 2, minlength=self.n))
+        self.values = counts / norms[self.rows]
+        self.wordless = (norms == 0).astype(np.float64)
+        self.n_words = len(vocabulary)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        by_word = np.bincount(self.words, weights=self.values * x[self.rows], minlength=self.n_words)
+        return x.sum() - np.bincount(self.rows, weights=self.values * by_word[self.words], minlength=self.n) - self.wordless * x
+
+
+def pagerank(weights: Likeness, damping: float = 0.85, tolerance: float = 1e-3) -> np.ndarray:
+    """Ranks by the power method; columns are divided by their sums, one that sums to nothing flows evenly. Weights are symmetric."""
+    n = weights.n
+    sums = weights @ np.ones(n)
+    flows = sums > 1e-9 * n
     rank = np.full(n, 1 / n)
     for _ in range(1000):
-        new = (1 - damping) / n + damping * flow @ rank
+        new = (1 - damping) / n + damping * (weights @ np.divide(rank, sums, out=np.zeros(n), where=flows) + rank[~flows].sum() / n)
         if np.abs(new - rank).sum() < tolerance:
             return new
         rank = new
@@ -109,22 +134,13 @@ def pagerank(similarity: np.ndarray, damping: float = 0.85, tolerance: float = 1
 
 
 def summarize_ranked_one(text: str | None, n: int = 4) -> str:
-    """The first n sentences whose rank is at least the (n + 2)-th largest; the graph's weights are 1 - cosine."""
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text or "") if s.strip()]
-    if len(sentences) <= n:
+    """The first n sentences whose rank is at least the (n + 2)-th largest. Memory grows with the words of the text."""
+    found = segment.sentences(text or "")
+    if len(found) <= n:
         return text or ""
-    vocabulary: dict[str, int] = {}
-    rows = [[vocabulary.setdefault(w, len(vocabulary)) for w in re.findall(r"\w+", s.lower())] for s in sentences]
-    counts = np.zeros((len(rows), max(1, len(vocabulary))))
-    for i, r in enumerate(rows):
-        np.add.at(counts[i], r, 1)
-    norms = np.sqrt((counts**2).sum(axis=1, keepdims=True))
-    unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
-    weights = 1 - unit @ unit.T
-    np.fill_diagonal(weights, 0)
-    rank = pagerank(weights)
-    least = np.sort(rank)[::-1][min(n + 1, len(rank) - 1)]
-    return " ".join([s for s, r in zip(sentences, rank, strict=True) if r >= least][:n])
+    rank = pagerank(Likeness([[w.lower() for w in segment.words(s)] for s in found]))
+    least = np.sort(rank)[::-1][min(n + 1, len(rank) - 1)] - 1e-12  # equal sentences have equal ranks, but for rounding
+    return "".join([s for s, r in zip(found, rank, strict=True) if r >= least][:n])
 
 
 def summarized_by_rank(text: Column, n: int = 4) -> Column:

@@ -244,5 +244,5 @@ def tenants(spark: SparkSession, sf: str) -> DataFrame:
     store.drop("gone")
     store.commit("alpha", {"weighted_tag": spark.createDataFrame([("u", "t", 1)], "user_id string, tag string, weight long")})
     store.commit("alpha", {}, {"embedder": "hashing-64"})
-    rows = [(t, store.manifest(t)["options"]["embedder"], len(store.versions(t))) for t in store.tenants()]
+    rows = [(t, store.options(t)["embedder"], len(store.versions(t))) for t in store.tenants()]
     return spark.createDataFrame(rows, "tenant string, embedder string, versions int")

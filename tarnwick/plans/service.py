@@ -12,7 +12,7 @@ from tarnwick.engine import Engine
 from tarnwick.functions.values import average_pooled
 from tarnwick.operators import personalize
 from tarnwick.plans.common import CENTRES, with_corpus
-from tarnwick.plans.search import KNN_SQL
+from tarnwick.plans.search import BM25_SQL, KNN_SQL, RRF_SQL, TEXT
 from tarnwick.plans.users import RECOMMEND, TAGS, centres
 from tarnwick.session import new_path
 from tarnwick.sources import corpus, readers
@@ -33,8 +33,9 @@ def query(sql: str):
     return add
 
 
-def _engine(spark: SparkSession, sf: str) -> Engine:
-    """The corpus as a tenant: documents, snippets, histories, tag weights, and one centre for each document of a user."""
+def engine_of(spark: SparkSession, sf: str, users: bool = True, embedder: Callable | None = None) -> Engine:
+    """The corpus as a tenant: documents, snippets, and with users their histories, tag weights, and one centre for each
+    document of a user."""
     root = new_path(spark, "tenants")
     store = Store(spark, root)
     store.create("corpus")
@@ -42,13 +43,16 @@ def _engine(spark: SparkSession, sf: str) -> Engine:
     store.commit("corpus", {
         "document": corpus.with_properties(docs).withColumn("properties", F.to_json("properties")).withColumns({n: F.lit(None).cast("string") for n in ("original_sha256", "preprocessing_step")}),
         "snippet": corpus.snippets_of_documents(spark, sf).withColumnRenamed("text", "snippet"),
-        "interaction": seen.select("document_id", "sub_id", "user_id", "time_stamp").distinct(),
-        "center_of_interest": centres(spark, sf),
-        "weighted_tag": personalize.tag_weights(seen, docs),
-        "users": personalize.last_seen(seen),
         "indexed_property": spark.createDataFrame(list(corpus.SCHEMA.items()), "name string, type string"),
     })
-    return Engine(spark, root, "corpus")
+    if users:
+        store.commit("corpus", {
+            "interaction": seen.select("document_id", "sub_id", "user_id", "time_stamp").distinct(),
+            "center_of_interest": centres(spark, sf),
+            "weighted_tag": personalize.tag_weights(seen, docs),
+            "users": personalize.last_seen(seen),
+        })
+    return Engine(spark, root, "corpus", embedder=embedder)
 
 
 def _found(hits: DataFrame) -> DataFrame:
@@ -61,14 +65,14 @@ FOUND = "SELECT k.document_id, score, lang FROM ({knn}) k JOIN doc USING (docume
 @query(with_corpus(" " + FOUND.format(knn=KNN_SQL.format(where=""))))
 def service_search(spark: SparkSession, sf: str) -> DataFrame:
     """Documents similar to a document, with their properties."""
-    return _found(_engine(spark, sf).search(document_id="1", count=10))
+    return _found(engine_of(spark, sf).search(document_id="1", count=10))
 
 
 @query(with_corpus(" " + FOUND.format(knn=KNN_SQL.format(where=" AND (lang = 'en' OR n_chars > 900) AND publication_date >= TIMESTAMP '2024-01-10'"))))
 def service_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """The same under a filter on declared properties and a date."""
     either = {"$or": [{"lang": {"$eq": "en"}}, {"n_chars": {"$gt": 900}}]}
-    return _found(_engine(spark, sf).search(document_id="1", count=10, filter=either, published_after="2024-01-10T00:00:00Z"))
+    return _found(engine_of(spark, sf).search(document_id="1", count=10, filter=either, published_after="2024-01-10T00:00:00Z"))
 
 
 def _recommended(out: DataFrame) -> DataFrame:
@@ -78,12 +82,12 @@ def _recommended(out: DataFrame) -> DataFrame:
 @query(with_corpus(RECOMMEND, CENTRES))
 def service_recommend_all(spark: SparkSession, sf: str) -> DataFrame:
     """Recommendations for all users of a tenant."""
-    return _recommended(_engine(spark, sf).recommend_all(count=10, now=NOW))
+    return _recommended(engine_of(spark, sf).recommend_all(count=10, now=NOW))
 
 
 @query("SELECT * FROM (" + with_corpus(RECOMMEND, CENTRES) + ") WHERE user_id = '7'")
 def service_recommend_user(spark: SparkSession, sf: str) -> DataFrame:
-    return _recommended(_engine(spark, sf).recommend_user("7", count=10, now=NOW))
+    return _recommended(engine_of(spark, sf).recommend_user("7", count=10, now=NOW))
 
 
 INTERACT = """SELECT 'newcomer' AS user_id, tag, count(*) AS weight FROM (SELECT unnest(tags) AS tag FROM snip WHERE document_id IN ('1', '2', '3')) GROUP BY tag"""
@@ -92,7 +96,7 @@ INTERACT = """SELECT 'newcomer' AS user_id, tag, count(*) AS weight FROM (SELECT
 @query(with_corpus(TAGS + f" SELECT * FROM tw UNION ALL {INTERACT}"))
 def service_interact(spark: SparkSession, sf: str) -> DataFrame:
     """The tag weights of all users after one more user's interactions."""
-    engine = _engine(spark, sf)
+    engine = engine_of(spark, sf)
     engine.interact("newcomer", [("1", 0), ("2", 0), ("3", 0)], NOW)
     return engine.store.tables("corpus")["weighted_tag"]
 
@@ -100,7 +104,7 @@ def service_interact(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_corpus(" SELECT user_id, document_id, time_stamp FROM inter UNION SELECT 'newcomer', document_id, TIMESTAMP '2024-02-01' FROM snip WHERE document_id IN ('1', '2', '3')"))
 def service_history(spark: SparkSession, sf: str) -> DataFrame:
     """The logged interactions of all users after one more user's."""
-    engine = _engine(spark, sf)
+    engine = engine_of(spark, sf)
     engine.interact("newcomer", [("1", 0), ("2", 0), ("3", 0)], NOW)
     return engine.store.tables("corpus")["interaction"].select("user_id", "document_id", "time_stamp")
 
@@ -108,7 +112,7 @@ def service_history(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_corpus(" SELECT document_id FROM doc WHERE is_candidate AND document_id <> '1'"))
 def service_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """The candidates left after one is taken out."""
-    engine = _engine(spark, sf)
+    engine = engine_of(spark, sf)
     engine.add_candidates(["1"], False)
     return engine.candidates()
 
@@ -154,3 +158,12 @@ def average_pooling(spark: SparkSession, sf: str) -> DataFrame:
     mask = F.array(*[(F.col("vec_id") % 4 >= t).cast("double") for t in range(4)])
     pooled = average_pooled(tokens, mask)
     return e.select("vec_id", pooled.alias("p")).select("vec_id", F.round(F.element_at("p", 1), 6).alias("first"), F.round(F.element_at("p", 16), 6).alias("last"))
+
+
+@query(with_corpus(BM25_SQL + RRF_SQL).replace("LIMIT 20", "LIMIT 10"))
+def service_search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """A text looked up by vector and by words through the API, with an embedder that has document 1's vector for it."""
+    vector = corpus.snippets(spark, sf).where("document_id = '1'").first()["embedding"]
+    engine = engine_of(spark, sf, embedder=lambda texts: [vector for _ in texts])
+    engine.index_texts()
+    return engine.search(text=TEXT, count=10, hybrid=True).select("document_id", F.round("score", 6).alias("score"))

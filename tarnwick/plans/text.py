@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.operators import summarize
-from tarnwick.operators.split import split_text
+from tarnwick.operators import sentences, summarize
+from tarnwick.operators.split import Splitter, split_text
+from tarnwick.operators.subwords import Subwords
 from tarnwick.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,37 @@ def last_row_wins(spark: SparkSession, sf: str) -> DataFrame:
     """Last-write-wins over any key."""
     c = spark.read.parquet(f"{sf}/conversations.parquet")
     return c.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))).where("n = 1").select("conv_id", "turn", "role")
+
+
+@query("""WITH t AS (
+  SELECT unnest(regexp_extract_all(text, '[^\\s]+')) AS token FROM documents
+), k AS (
+  SELECT token, rtrim(token, '"'')]}»”’“›‹') AS bare FROM t
+), c AS (
+  SELECT lower(rtrim(rtrim(ltrim(token, '"''([{«„“‘»›‹'), '"'')]}»”’“›‹'), '.,;:!?…')) AS core, bare LIKE '%.' AND NOT bare LIKE '%..' AS period FROM k
+), y AS (
+  SELECT CASE WHEN regexp_full_match(core, '[-+]?[0-9]+([.,:/-][0-9]+)*') THEN '#' ELSE core END AS type, period FROM c
+), n AS (
+  SELECT type, count(*) FILTER (period) AS with_, count(*) FILTER (NOT period) AS without FROM y GROUP BY type
+), s AS (
+  SELECT count(*) AS all_, count(*) FILTER (period) AS periods FROM y
+), r AS (
+  SELECT type, with_, without, length(replace(type, '.', '')) AS letters, periods::DOUBLE / all_ AS p FROM n, s WHERE with_ > 0 AND regexp_matches(type, '\\p{L}')
+)
+SELECT type, with_, without,
+       round(2 * (with_ * ln(.99::DOUBLE) + without * ln(.01::DOUBLE) - with_ * ln(p) - CASE WHEN without > 0 THEN without * ln(1 - p) ELSE 0 END)
+             * exp(-letters::DOUBLE) * (length(type) - letters + 1) * pow(letters::DOUBLE, -without::DOUBLE), 6) AS score FROM r""".replace("\\\\", "\\"))
+def abbreviation_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """How likely each word that ends in a period is an abbreviation, by likelihood ratio."""
+    counts = sentences.type_counts(sentences.token_pairs(_docs(spark, sf)))
+    return sentences.abbreviations(counts).select("type", "with_", "without", F.round("score", 6).alias("score"))
+
+
+@query()
+def split_snippets_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Snippets of at most 500 tokens of a vocabulary, and never more than 520, by sentences of a model trained on the corpus."""
+    import public_tokenizers
+
+    docs = _docs(spark, sf)
+    splitter = Splitter(length=Subwords.from_file(public_tokenizers.path("word_bpe_49k.json")).length, sentences=sentences.train(docs).split)
+    return docs.select("document_id", F.posexplode(split_text(F.col("text"), splitter)).alias("sub_id", "snippet"))

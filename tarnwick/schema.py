@@ -49,4 +49,17 @@ INGEST = T.StructType([
     T.StructField("summarize", T.BooleanType()),
     T.StructField("split", T.BooleanType()),
 ])
-TABLES = {"document": DOCUMENT, "snippet": SNIPPET, "interaction": INTERACTION, "center_of_interest": INTEREST, "weighted_tag": WEIGHTED_TAG, "users": USERS, "indexed_property": INDEXED_PROPERTY}
+#: A block of the inverted index: the documents of one block that have a term; the empty term has all of them.
+POSTINGS = T.StructType([
+    T.StructField("block", T.LongType()),
+    T.StructField("term", T.StringType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("max_tf", T.DoubleType()),
+    T.StructField("min_dl", T.DoubleType()),
+    T.StructField("sum_dl", T.DoubleType()),
+    T.StructField("docs", T.ArrayType(T.StructType([T.StructField("document_id", T.StringType()), T.StructField("sub_id", T.LongType()), T.StructField("tf", T.DoubleType()), T.StructField("dl", T.DoubleType())]))),
+])
+TABLES = {"document": DOCUMENT, "snippet": SNIPPET, "interaction": INTERACTION, "center_of_interest": INTEREST, "weighted_tag": WEIGHTED_TAG, "users": USERS, "postings": POSTINGS, "indexed_property": INDEXED_PROPERTY}
+#: The key by which a table is partitioned, and what else it is partitioned by.
+KEYS = {"document": "document_id", "snippet": "document_id", "postings": "block", "interaction": "user_id", "center_of_interest": "user_id", "weighted_tag": "user_id", "users": "user_id"}
+SUBPARTITIONS = {"document": ["is_candidate"]}

@@ -201,7 +201,7 @@ def test_summaries_and_splits():
     parts = split.split_one(" ".join(f"Word{i} ends here." for i in range(400)), 50, 60)
     assert all(split.length(p) <= 60 for p in parts) and sum(map(split.length, parts)) == 1200
     assert all(split.length(p) <= 60 for p in split.split_one("w " * 1000, 50, 60)) and split.split_one(None) == []
-    ranked = summarize.summarize_ranked_one(" ".join(f"{a} number{i}." for i in range(9)))
+    ranked = summarize.summarize_ranked_one(" ".join(f"{a.capitalize()} number{i}." for i in range(9)))
     assert ranked and len(ranked.split(". ")) <= 5
 
 
