@@ -18,7 +18,7 @@ LEAST_DOCS, MOST_TERMS = 3, 200
 #: The whole of a distribution.
 WHOLE = 1_000_000_000
 #: Bytes of text that DuckDB counts at once, and rows of counts that a task gathers before it passes them on.
-CHUNK_BYTES, GATHERED = 1 << 24, 1 << 20
+CHUNK_BYTES, GATHERED = 1 << 23, 1 << 19
 #: A byte of a term is a letter of A-Z (in lower case then), a-z, or part of a character beyond ASCII; all others divide.
 LETTERS = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))
 
