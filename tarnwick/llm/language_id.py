@@ -72,11 +72,12 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def page_marks(pages: DataFrame) -> DataFrame:
     """page_id, text (without markup), declared, host, domain, suffix; what is missing is an empty string. A script,
-    style, title, menu or comment that is not closed goes on to the page's end."""
+    style, title, menu or comment that is not closed goes on to the page's end. The language is declared in the first html tag."""
     page = F.coalesce("html", F.lit(""))
     text = F.regexp_replace(page, r"(?is)<(script|style|title|nav)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    declared = F.lower(F.regexp_extract(page, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
+    tag = F.regexp_extract(page, r"(?i)<html\b([^>]*)", 1)  # to the next >, so a page is read once whatever it repeats
+    declared = F.lower(F.regexp_extract(tag, r"""(?i)\slang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
     labels = F.split("host", r"\.")
     rows = pages.select("page_id", text.alias("text"), declared.alias("declared"), host.alias("host"))
     domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")

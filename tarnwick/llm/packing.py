@@ -62,6 +62,8 @@ def pack(docs: DataFrame, budget: int = 16_384, n_buckets: int = 16, length: str
 
     docs: doc_id, and length or text; other columns are ignored, whatever their names. A null text or length is 0; a
     null doc_id is ranked like any other; repeated rows get places of their own; an empty table gives an empty result.
+    Rows of one id and length are counted before they are ranked and made rows again after it, in chunks that are dealt
+    anew, so one id (or null) may hold any share of the rows.
     Returns doc_id, length, bucket, bound, batch, slot, padding.
     """
     size = F.coalesce(F.col(length), F.lit(0)).cast("long") if length else n_words(F.col("text"))
@@ -84,12 +86,16 @@ def _batches(slim: DataFrame, hist: list[tuple[int, int]], n_long: int, bounds:
     known = F.coalesce(F.get(lists(bounds, "bigint"), F.col("bucket")), F.col("length"))
     in_shards = lambda n: max(1, -(-n // SHARD_ROWS))
     shards = F.coalesce(F.get(lists([in_shards(n) for n in sizes], "bigint"), F.col("bucket")), F.lit(in_shards(n_long)))
-    rows = slim.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("mix", F.lit(7)), shards))
-    counts = rows.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
+    groups = slim.groupBy("doc_id", "length", "mix").agg(F.count(F.lit(1)).alias("rows"))
+    groups = groups.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("mix", F.lit(7)), shards))
+    counts = groups.groupBy("bucket", "shard").agg(F.sum("rows").alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket", "shard").orderBy("mix", "doc_id", "length")
-    rows = rows.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["bucket", "shard"])
-    rank, room = F.col("rank") + F.col("offset"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(known, F.lit(1)))).cast("long")
+    inside = Window.partitionBy("bucket", "shard").orderBy("mix", "doc_id", "length").rowsBetween(Window.unboundedPreceding, 0)
+    groups = groups.withColumn("rank", F.sum("rows").over(inside) - F.col("rows")).join(offsets, ["bucket", "shard"])
+    chunks = groups.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(SHARD_ROWS).cast("long")))).repartition("doc_id", "length", "first")
+    here = F.sequence(F.col("first"), F.least(F.col("first") + SHARD_ROWS, F.col("rows")) - 1)
+    rows = chunks.withColumn("nth", F.explode(here))
+    rank, room = F.col("rank") + F.col("nth") + F.col("offset"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(known, F.lit(1)))).cast("long")
     out = rows.select("doc_id", "length", "bucket", known.alias("bound"), F.floor(rank / room).cast("long").alias("batch"), (rank % room).cast("long").alias("slot"))
     return out.withColumn("padding", F.col("bound") - F.col("length"))

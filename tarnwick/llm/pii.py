@@ -11,19 +11,21 @@ ROUNDS = 10
 #: First day and length of the range of dates: 400 years, a whole Gregorian cycle of 146,097 = 189 * 773 days.
 FIRST_DAY, DAYS, DAY_SPLIT = "1800-01-01", 146_097, 773
 
-#: By kind, in the order in which they are tried. All repetitions are bounded: no text, however long, makes the matcher
-#: recurse deeply or read the same stretch again and again. An address has 64 characters before the @ and 16 labels at most.
+#: By kind, in the order in which they are tried. No text, however long, makes the matcher recurse deeply or read the same
+#: stretch again and again: repetitions are bounded, and what stands before an @ is looked at from its beginning only. It may have
+#: any length and letters of any script; an address has 127 labels at most, as names of hosts have. Numbers with more parts than
+#: an address of the internet has are none.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,16}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[\p{L}\p{M}\p{N}-]{1,63}+\.){1,126}\p{L}{2,24}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
+    "ip": r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.\d)",
     "phone": r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
 #: A match begins and ends where no letter or digit touches it.
-PATTERN = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?![A-Za-z0-9])"
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?![\p{L}\p{N}])"
 
 
 def _mixed(key: str, tweak: Column, i: Column, x: Column) -> Column:
