@@ -16,8 +16,10 @@ from tarnwick.operators import filters, fusion, ingest, personalize, postings, v
 from tarnwick.operators import interests as ci
 from tarnwick.operators.embed import REGISTRY
 from tarnwick.operators.search import knn, top
+from tarnwick.operators.split import Splitter
 from tarnwick.schema import KEYS
 from tarnwick.session import table
+from tarnwick.sources.files import Files
 from tarnwick.sources.readers import requests_of
 from tarnwick.sources.store import Store
 from tarnwick.streaming import stateful
@@ -31,11 +33,13 @@ INLINE = "inline"
 
 
 class Engine:
-    """One tenant. ``now`` is an argument wherever time matters; it defaults to the clock. embedder (texts to vectors): instead of the tenant's."""
+    """One tenant. ``now`` is an argument wherever time matters; it defaults to the clock. embedder (texts to vectors): instead of the tenant's.
+    splitter: how files and texts are split, by default as config says, in words; files: which are taken, and their extractors."""
 
-    def __init__(self, spark: SparkSession, root: str, tenant: str, config: EngineConfig = EngineConfig(), embedder: Callable | None = None):  # noqa: B008
+    def __init__(self, spark: SparkSession, root: str, tenant: str, config: EngineConfig = EngineConfig(), embedder: Callable | None = None, splitter: Splitter | None = None, files: Files = Files()):  # noqa: B008
         self.spark, self.store, self.tenant, self.config = spark, Store(spark, root), tenant, config
-        self._own_embedder = embedder
+        self._own_embedder, self.files = embedder, files
+        self.splitter = splitter or Splitter(config.split.chunk_size, config.split.hard_limit)
 
     # --- tables ---
 
@@ -103,7 +107,7 @@ class Engine:
             documents = requests_of(self.spark, documents)
         parts = self.store.parts(self.tenant, documents.select(trimmed(F.col("id"))))
         old = {name: self.store.table(self.tenant, name, parts) for name in ("document", "snippet")}
-        out = ingest.upsert(documents, old["document"], old["snippet"], self.embedder, self.schema())
+        out = ingest.upsert(documents, old["document"], old["snippet"], self.embedder, self.schema(), self.files, self.splitter)
         report = table(out.report, "report")
         if parts:
             # documents last: a batch that was cut off before is new again

@@ -11,9 +11,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words beyond this are not embedded.
-MAX_WORDS = 250
-
 
 def _token_vector(word: str, dim: int) -> np.ndarray:
     seed = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
@@ -46,7 +43,7 @@ class Embedder:
             known: dict[str, np.ndarray] = {}
             rows = []
             for t in texts:
-                words = t.lower().split()[:MAX_WORDS]
+                words = t.lower().split()
                 for w in words:
                     if w not in known:
                         known[w] = _token_vector(w, self.dim)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tarnwick.config import MAX_BATCH, MAX_PROPERTIES_BYTES, MAX_STRING_BYTES, MAX_TAGS, BatchTooLarge
 from tarnwick.functions import ids, values
 from tarnwick.operators.embed import Embedder, embedded
-from tarnwick.operators.split import split_text
+from tarnwick.operators.split import Splitter, split_text
 from tarnwick.operators.summarize import summarized
 from tarnwick.session import table
+from tarnwick.sources.files import Files
 
 
 def check_batch(n: int, most: int = MAX_BATCH) -> None:
@@ -45,13 +46,13 @@ def valid_properties(properties: Column, schema: dict[str, str] | None = None) -
     return F.coalesce(ok, F.lit(False))
 
 
-def validated(batch: DataFrame, schema: dict[str, str] | None = None) -> DataFrame:
+def validated(batch: DataFrame, schema: dict[str, str] | None = None, files: Files = Files()) -> DataFrame:  # noqa: B008
     """batch (schema.INGEST, with pos) plus ``errors``: the names of the fields that don't hold. schema: declared properties."""
     split, text = F.coalesce("split", F.lit(False)), F.col("snippet")
     checks = {
         "id": ids.valid_document_id(F.col("id")),
         "snippet": F.when(F.col("file").isNull(), ids.valid_snippet(text, split)).otherwise(text.isNull()),
-        "file": F.col("file").isNull() | values.decoded_base64(F.col("file")).isNotNull(),
+        "file": F.col("file").isNull() | files.accepted(values.decoded_base64(F.col("file"))),
         "properties": F.col("properties").isNull() | valid_properties(F.col("properties"), schema),
         "tags": F.col("tags").isNull() | (F.coalesce(F.forall("tags", ids.valid_tag), F.lit(False)) & (F.size("tags") <= MAX_TAGS)),
         "is_candidate": F.col("is_candidate").isNull() | F.col("default_is_candidate").isNull(),
@@ -66,10 +67,10 @@ def last_wins(batch: DataFrame, key: str = "id", order: str = "pos") -> DataFram
     return batch.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def prepared(batch: DataFrame) -> DataFrame:
-    """Requests as document rows: trimmed text, hash of the input, step, defaults. A file is split."""
+def prepared(batch: DataFrame, files: Files = Files()) -> DataFrame:  # noqa: B008
+    """Requests as document rows: trimmed text, hash of the input, step, defaults. A file's text is extracted by its type, and split."""
     step = F.when(F.coalesce("split", F.col("file").isNotNull()), "nltk_split_v1").when(F.coalesce("summarize", F.lit(False)), "summarize").otherwise("none")
-    text = F.coalesce(ids.trimmed(F.col("snippet")), values.decoded_base64(F.col("file")).cast("string"))
+    text = F.coalesce(ids.trimmed(F.col("snippet")), ids.trimmed(files.text(values.decoded_base64(F.col("file")))))
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), ids.trimmed)
     return batch.select(ids.trimmed(F.col("id")).alias("document_id"), text.alias("text"), values.sha256_of(text).alias("original_sha256"), step.alias("preprocessing_step"), F.coalesce("properties", F.lit("{}")).alias("properties"), tags.alias("tags"), F.col("is_candidate").alias("set_to"), F.col("default_is_candidate").alias("default_to"))
 
@@ -87,11 +88,11 @@ def classified(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(new, "new").when(changed, "changed").otherwise("unchanged"))
 
 
-def snippets_of(rows: DataFrame, embedder: Embedder, chunk_size: int = 500, hard_limit: int = 520) -> DataFrame:
+def snippets_of(rows: DataFrame, embedder: Embedder, splitter: Splitter = Splitter()) -> DataFrame:  # noqa: B008
     """document_id, sub_id, snippet, embedding of new rows: split into several snippets, summarised (the summary is
     embedded, the original stored) or as they are."""
     text, step = F.col("text"), F.col("preprocessing_step")
-    split = rows.where(step == "nltk_split_v1").select("document_id", F.posexplode(split_text(text, chunk_size, hard_limit)).alias("sub_id", "snippet")).withColumn("basis", F.col("snippet"))
+    split = rows.where(step == "nltk_split_v1").select("document_id", F.posexplode(split_text(text, splitter)).alias("sub_id", "snippet")).withColumn("basis", F.col("snippet"))
     short = rows.where(step == "summarize").select("document_id", F.lit(0).alias("sub_id"), text.alias("snippet"), summarized(text).alias("basis"))
     plain = rows.where(step == "none").select("document_id", F.lit(0).alias("sub_id"), text.alias("snippet"), text.alias("basis"))
     every = split.unionByName(short).unionByName(plain)
@@ -107,29 +108,29 @@ class Upsert:
     report: DataFrame
 
 
-def upsert(batch: DataFrame, documents: DataFrame, snippets: DataFrame, embedder: Embedder, schema: dict[str, str] | None = None) -> Upsert:
+def upsert(batch: DataFrame, documents: DataFrame, snippets: DataFrame, embedder: Embedder, schema: dict[str, str] | None = None, files: Files = Files(), splitter: Splitter = Splitter()) -> Upsert:  # noqa: B008
     """One plan: validate, last wins, classify, embed only what is new, replace rows.
 
     Invalid requests, and those whose text gives no snippet, are reported and the others go on. A re-ingested document
     loses all its old snippets.
     """
-    checked = validated(batch, schema)
+    checked = validated(batch, schema, files)
     invalid = checked.where(F.size("errors") > 0).select(F.col("id").alias("document_id"), F.lit("invalid").alias("status"))
-    asked = last_wins(prepared_with_pos(checked.where(F.size("errors") == 0)), "document_id")
+    asked = last_wins(prepared_with_pos(checked.where(F.size("errors") == 0), files), "document_id")
     empty = F.coalesce(ids.trimmed(F.col("text")), F.lit("")) == ""
     invalid = invalid.unionByName(asked.where(empty).select("document_id", F.lit("invalid").alias("status")))
     rows = table(classified(asked.where(~empty), documents), "classified")  # tables are overwritten one after another
     columns = ["document_id", "original_sha256", "preprocessing_step", "properties", "tags", "is_candidate"]
     next_docs = documents.join(rows.select("document_id"), "document_id", "left_anti").select(*columns).unionByName(rows.select(*columns))
     new = rows.where("status = 'new'")
-    made = snippets_of(new, embedder)
+    made = snippets_of(new, embedder, splitter)
     next_snippets = snippets.join(new.select("document_id"), "document_id", "left_anti").select("document_id", "sub_id", "snippet", "embedding").unionByName(made)
     return Upsert(next_docs, next_snippets, rows.select("document_id", "status").unionByName(invalid))
 
 
-def prepared_with_pos(batch: DataFrame) -> DataFrame:
+def prepared_with_pos(batch: DataFrame, files: Files = Files()) -> DataFrame:  # noqa: B008
     """prepared() with the requests' order."""
-    out = prepared(batch.withColumn("tags", F.concat(F.array(F.col("pos").cast("string")), F.coalesce("tags", F.array().cast("array<string>")))))
+    out = prepared(batch.withColumn("tags", F.concat(F.array(F.col("pos").cast("string")), F.coalesce("tags", F.array().cast("array<string>")))), files)
     return out.withColumn("pos", F.element_at("tags", 1).cast("long")).withColumn("tags", F.slice("tags", 2, MAX_TAGS))
 
 

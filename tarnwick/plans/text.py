@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.operators import sentences, summarize
+from tarnwick.operators import sentences, summarize, word_vectors
 from tarnwick.operators.split import Splitter, split_text
 from tarnwick.operators.subwords import Subwords
+from tarnwick.session import table
 from tarnwick.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,31 @@ def split_snippets_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
     splitter = Splitter(length=Subwords.from_file(public_tokenizers.path("word_bpe_49k.json")).length, sentences=sentences.train(docs).split)
     return docs.select("document_id", F.posexplode(split_text(F.col("text"), splitter)).alias("sub_id", "snippet"))
+
+
+WORDS_SQL = """WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents
+), v AS (
+  SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS i FROM (SELECT unnest(t) AS word, count(*) AS n FROM t GROUP BY word) WHERE n >= 5 QUALIFY i < 2000
+), p AS (
+  SELECT t[k] AS a, t[k + o] AS b FROM (SELECT t, unnest(range(1, len(t) + 1)) AS k FROM t), range(1, 5) r(o) WHERE k + o <= len(t)
+), w AS (
+  SELECT x.i AS i, y.i AS j FROM p JOIN v x ON x.word = a JOIN v y ON y.word = b
+), c AS (
+  SELECT i, j, count(*) AS n FROM (SELECT i, j FROM w UNION ALL SELECT j, i FROM w) GROUP BY i, j
+), r AS (
+  SELECT i, sum(n) AS n FROM c GROUP BY i
+)
+SELECT x.word AS word, y.word AS context, c.n::BIGINT AS n, round(ln(c.n * (SELECT sum(n) FROM c)::DOUBLE / (a.n::DOUBLE * b.n)), 6) AS information
+FROM c JOIN r a ON a.i = c.i JOIN r b ON b.i = c.j JOIN v x ON x.i = c.i JOIN v y ON y.i = c.j WHERE ln(c.n * (SELECT sum(n) FROM c)::DOUBLE / (a.n::DOUBLE * b.n)) > 0""".replace("\\\\", "\\")
+
+
+@query(WORDS_SQL)
+def word_information(spark: SparkSession, sf: str) -> DataFrame:
+    """How much more often than by chance the 2,000 most frequent words of the corpus meet, which word vectors are learnt from."""
+    docs = _docs(spark, sf)
+    words = table(word_vectors.vocabulary(docs, most=2000), "vocabulary")
+    pairs = table(word_vectors.co_occurrences(docs, words), "co-occurrences")
+    name = lambda i, to: words.select(F.col("i").alias(i), F.col("word").alias(to))
+    out = word_vectors.information(pairs).join(pairs, ["i", "j"]).join(name("i", "word"), "i").join(name("j", "context"), "j")
+    return out.select("word", "context", "n", F.round("v", 6).alias("information"))
