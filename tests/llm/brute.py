@@ -7,6 +7,7 @@ import re
 from datetime import date, timedelta
 from itertools import combinations
 
+import regex
 import xxhash
 
 
@@ -211,16 +212,17 @@ def pseudonym(key: str, kind: str, m: str) -> str | None:
 def pseudonyms(key: str, text: str | None, pattern: str, kinds: dict[str, str]) -> tuple[str | None, list[str]]:
     """The text with its values replaced, and their kinds; which stretches count as values is told by the patterns."""
     found = []
+    ascii_digits = lambda p: p.replace(r"\d", "[0-9]")  # noqa: E731  as Spark's expressions take them
 
     def one(m) -> str:
-        kind = next(k for k, p in kinds.items() if re.fullmatch(p, m[0], re.ASCII))
+        kind = next(k for k, p in kinds.items() if regex.fullmatch(ascii_digits(p), m[0]))
         new = pseudonym(key, kind, m[0])
         if new is None:
             return m[0]
         found.append(kind)
         return new
 
-    return (None if text is None else re.sub(pattern, one, text, flags=re.ASCII)), found
+    return (None if text is None else regex.sub(ascii_digits(pattern), one, text)), found
 
 
 # --- language ---

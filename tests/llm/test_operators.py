@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -521,7 +522,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
 
 def test_pseudonyms_against_plain_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9]' and length(text) < 8000").select("doc_id", "text")
-    made = ["born 1/2/1984 or 3.4.1990 or 01/2/1984, 12/11/1850; 31.2.1999", "x@a.b.co.uk. A@b", "0.0.0.0 1.2.3.4.5 01.2.3.4", "ssn 899-99-9999 665-12-3456 667-12-3456 000-11-2222"]
+    made = ["born 1/2/1984 or 3.4.1990 or 01/2/1984, 12/11/1850; 31.2.1999", "x@a.b.co.uk. A@b", "josé.garcía@münchen.example.de und " + "q" * 70 + "@long.org, " + "n@" + "l." * 126 + "com", "0.0.0.0 1.2.3.4.5 01.2.3.4 10.1.2.3.4 (1.2.3.4), 1.2.3.4. 10.1.2.34", "ssn 899-99-9999 665-12-3456 667-12-3456 000-11-2222"]
     rng = random.Random(18)
     for _ in range(60):
         n = rng.choice([13, 15, 16, 19])
@@ -537,6 +538,14 @@ def test_pseudonyms_against_plain_python(spark):
     assert re.fullmatch(r"born \d{1,2}/\d{1,2}/\d{4} or \d{1,2}\.\d{1,2}\.\d{4} or \d\d/\d{1,2}/\d{4}, \d\d/\d\d/\d{4}; 31\.2\.1999", safe) and not re.search(r"[ ./]0\d?[./]", safe.split(" or 0")[0].split(" or ")[0])
 
 
+def test_no_part_of_an_address_is_left(spark):
+    texts = ["josé.garcia@example.com", "q" * 70 + "@x.org", "n@" + "l." * 126 + "com", "10.1.2.3.4", "see 10.1.2.3."]
+    got = [r["safe_text"] for r in pii.pseudonyms(frame(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()]
+    assert not got[0].startswith("jos") and "garcia" not in got[0] and got[0].endswith("@example.com")
+    assert got[1].endswith("@x.org") and "qqqq" not in got[1] and got[2][0] != "n" and got[2][1:] == texts[2][1:]
+    assert got[3] == texts[3] and "10.1.2.3" not in got[4] and got[4].endswith(".")
+
+
 def test_pseudonyms_of_hostile_texts(spark):
     n = 1 << 20
     hostile = ["x@" + "a." * (n // 2) + "com", "a." * (n // 2) + "@", "a" * n + "@b.c", "1" * n, "1-" * (n // 2), "GB12" + " ABCD" * (n // 5), "1." * (n // 2), "1/" * (n // 2), "@" * n, "(" * n, "+1 " * (n // 3)]
@@ -590,3 +599,33 @@ def test_empty_tables(spark, name):
         "pack": packing.pack, "tokens": lambda d: token_counts.count_tokens(d, public_tokenizers.path("word_bpe_49k.json")), "repeats": substring_dedup.remove_repeats, "pii": lambda d: pii.pseudonyms(d, "k"),
     }
     assert run[name](empty).collect() == []
+
+
+# --- rows of one id, pages that repeat their tags ---
+
+
+def test_packing_deals_rows_of_one_id(spark):
+    """A third of the rows has no id, a third the same one; places are whole, and the same whatever the partitions."""
+    rng = random.Random(21)
+    rows = [(None, "w " * rng.randint(1, 40)) for _ in range(5000)] + [(7, "w " * 12) for _ in range(5000)] + [(100 + i, "w " * rng.randint(1, 60)) for i in range(5000)]
+    rng.shuffle(rows)
+    docs = frame(spark, rows)
+    got = packing.pack(docs, budget=400, n_buckets=4).collect()
+    assert len(got) == 15_000 and len({(r["bucket"], r["batch"], r["slot"]) for r in got}) == 15_000
+    sizes = {}
+    for r in got:
+        assert r["length"] <= r["bound"] and r["slot"] < 400 // r["bound"]
+        sizes.setdefault(r["bucket"], set()).add((r["batch"], r["slot"]))
+    for r in got[:4]:
+        room = 400 // r["bound"]
+        assert sizes[r["bucket"]] == {(i // room, i % room) for i in range(len(sizes[r["bucket"]]))}
+    key = lambda rs: sorted(map(str, rs))
+    assert key(got) == key(packing.pack(docs.repartition(7), budget=400, n_buckets=4).collect())
+
+
+def test_pages_that_repeat_tags_are_read_once(spark):
+    hostile = ["<html " * 200_000, "<html" + " " * 500_000 + "lang", "<html " + "lang " * 200_000, '<HTML class="x" LANG = "De-AT"><p>', "<html><html lang=fr>", "<p>"]
+    pages = spark.createDataFrame([(i, f"https://h{i}.org", t) for i, t in enumerate(hostile)], "page_id long, url string, html string")
+    began = time.time()
+    got = [r["declared"] for r in language_id.page_marks(pages).orderBy("page_id").collect()]
+    assert got == ["", "", "", "de", "", ""] and time.time() - began < 20
