@@ -92,11 +92,12 @@ class Engine:
             rows = self.store.table(self.tenant, "snippet", parts).join(changed.select("document_id"), "document_id", "left_semi")
             vector_index.refresh(index, changed, rows.select("document_id", "sub_id", "embedding"))
 
-    def _nearest(self, rows: DataFrame, vec: DataFrame, count: int, num_candidates: int | None) -> DataFrame:
-        """The count nearest of rows: exactly, or with num_candidates by the index, if there is one."""
-        if num_candidates is None or (index := self._vectors()) is None:
-            return knn(rows, vec, count).drop("q")
-        return vector_index.search(index, vec, count, candidates=num_candidates, shown=rows).drop("q")
+    def _nearest(self, num_candidates: int | None) -> Callable[..., DataFrame]:
+        """How to find the nearest rows: exactly, or with num_candidates by the index, if there is one."""
+        index = self._vectors() if num_candidates is not None else None
+        if index is None:
+            return knn
+        return lambda rows, queries, k=10: vector_index.search(index, queries, k, candidates=num_candidates, shown=rows)
 
     # --- back office ---
 
@@ -298,7 +299,7 @@ class Engine:
             rows = personalize.exclude_documents(rows, self._of("interaction", user_id))
         if history is not None and exclude_seen:
             rows = self._unseen(rows, history)
-        vector = self._nearest(rows, vec, count, num_candidates)
+        vector = self._nearest(num_candidates)(rows, vec, count).drop("q")
         found = vector
         lexical = None
         if hybrid and text is not None:
@@ -353,14 +354,15 @@ class Engine:
         self.store.replace(self.tenant, {"users": self._seen_at(self.store.table(self.tenant, "users", parts), [(user_id, now or datetime.now(UTC))])}, parts)
         return self.recommend_all(count, filter, published_after, exclude_seen, now, user_id)
 
-    def recommend_all(self, count: int | None = None, filter: dict | None = None, published_after: str | None = None, exclude_seen: bool = True, now: datetime | None = None, user_id: str | None = None) -> DataFrame:
-        """(user_id, document_id, sub_id, score, rank) for all users with enough interests, or for one, in one plan."""
+    def recommend_all(self, count: int | None = None, filter: dict | None = None, published_after: str | None = None, exclude_seen: bool = True, now: datetime | None = None, user_id: str | None = None, num_candidates: int | None = None) -> DataFrame:
+        """(user_id, document_id, sub_id, score, rank) for all users with enough interests, or for one, in one plan; by the
+        index of vectors with num_candidates, as in search()."""
         count = self.config.checked_count(count)
         t = {name: self.store.table(self.tenant, name) if user_id is None else self._of(name, user_id) for name in USER_TABLES}
         interests = t["center_of_interest"].withColumn("step", F.row_number().over(_by_id()) - 1)
         seen = personalize.seen_documents(t["interaction"]) if exclude_seen and self.config.store_user_history else None
         rows = self._candidates(self._condition(filter, published_after))
-        return personalize.recommend(rows, interests, t["weighted_tag"], seen, self._now(now), count, MAX_CANDIDATES, self.config.interests.horizon_days, self.config.interests.min_interests)
+        return personalize.recommend(rows, interests, t["weighted_tag"], seen, self._now(now), count, MAX_CANDIDATES, self.config.interests.horizon_days, self.config.interests.min_interests, self._nearest(num_candidates))
 
     def recommend(self, history: list[dict], count: int | None = None, filter: dict | None = None, now: datetime | None = None) -> DataFrame:
         """For an inline history of {document_id, sub_id?, time_stamp?}, oldest first; nothing is stored."""

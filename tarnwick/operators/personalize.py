@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,19 +69,19 @@ def gate(users: DataFrame, interests: DataFrame, least: int) -> DataFrame:
     return users.join(counts.select("user_id"), "user_id", "left_semi")
 
 
-def search_by_interests(snippets: DataFrame, top: DataFrame, seen: DataFrame | None, count: int, candidates: int) -> DataFrame:
+def search_by_interests(snippets: DataFrame, top: DataFrame, seen: DataFrame | None, count: int, candidates: int, nearest: Callable[[DataFrame, DataFrame], DataFrame] = knn) -> DataFrame:
     """(user_id, document_id, sub_id, score): one list per centre, as long as its share of the count, each fused by
     1 / (60 + position) and summed. top: user_id, coi_id, point, weight (of the top centres, summing to 1).
 
     The search fetches max(ceil(weight * candidates), that share) rows and keeps the share, which is the head of it,
-    so only the share is asked for. seen documents never come back.
+    so only the share is asked for. seen documents never come back. nearest: knn(), or a search of an index.
     """
     k = F.ceil(F.col("weight") * count)
     q = top.select(F.to_json(F.struct("user_id", "coi_id")).alias("q"), F.col("point").alias("vec"), F.greatest(F.least(k, F.lit(count)), F.lit(1)).cast("int").alias("k"), "user_id")
     if seen is not None:
         lists = seen.groupBy("user_id").agg(F.collect_set("document_id").alias("exclude"))
         q = q.join(lists, "user_id", "left")
-    hits = knn(snippets, q.drop("user_id"))
+    hits = nearest(snippets, q.drop("user_id"))
     at = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("document_id").desc(), F.col("sub_id").desc())
     hits = hits.withColumn("rrf", 1 / (F.lit(RRF_K) + F.row_number().over(at))).withColumn("user_id", F.get_json_object("q", "$.user_id"))
     return hits.groupBy("user_id", "document_id", "sub_id").agg(F.sum("rrf").alias("score"))
@@ -103,13 +105,13 @@ def best_per_user(rows: DataFrame, count: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count)
 
 
-def recommend(snippets: DataFrame, interests: DataFrame, weights: DataFrame, seen: DataFrame | None, now: Column, count: int, candidates: int, horizon_days: int = 30, least: int = 1) -> DataFrame:
+def recommend(snippets: DataFrame, interests: DataFrame, weights: DataFrame, seen: DataFrame | None, now: Column, count: int, candidates: int, horizon_days: int = 30, least: int = 1, nearest: Callable[[DataFrame, DataFrame], DataFrame] = knn) -> DataFrame:
     """(user_id, document_id, sub_id, score, rank) for all users with at least ``least`` centres. snippets: document_id,
     sub_id, embedding, tags; interests as fold_interactions() gives them."""
     users = gate(interests.select("user_id").distinct(), interests, least)
     relevant = table(ci.relevance(interests.join(users, "user_id", "left_semi"), now, horizon_days), "interests")
     top = ci.top_interests(ci.weights(relevant))
-    found = table(search_by_interests(snippets, top, seen, count, candidates), "found")
+    found = table(search_by_interests(snippets, top, seen, count, candidates, nearest), "found")
     pairs = found.join(snippets.select("document_id", "sub_id", "embedding", "tags"), ["document_id", "sub_id"])
     scored = rerank(found, ci.interest_scores(pairs, relevant), tag_scores(pairs, weights))
     return best_per_user(scored, count)

@@ -141,3 +141,12 @@ def _streamed(spark: SparkSession, sf: str, name: str) -> DataFrame:
     events = spark.readStream.schema("user_id string, document_id string, sub_id long, event_id long, time_stamp timestamp").parquet(path)
     engine.interact_stream(events, new_path(spark, "checkpoint")).awaitTermination()
     return engine.store.table("corpus", name)
+
+
+@query(service.ORACLE_SQL["service_recommend_all"])
+def service_recommend_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Recommendations for all users through the vector index, all rows being candidates: the same as by the scan."""
+    engine = service.engine_of(spark, sf)
+    engine.index_vectors()
+    out = engine.recommend_all(count=10, now=service.NOW, num_candidates=1 << 31)
+    return out.select("user_id", "document_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
