@@ -15,7 +15,7 @@ from tarnwick.plans.common import CENTRES, with_corpus
 from tarnwick.plans.search import BM25_SQL, KNN_SQL, RRF_SQL, TEXT
 from tarnwick.plans.users import RECOMMEND, TAGS, centres
 from tarnwick.session import new_path
-from tarnwick.sources import corpus, readers
+from tarnwick.sources import corpus, npy, readers
 from tarnwick.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,17 @@ def service_search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     engine = engine_of(spark, sf, embedder=lambda texts: [vector for _ in texts])
     engine.index_texts()
     return engine.search(text=TEXT, count=10, hybrid=True).select("document_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS total, CASE WHEN vec_id % 9 = 4 THEN 'length' END AS reason
+FROM (SELECT vec_id, CASE WHEN vec_id % 9 = 4 THEN NULL ELSE embedding END AS embedding FROM embeddings)""")
+def vectors_npy(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written as NPY files and read again; every ninth is too short, and told as a failure."""
+    path = new_path(spark, "npy")
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    dim = F.size("embedding")
+    vector = F.when(F.col("vec_id") % 9 == 4, F.slice("embedding", 1, dim - 1)).otherwise(F.col("embedding"))
+    failed = npy.write(e.select(F.col("vec_id").alias("id"), vector.alias("vector")), path, e.select(dim).first()[0])
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    good = npy.read(spark, path).select(F.col("id").alias("vec_id"), F.round(total, 4).alias("total"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(failed.select(F.col("id").alias("vec_id"), F.lit(None).cast("double").alias("total"), "reason"))
