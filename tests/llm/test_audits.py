@@ -155,3 +155,30 @@ def test_audit_cuts_terms_at_200(spark):
     got = sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in divergence.audit(docs).collect())
     assert got == sorted(brute.audit(rows))
     assert sum(r[1:3] == ("a", "term") for r in got) == 200
+
+
+# --- all three ---
+
+CLASHES = ["_row", "_id", "_tie", "_bad", "tie", "item", "item_id", "spans", "items", "grp", "idx", "node", "n", "block", "found", "leaf", "root", "_at", "_part", "term", "p", "q", "v", "words", "terms", "none", "kind", "value", "rank", "one"]
+
+
+def test_clashing_columns_nulls_and_long_texts(spark):
+    """Columns named like inner ones, a row of nulls, repeated rows and a text of a million words change nothing."""
+    rng = random.Random(31)
+    rows = [(i, sentence(rng, 30), rng.choice(["en", None]), f"s{i % 3}", 1) for i in range(20)] + [(None,) * 5] * 2 + [(50, "word " * 1_000_000 + sentence(rng, 12), "en", "s1", None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.select(*[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES], "*")
+    items = spark.createDataFrame([("a", rows[3][1]), ("b", "word " * 11)], "item_id string, text string")
+
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows if r[0] not in (3, 50))
+    assert all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for r in got for c in CLASHES)
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.contamination(docs, items).collect()}
+    assert hits[50] == (1_000_012, 1_000_000, ["b"]) and hits[3] == (30, 30, ["a"]) and hits[None] == (0, 0, [])
+
+    key = lambda df: sorted(map(str, df.collect()))
+    proofs = merkle.manifest(merkle.tampered(docs), proofs=False)
+    assert proofs.count() == 23 and key(proofs) == key(merkle.manifest(merkle.tampered(plain), proofs=False))
+    assert key(divergence.audit(docs)) == key(divergence.audit(plain))
