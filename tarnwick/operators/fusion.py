@@ -16,9 +16,11 @@ def _keys(scores: DataFrame) -> list[str]:
     return (["q"] if "q" in scores.columns else []) + ID
 
 
-def _most(scores: DataFrame):
-    groups = Window.partitionBy("q") if "q" in scores.columns else Window.partitionBy()
-    return F.max("score").over(groups)
+def _with_most(scores: DataFrame) -> DataFrame:
+    """scores plus ``most``, the largest score of its query, or of all; an aggregate, so a long list is not one task."""
+    if "q" in scores.columns:
+        return scores.join(scores.groupBy("q").agg(F.max("score").alias("most")), "q")
+    return scores.crossJoin(F.broadcast(scores.agg(F.max("score").alias("most"))))  # one row
 
 
 def identity(scores: DataFrame) -> DataFrame:
@@ -27,12 +29,12 @@ def identity(scores: DataFrame) -> DataFrame:
 
 def normalize(scores: DataFrame) -> DataFrame:
     """Scores over their maximum; unchanged if that is 0."""
-    most = _most(scores)
-    return scores.withColumn("score", F.when(most != 0, F.col("score") / most).otherwise(F.col("score")))
+    most = F.col("most")
+    return _with_most(scores).withColumn("score", F.when(most != 0, F.col("score") / most).otherwise(F.col("score"))).drop("most")
 
 
 def normalize_if_max_gt1(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("score", F.col("score") / F.greatest(_most(scores), F.lit(1.0)))
+    return _with_most(scores).withColumn("score", F.col("score") / F.greatest("most", F.lit(1.0))).drop("most")
 
 
 NORMALIZERS = {"identity": identity, "normalize": normalize, "normalize_if_max_gt1": normalize_if_max_gt1}

@@ -22,11 +22,14 @@ def requests(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
     fields = F.map_keys(F.try_parse_json("value").try_cast("map<string,variant>"))
     fine = F.coalesce(F.size(F.array_except(fields, F.array(*[F.lit(f.name) for f in INGEST.fields]))) == 0, F.lit(False))
-    # rows of one block have ascending numbers; blocks are counted in order, so only a row for each block is sorted alone
+    # rows of one block have ascending numbers; blocks are counted up inside their file, and of each file one row inside the whole
     blocks = lines.groupBy("path", "block").agg(F.min("nth").alias("from"), F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("path", "block", "from", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rows = lines.join(F.broadcast(blocks), ["path", "block"]).where("trim(value) <> ''")
+    files = blocks.groupBy("path").agg(F.sum("n").alias("of_file"))
+    up_to = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("path", up_to(Window.orderBy("path"), "of_file").alias("file_offset"))
+    blocks = blocks.withColumn("offset", up_to(Window.partitionBy("path").orderBy("block"), "n")).join(files, "path")
+    blocks = blocks.select("path", "block", "from", (F.col("offset") + F.col("file_offset")).alias("offset"))
+    rows = lines.join(blocks, ["path", "block"]).where("trim(value) <> ''")
     return rows.select(F.when(fine, F.from_json("value", INGEST)).alias("row"), (F.col("offset") + F.col("nth") - F.col("from")).alias("pos")).select("row.*", "pos")
 
 
