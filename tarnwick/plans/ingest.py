@@ -100,12 +100,20 @@ def ingest_upsert_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return out.snippets.select("document_id", "sub_id", "snippet", F.size("embedding").alias("dim"), F.round(values.norm(F.col("embedding")), 3).alias("norm"))
 
 
-@query("""SELECT a.v AS set_to, b.v AS default_to, c.v AS existing, coalesce(a.v, CASE WHEN b.v IS NOT NULL THEN coalesce(c.v, b.v) END, true) AS is_candidate
-FROM (VALUES (true), (false), (NULL)) a(v), (VALUES (true), (false), (NULL)) b(v), (VALUES (true), (false), (NULL)) c(v) WHERE a.v IS NULL OR b.v IS NULL""")
+CANDIDATES = "CASE WHEN n_chars % 3 = 0 THEN lang = 'en' END AS set_to, CASE WHEN n_chars % 3 = 1 THEN source < 'src5' END AS default_to, CASE WHEN doc_id % 2 = 0 THEN n_chars > 500 END AS existing"
+
+
+@query(f"SELECT doc_id, set_to, default_to, existing, coalesce(set_to, CASE WHEN default_to IS NOT NULL THEN coalesce(existing, default_to) END, true) AS is_candidate FROM (SELECT doc_id, {CANDIDATES} FROM documents)")
 def candidate_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    three = F.array(F.lit(True), F.lit(False), F.lit(None))
-    t = spark.range(1).select(F.explode(three).alias("set_to")).select("set_to", F.explode(three).alias("default_to")).select("set_to", "default_to", F.explode(three).alias("existing"))
-    t = t.where("set_to is null or default_to is null")
+    """Requests that set a flag, give a default or neither, for documents that had one or not."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    turn = F.col("n_chars") % 3
+    t = d.select(
+        "doc_id",
+        F.when(turn == 0, F.col("lang") == "en").alias("set_to"),
+        F.when(turn == 1, F.col("source") < "src5").alias("default_to"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") > 500).alias("existing"),
+    )
     return t.withColumn("is_candidate", ingest.resolve_candidate(F.col("set_to"), F.col("default_to"), F.col("existing")))
 
 
@@ -234,15 +242,20 @@ def file_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", values.sha256_of(F.col("text")).alias("sha"))
 
 
-@query("SELECT * FROM (VALUES ('alpha', 'hashing-64', 3), ('beta', 'hashing-128', 1)) t(tenant, embedder, versions)")
+@query("SELECT lang AS tenant, CASE WHEN lang < 'f' THEN 'hashing-64' ELSE 'hashing-128' END AS embedder, count(*) AS documents, count(*) FILTER (doc_id % 10 <> 0) AS candidates, 2 AS versions FROM documents GROUP BY lang")
 def tenants(spark: SparkSession, sf: str) -> DataFrame:
-    """Tenants created, changed, dropped and listed."""
+    """A tenant for each language, with its documents; one more is created and dropped."""
     store = Store(spark, new_path(spark, "tenants"))
-    store.create("alpha")
-    store.create("beta", "hashing-128")
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = [F.col("doc_id").cast("string").alias("document_id"), *[F.lit(None).cast("string").alias(c) for c in ("original_sha256", "preprocessing_step")], F.lit("{}").alias("properties"), F.array("source").alias("tags"), (F.col("doc_id") % 10 != 0).alias("is_candidate")]
+    for lang in [r["lang"] for r in d.select("lang").distinct().collect()]:
+        store.create(lang, "hashing-64" if lang < "f" else "hashing-128")
+        store.commit(lang, {"document": d.where(F.col("lang") == lang).select(*columns)})
     store.create("gone")
     store.drop("gone")
-    store.commit("alpha", {"weighted_tag": spark.createDataFrame([("u", "t", 1)], "user_id string, tag string, weight long")})
-    store.commit("alpha", {}, {"embedder": "hashing-64"})
-    rows = [(t, store.options(t)["embedder"], len(store.versions(t))) for t in store.tenants()]
-    return spark.createDataFrame(rows, "tenant string, embedder string, versions int")
+    out = None
+    for t in store.tenants():
+        told = [F.lit(t).alias("tenant"), F.lit(store.options(t)["embedder"]).alias("embedder"), F.count(F.lit(1)).alias("documents"), F.count_if("is_candidate").alias("candidates"), F.lit(len(store.versions(t))).alias("versions")]
+        row = store.table(t, "document").agg(*told)
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.operators import sentences, summarize, word_vectors
+from tarnwick.operators import ingest, sentences, summarize, word_vectors
 from tarnwick.operators.split import Splitter, split_text
 from tarnwick.operators.subwords import Subwords
 from tarnwick.session import table
@@ -96,7 +96,7 @@ def pages_text(spark: SparkSession, sf: str) -> DataFrame:
 def last_row_wins(spark: SparkSession, sf: str) -> DataFrame:
     """Last-write-wins over any key."""
     c = spark.read.parquet(f"{sf}/conversations.parquet")
-    return c.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))).where("n = 1").select("conv_id", "turn", "role")
+    return ingest.last_wins(c, "conv_id", "turn").select("conv_id", "turn", "role")
 
 
 @query("""WITH t AS (
