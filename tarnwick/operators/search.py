@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,12 @@ from tarnwick.config import BM25_B, BM25_K1
 from tarnwick.functions.values import tokens
 from tarnwick.session import table
 
-#: Queries and snippets that are multiplied at once.
-QUERY_BLOCK, SNIPPET_BLOCK = 1024, 8192
+#: Queries of one cell, shares of the snippets that each of them meets, and queries multiplied with a batch at once.
+QUERY_BLOCK, SHARES, QUERIES_AT_ONCE = 4096, 32, 512
+#: Rows at most that queries of equal vectors look up together.
+MOST_SHARED = 1000
+#: What a product may differ by from the sum in order.
+SLACK = 1e-12
 RESULT = "q string, document_id string, sub_id long, score double"
 
 
@@ -30,71 +35,166 @@ def top(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy(F.col("score").desc(), F.col("document_id").desc(), F.col("sub_id").desc()).limit(n)
 
 
-def _blocks(queries: DataFrame) -> DataFrame:
-    """Rows of QUERY_BLOCK queries each: ids, k, exclusions and the vectors as one binary matrix."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            held.append(pdf)
-            if sum(map(len, held)) >= QUERY_BLOCK:
-                yield block(pd.concat(held))
-                held = []
-        if held:
-            yield block(pd.concat(held))
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.array(pdf["vec"].tolist(), np.float64)
-        return pd.DataFrame({"qs": [pdf["q"].tolist()], "ks": [pdf["k"].tolist()], "exclude": [[list(x) if x is not None else [] for x in pdf["exclude"]]], "matrix": [matrix.tobytes()]})
-
-    return queries.mapInPandas(run, "qs array<string>, ks array<int>, exclude array<array<string>>, matrix binary")
-
-
-def best_of_blocks(pairs: DataFrame) -> DataFrame:
-    """RESULT and k: of each pair of a block of queries (qs, ks, exclude, matrix) and one of snippets (docs, subs, vecs) the best
-    k snippets of each query, with all that are as good as the last."""
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                v = np.frombuffer(r.vecs).reshape(len(r.docs), -1)
-                s = np.clip(np.frombuffer(r.matrix).reshape(len(r.qs), -1) @ v.T, -1.0, 1.0)
-                docs, ks = np.array(r.docs, object), np.minimum(np.array(r.ks), len(r.docs))
-                out = pd.DataFrame({"q": np.repeat(np.arange(len(ks)), [len(x) for x in r.exclude]), "d": [d for x in r.exclude for d in x]})
-                if len(out):
-                    out = out.merge(pd.DataFrame({"d": docs, "at": np.arange(len(docs))}), on="d")
-                    s[out["q"], out["at"]] = -np.inf
-                best = -np.sort(-np.partition(s, s.shape[1] - ks.max(), axis=1)[:, s.shape[1] - ks.max() :], axis=1)
-                least = best[np.arange(len(ks)), ks - 1]
-                q, d = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # with all ties, which the final ranking resolves
-                yield pd.DataFrame({"q": np.array(r.qs, object)[q], "document_id": docs[d], "sub_id": np.array(r.subs)[d], "score": (1 + s[q, d]) / 2, "k": np.array(r.ks)[q]})
-
-    return pairs.mapInPandas(score, RESULT + ", k int")
+class _Cell:
+    """The best snippets so far of a cell's queries. It holds the queries, and a few times as many rows as they ask for."""
+
+    def __init__(self, qs: list[str], ks: np.ndarray, exclude: list[list[str] | None], vectors: np.ndarray):
+        self.qs, self.ks, self.vectors = np.array(qs, object), ks, vectors
+        self.least = np.full(len(qs), -np.inf)
+        self.held: list[tuple] = []
+        self.n_held, self.bound = 0, 2 * int(ks.sum()) + 1000
+        self.without: dict[str, list[int]] = {}
+        for i, docs in enumerate(exclude):
+            for d in docs or ():
+                self.without.setdefault(d, []).append(i)
+
+    def add(self, docs: np.ndarray, subs: np.ndarray, v: np.ndarray) -> None:
+        out = [(i, at) for at, d in enumerate(docs.tolist()) for i in self.without.get(d, ())] if self.without else []
+        out = np.array(sorted(out), np.int64).reshape(-1, 2)
+        for lo in range(0, len(self.qs), QUERIES_AT_ONCE):
+            hi = min(lo + QUERIES_AT_ONCE, len(self.qs))
+            s = self.vectors[lo:hi] @ v.T
+            np.clip(s, -1.0, 1.0, out=s)
+            mine = out[np.searchsorted(out[:, 0], lo) : np.searchsorted(out[:, 0], hi)]
+            s[mine[:, 0] - lo, mine[:, 1]] = -np.inf
+            hit = s >= (self.least[lo:hi, None] - SLACK)
+            many = np.flatnonzero(hit.sum(axis=1) > 2 * self.ks[lo:hi])
+            if len(many):  # the batch alone bounds these from below
+                k = np.minimum(self.ks[lo:hi][many], s.shape[1])
+                part = s[many]
+                part.partition(np.unique(s.shape[1] - k), axis=1)
+                enough = self.ks[lo:hi][many] <= s.shape[1]
+                least = np.where(enough, part[np.arange(len(many)), s.shape[1] - k], -np.inf)
+                self.least[lo + many] = np.maximum(self.least[lo + many], least)
+                hit[many] = s[many] >= (self.least[lo + many][:, None] - SLACK)
+            hit &= s > -np.inf
+            q, d = np.nonzero(hit)
+            for i in range(0, len(q), self.bound):
+                self._hold(q[i : i + self.bound] + lo, d[i : i + self.bound], docs, subs, v)
+
+    def _hold(self, q: np.ndarray, d: np.ndarray, docs: np.ndarray, subs: np.ndarray, v: np.ndarray) -> None:
+        """Scores are summed in order, so equal vectors have equal ones wherever they stand."""
+        total = np.zeros(len(q))
+        for j in range(v.shape[1]):
+            total += self.vectors[q, j] * v[d, j]
+        self.held.append((q, docs[d], subs[d], np.clip(total, -1.0, 1.0)))
+        self.n_held += len(q)
+        if self.n_held > self.bound:
+            self._cut()
+
+    def _cut(self) -> None:
+        rows = pd.DataFrame({n: np.concatenate(x) for n, x in zip("qdus", zip(*self.held, strict=True), strict=True)})
+        rows = rows.sort_values(["q", "s", "d", "u"], ascending=[True, False, False, False])
+        q = rows["q"].to_numpy()
+        at = np.arange(len(q)) - np.searchsorted(q, q)
+        rows, q, at = rows[at < self.ks[q]], q[at < self.ks[q]], at[at < self.ks[q]]
+        last = at == self.ks[q] - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], rows["s"].to_numpy()[last])
+        self.held = [tuple(rows[n].to_numpy() for n in "qdus")]
+        self.n_held = len(rows)
+
+    def best(self) -> pa.RecordBatch | None:
+        if not self.held:
+            return None
+        self._cut()
+        q, docs, subs, s = self.held[0]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32()]
+        columns = [self.qs[q], docs, subs, (1 + s) / 2, self.ks[q]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["q", "document_id", "sub_id", "score", "k"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def best_of_cells(queries: DataFrame, snippets: DataFrame) -> DataFrame:
+    """RESULT and k: of each cell the best k snippets of each of its queries.
+
+    queries: cell, q, vec, k, exclude; snippets: cell, document_id, sub_id, embedding. Cells are dealt to tasks, in which the
+    snippets stream past their cell's queries; a task holds the queries of one cell, a batch of snippets and the best so far.
+    """
+    none = lambda df, *names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
+    left = queries.select("cell", F.lit(0).alias("kind"), F.col("q").alias("id"), F.lit(None).cast("long").alias("sub_id"), "vec", "k", "exclude", *none(snippets, "embedding"))
+    right = snippets.where("embedding is not null").select("cell", F.lit(1).alias("kind"), F.col("document_id").alias("id"), F.col("sub_id").cast("long").alias("sub_id"), *none(queries, "vec", "k", "exclude"), "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cell, asked = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, kinds = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])])
+            for lo, hi in zip(starts, np.r_[starts[1:], len(cells)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if cells[lo] != at:
+                    if cell is not None and (done := cell.best()) is not None:
+                        yield done
+                    at, cell, asked = cells[lo], None, []
+                if kinds[lo] == 0:
+                    asked.append(part)
+                    continue
+                if cell is None and asked:
+                    cell = _Cell([q for p in asked for q in p.column("id").to_pylist()], np.concatenate([p.column("k").to_numpy() for p in asked]), [x for p in asked for x in p.column("exclude").to_pylist()], np.concatenate([_matrix(p.column("vec")) for p in asked]))
+                    asked = []
+                if cell is not None:
+                    cell.add(np.array(part.column("id").to_pylist(), object), part.column("sub_id").to_numpy(), _matrix(part.column("embedding")))
+        if cell is not None and (done := cell.best()) is not None:
+            yield done
+
+    return left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, RESULT + ", k int")
+
+
+def _scanned(snippets: DataFrame, asked: DataFrame) -> DataFrame:
+    """The k best of all snippets for each query of a table (q, vec, k, exclude); parts of the queries meet shares of the snippets."""
+    parts = -(-asked.count() // QUERY_BLOCK)
+    cell = F.col("part").cast("long") * SHARES + F.col("share")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    queries = asked.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(max(parts, 1)))).withColumn("share", numbers(SHARES))
+    rows = snippets.select("document_id", "sub_id", "embedding", F.pmod(F.xxhash64("document_id", "sub_id"), F.lit(SHARES)).alias("share")).withColumn("part", numbers(parts))
+    return ranked(best_of_cells(queries.withColumn("cell", cell), rows.withColumn("cell", cell))).where("rank <= k").drop("rank", "k")
+
+
+def slim_queries(queries: DataFrame, k: int) -> DataFrame:
+    """A table of queries: q, vec, k, exclude."""
+    own_k = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
+    exclude = F.col("exclude") if "exclude" in queries.columns else F.lit(None).cast("array<string>")
+    return table(queries.select("q", F.col("vec").cast("array<double>").alias("vec"), own_k.alias("k"), exclude.alias("exclude")), "knn-queries")
 
 
 def knn(snippets: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(q, document_id, sub_id, score): per query its k snippets of the largest dot product, score (1 + dot) / 2.
 
     snippets: document_id, sub_id, embedding, already filtered. queries: q, vec, and optionally k (its own number of
-    results) and exclude (document ids it must not return). Queries go to the scan in blocks; every block of snippets
-    keeps only its best k of each query, so the shuffle carries k rows per query and task.
-    """
-    own_k = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
-    exclude = F.col("exclude") if "exclude" in queries.columns else F.lit(None).cast("array<string>")
-    blocks = _blocks(queries.select("q", "vec", own_k.alias("k"), exclude.alias("exclude")))
-    rows = snippets.select("document_id", "sub_id", F.col("embedding").cast("array<double>").alias("vec"))
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), SNIPPET_BLOCK):
-                part = pdf.iloc[i : i + SNIPPET_BLOCK]
-                yield pd.DataFrame({"docs": [part["document_id"].tolist()], "subs": [part["sub_id"].tolist()], "vecs": [np.array(part["vec"].tolist(), np.float64).tobytes()]})
+    results) and exclude (document ids it must not return).
 
-    packed = rows.mapInPandas(pack, "docs array<string>, subs array<long>, vecs binary")
-
-    # query blocks times snippet blocks: a stated query set against all rows
-    best = best_of_blocks(packed.crossJoin(blocks))
-    return ranked(best).where("rank <= k").drop("rank", "k")
+    Queries of one vector are looked up together where that takes fewer rows: as many as each could need, from which
+    each takes its best without what it excludes. One that finds too few there, because it excludes documents of many
+    snippets, is looked up alone, as all others are.
+    """
+    return knn_of(snippets, slim_queries(queries, k))
+
+
+def knn_of(snippets: DataFrame, slim: DataFrame) -> DataFrame:
+    """knn() for a table of slim_queries()."""
+    if slim.limit(2).count() < 2:
+        return _scanned(snippets, slim)
+    need = F.max(F.col("k") + F.coalesce(F.size("exclude"), F.lit(0))).alias("need")
+    groups = slim.groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("most"), need)
+    groups = table(groups.where((F.col("n") > 1) & (F.col("need") <= F.col("n") * F.col("most"))).withColumn("g", F.monotonically_increasing_id().cast("string")), "knn-vectors")
+    if groups.isEmpty():
+        return _scanned(snippets, slim)
+    m = F.greatest("most", F.least("need", F.lit(MOST_SHARED))).cast("int")
+    hits = _scanned(snippets, groups.select(F.col("g").alias("q"), "vec", m.alias("k"), F.lit(None).cast("array<string>").alias("exclude")))
+    lists = hits.groupBy(F.col("q").alias("g")).agg(F.sort_array(F.collect_list(F.struct("score", "document_id", "sub_id")), asc=False).alias("hits"))
+    lists = table(groups.select("vec", "g", m.alias("m")).join(lists, "g"), "knn-shared")
+    kept = F.filter("hits", lambda x: F.coalesce(~F.array_contains("exclude", x["document_id"]), F.lit(True)))
+    found = slim.join(lists, "vec").select("q", "k", (F.size("hits") >= F.col("m")).alias("cut"), F.slice(kept, 1, F.col("k")).alias("hits"))
+    found = table(found, "knn-found")
+    alone = slim.join(groups.select("vec"), "vec", "left_anti").select(*slim.columns)
+    short = slim.join(found.where(F.col("cut") & (F.size("hits") < F.col("k"))).select("q"), "q", "left_semi").select(*slim.columns)
+    rest = table(alone.unionByName(short), "knn-alone")
+    whole = found.where(~(F.col("cut") & (F.size("hits") < F.col("k")))).select("q", F.explode("hits").alias("x")).select("q", F.col("x.document_id").alias("document_id"), F.col("x.sub_id").alias("sub_id"), F.col("x.score").alias("score"))
+    return whole if rest.isEmpty() else whole.unionByName(_scanned(snippets, rest))
 
 
 def bm25(docs: DataFrame, query: str, condition=None) -> DataFrame:

@@ -10,13 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.operators.search import QUERY_BLOCK, RESULT, SNIPPET_BLOCK, best_of_blocks, ranked
+from tarnwick.operators.search import QUERY_BLOCK, RESULT, best_of_cells, knn_of, ranked, slim_queries
 from tarnwick.session import delete, new_path, table
 
 #: Vectors that centroids are fitted on, those of least hash; lists at most. Both bound what the driver holds.
 FIT_ROWS, MOST_LISTS = 50_000, 16_384
 #: Rounds of the fit.
 ROUNDS = 12
+#: Vectors that meet the centroids at once, and rows of a list in one cell.
+SNIPPET_BLOCK, ROWS_A_CELL = 8192, 65_536
+#: A query that is to look into more than this share of the lists scans them all.
+SCANNED = 0.25
 #: Lists that a query looks into by default are as many as find this share of the nearest CALIBRATED neighbours of
 #: CALIBRATING vectors of the sample, and hold so many rows for each result.
 RECALL, CALIBRATED, CALIBRATING, ROWS_A_RESULT = 0.95, 10, 256, 10
@@ -145,42 +149,8 @@ def refresh(index: VectorIndex, changed: DataFrame, snippets: DataFrame) -> None
         delete(index.spark, f"{index.path}/lists/list={empty}")
 
 
-def _packed_rows(rows: DataFrame) -> DataFrame:
-    """Blocks of rows of one list: their ids and their vectors as one binary matrix."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for name, part in pdf.groupby("list", sort=False):
-                for i in range(0, len(part), SNIPPET_BLOCK):
-                    p = part.iloc[i : i + SNIPPET_BLOCK]
-                    out.append((int(name), p["document_id"].tolist(), p["sub_id"].tolist(), np.array(p["vec"].tolist(), np.float64).tobytes()))
-            yield pd.DataFrame(out, columns=["list", "docs", "subs", "vecs"])
-
-    slim = rows.select("list", "document_id", "sub_id", F.col("embedding").cast("array<double>").alias("vec"))
-    return slim.mapInPandas(run, "list int, docs array<string>, subs array<long>, vecs binary")
-
-
-def _packed_queries(asked: DataFrame) -> DataFrame:
-    """Blocks of queries (list, q, vec, k, exclude) that go to the same list; a list that many ask for has many blocks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for name, part in pdf.groupby("list", sort=False):
-                for i in range(0, len(part), QUERY_BLOCK):
-                    p = part.iloc[i : i + QUERY_BLOCK]
-                    exclude = [list(x) if x is not None else [] for x in p["exclude"]]
-                    out.append((int(name), p["q"].tolist(), p["k"].tolist(), exclude, np.array(p["vec"].tolist(), np.float64).tobytes()))
-            yield pd.DataFrame(out, columns=["list", "qs", "ks", "exclude", "matrix"])
-
-    share = F.pmod(F.xxhash64("q"), F.lit(16))
-    dealt = asked.repartition("list", share).sortWithinPartitions("list")
-    return dealt.mapInPandas(run, "list int, qs array<string>, ks array<int>, exclude array<array<string>>, matrix binary")
-
-
 def _probed(queries: DataFrame, centroids: np.ndarray, sizes: pd.DataFrame, candidates: int | None, probes: int | None, least: int, second: bool, exact: bool) -> DataFrame:
-    """(q, vec, k, exclude, list): the lists that each query looks into.
+    """(q, list): the lists that each query looks into; list -1 stands for all, where it would be more than SCANNED of them.
 
     At first the nearest ones, ``probes`` of them, or as many as hold its candidates, or by default ``least`` at least. Then (second) the others: all if it has
     found too little (found < k), or if exact those in which some vector could be better than its last result (least).
@@ -210,22 +180,27 @@ def _probed(queries: DataFrame, centroids: np.ndarray, sizes: pd.DataFrame, cand
                     if r.found >= r.k:
                         most = np.minimum(centroids[rest] @ v + np.sqrt(v @ v) * far[rest], 1.0)  # by Cauchy and Schwarz
                         rest = rest[(1 + most) / 2 + 1e-9 >= r.least] if exact else rest[:0]
-                    lists = rest
-                out += [(r.q, r.vec, r.k, r.exclude, int(i)) for i in lists]
-            yield pd.DataFrame(out, columns=["q", "vec", "k", "exclude", "list"])
+                    lists = rest if len(rest) <= SCANNED * len(sizes) else [-1]
+                out += [(r.q, int(i)) for i in lists]
+            yield pd.DataFrame(out, columns=["q", "list"])
 
-    return queries.mapInPandas(run, "q string, vec array<double>, k int, exclude array<string>, list int")
+    names = [n for n in ("q", "vec", "k", "found", "least") if n in queries.columns]
+    return queries.select(*names).mapInPandas(run, "q string, list int")
 
 
-def _looked_up(index: VectorIndex, asked: DataFrame, condition: Column | None, shown: DataFrame | None) -> DataFrame:
-    """The best rows of the lists asked for, k for each query and block, with k. Only those lists are read: their
-    numbers, MOST_LISTS at most, prune the partitions."""
-    wanted = [r["list"] for r in asked.select("list").distinct().collect()]
-    rows = index.lists.where(F.col("list").isin(wanted))
-    rows = rows if condition is None else rows.where(condition)
-    rows = rows if shown is None else rows.join(shown.select("document_id", "sub_id"), ["document_id", "sub_id"], "left_semi")
-    pairs = _packed_rows(rows).join(_packed_queries(asked), "list")
-    return best_of_blocks(pairs)
+def _looked_up(rows: DataFrame, slim: DataFrame, asked: DataFrame, sizes: pd.DataFrame) -> DataFrame:
+    """The best rows of the lists asked for (q, list), k for each query and cell, with k. Only those lists are read: their
+    numbers, MOST_LISTS at most, prune the partitions. A list's rows and queries are dealt over as many parts as they need."""
+    counts = asked.groupBy("list").agg(F.count(F.lit(1)).alias("asked")).toPandas().merge(sizes[["list", "n"]], on="list")
+    parts = [(int(r.list), int(-(-r.n // ROWS_A_CELL)), int(-(-r.asked // QUERY_BLOCK))) for r in counts.itertuples()]
+    dealt = F.broadcast(asked.sparkSession.createDataFrame(parts, "list int, row_parts int, query_parts int"))
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = (F.col("list").cast("long") * (1 << 24) + F.col("row_part")) * (1 << 24) + F.col("query_part")
+    rows = rows.where(F.col("list").isin([p[0] for p in parts])).join(dealt, "list")
+    rows = rows.withColumn("row_part", deal("row_parts", "document_id", "sub_id")).withColumn("query_part", every("query_parts"))
+    queries = asked.join(slim, "q").join(dealt, "list").withColumn("query_part", deal("query_parts", "q")).withColumn("row_part", every("row_parts"))
+    return best_of_cells(queries.withColumn("cell", cell), rows.withColumn("cell", cell))
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int = 10, candidates: int | None = None, probes: int | None = None, condition: Column | None = None, shown: DataFrame | None = None, exact: bool = False) -> DataFrame:
@@ -236,21 +211,25 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, candidates: int
     top k, on any column of the index, and shown (document_id, sub_id) by their ids. A query that finds fewer than k rows, because of the condition or what it excludes, looks
     into all other lists, so results are as many as exist. With exact, each query also looks into every list that may hold
     something better than its last result, by the distances of queries and vectors to the centroids: the result is
-    that of knn(). Rows meet the queries in a join on the list, block by block; a list is never gathered into one task.
+    that of knn(). Rows stream past the queries of their list, part by part; a list is never gathered into one task. A query
+    that is to look into many lists scans all rows, as all do where all lists are probed.
     """
-    own_k = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
-    exclude = F.col("exclude") if "exclude" in queries.columns else F.lit(None).cast("array<string>")
-    slim = table(queries.select("q", F.col("vec").cast("array<double>").alias("vec"), own_k.alias("k"), exclude.alias("exclude")), "knn-queries")
+    slim = slim_queries(queries, k)
     centroids, sizes, usual = index.centroids(), index.sizes(), index.probes()
+    rows = index.lists if condition is None else index.lists.where(condition)
+    rows = rows if shown is None else rows.join(shown.select("document_id", "sub_id"), ["document_id", "sub_id"], "left_semi")
+    if (probes is not None and probes >= len(sizes)) or (probes is None and candidates is not None and candidates >= sizes["n"].sum()):
+        return knn_of(rows, slim)
     first = table(_probed(slim, centroids, sizes, candidates, probes, usual, False, exact), "knn-probes")
-    found = ranked(_looked_up(index, first, condition, shown)).where("rank <= k").drop("rank", "k")
-    if probes is not None and probes >= len(sizes):
-        return found
-    found = table(found, "knn-found")
+    found = table(ranked(_looked_up(rows, slim, first, sizes)).where("rank <= k").drop("rank", "k"), "knn-found")
     have = found.groupBy("q").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("least"))
     lacking = slim.join(have, "q", "left").na.fill({"found": 0, "least": -1.0})
     more = table(_probed(lacking, centroids, sizes, candidates, probes, usual, True, exact), "knn-more")
     if more.isEmpty():
         return found
-    second = _looked_up(index, more, condition, shown).drop("k").unionByName(found)
-    return ranked(second.join(slim.select("q", "k"), "q")).where("rank <= k").select(*[c.split()[0] for c in RESULT.split(", ")])
+    all_lists = more.where("list = -1").select("q")
+    scanned = knn_of(rows, table(slim.join(all_lists, "q", "left_semi").select(*slim.columns), "knn-scanning"))
+    second = _looked_up(rows, slim, more.where("list >= 0"), sizes).drop("k").unionByName(found.join(all_lists, "q", "left_anti"))
+    second = ranked(second.join(slim.select("q", "k"), "q")).where("rank <= k")
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    return second.select(*names).unionByName(scanned.select(*names))

@@ -12,10 +12,11 @@ from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwick.engine import BLOCKS_A_PARTITION, Engine
-from tarnwick.operators import postings, vector_index
+from tarnwick.operators import postings, search, vector_index
 from tarnwick.operators.search import bm25, knn, ranked, top
 from tarnwick.plans import indexes
 
@@ -71,6 +72,52 @@ def test_exact_searches_equal_the_scan(spark):
     assert hits(vector_index.search(index, own, 7, exact=True)) == hits(knn(rows, own, 7))
 
 
+def by_hand(rows, queries, k=None):
+    """All pairs, in Python."""
+    kept = [(r["document_id"], r["sub_id"], np.array(r["embedding"], np.float64)) for r in rows.collect()]
+    out = []
+    for q in queries.collect():
+        scores = [((1 + min(1.0, max(-1.0, float(sum(e * np.array(q["vec"])))))) / 2, d, s) for d, s, e in kept if d not in (q["exclude"] or [])]
+        scores = sorted(scores, key=lambda r: (round(r[0], 12), *r[1:]), reverse=True)
+        out += [(q["q"], d, s, round(x, 9)) for x, d, s in scores[: k or q["k"]]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [1000, 7])
+def test_queries_of_one_vector_are_looked_up_together(spark, monkeypatch, most):
+    """Each leaves out documents of its own; where those have many snippets, it is looked up alone."""
+    monkeypatch.setattr(search, "MOST_SHARED", most)
+    scanned = []
+    monkeypatch.setattr(search, "_scanned", lambda rows, asked, f=search._scanned: scanned.append(asked.count()) or f(rows, asked))
+    rows = vectors(spark, 300).withColumn("document_id", F.concat(F.substring("document_id", 1, 3), F.lit("x")))  # 30 documents of 10 snippets
+    rows = rows.withColumn("sub_id", F.row_number().over(Window.partitionBy("document_id").orderBy(F.hash("embedding"), "sub_id")).cast("long"))
+    some = rows.where("sub_id = 1").orderBy("document_id").limit(3).select(F.col("embedding").cast("array<double>").alias("vec"))
+    users = spark.range(40).select(F.concat(F.lit("u"), "id").alias("u"), F.when(F.col("id") > 2, F.transform(F.sequence(F.lit(0), F.col("id") % 4), lambda i: F.format_string("d%02dx", (i * 7 + F.col("id")) % 30))).alias("exclude"), (1 + F.col("id") % 5).cast("int").alias("k"))
+    queries = some.crossJoin(users).select(F.concat_ws("/", "u", F.hash("vec").cast("string")).alias("q"), "vec", "k", "exclude").cache()
+    assert hits(knn(rows, queries)) == by_hand(rows, queries)
+    assert scanned[0] == 3 and sum(scanned) < queries.count()
+
+
+def test_the_scan_pairs_no_blocks_and_the_index_no_query_with_every_list(spark, monkeypatch):
+    """Rows stream past queries; before, a row of a join had a block of each, and ten thousand such went to Python at once."""
+    rows = vectors(spark)
+    plan = knn(rows, asked(rows), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    index = vector_index.build(rows, n_lists=20)
+    monkeypatch.setattr(vector_index, "_probed", lambda *a: pytest.fail("queries are paired with lists"))
+    for all_lists in ({"probes": 20}, {"candidates": 1 << 31}):
+        assert hits(vector_index.search(index, asked(rows), 10, **all_lists)) == by_hand(rows, asked(rows), 10)
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark):
+    """Copies in batches and cells of all sizes have one score, so the larger id comes first."""
+    v = (np.random.default_rng(3).normal(size=64) / 8).astype(np.float32).tolist()
+    rows = spark.range(30_011).select(F.format_string("d%05d", "id").alias("document_id"), F.lit(0).cast("long").alias("sub_id"), F.lit(v).alias("embedding"))
+    q = spark.createDataFrame([(f"q{i}", [float(x) * (i + 1) / 99 for x in v]) for i in range(7)], "q string, vec array<double>")
+    got = hits(knn(rows, q, 5))
+    assert [(r[0], r[1]) for r in got] == sorted((f"q{i}", f"d{30_010 - j:05d}") for i in range(7) for j in range(5))
+
+
 def test_filters_leave_as_many_results_as_exist(spark):
     """Ten rows pass: a query whose lists have too few of them looks into the others."""
     rows = vectors(spark)
