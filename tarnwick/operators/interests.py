@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,21 +190,44 @@ def _dealt(rows: DataFrame, centres: DataFrame, key: list[str]) -> tuple[DataFra
 def interest_scores(pairs: DataFrame, relevant: DataFrame) -> DataFrame:
     """(user_id, document_id, sub_id, score) for pairs (user_id, document_id, sub_id, embedding): of the user's centre
     nearest to the snippet (the first of equally near ones) (similarity * decay + relevance + 1) / 4. Users without a
-    centre have no scores. Pairs and centres meet by user, as two matrices; a user has few centres, and
-    one with many pairs is dealt over parts."""
+    centre have no scores. Pairs are dealt by user and stream past the user's centres, which go ahead of them; a user has few
+    centres, and one with many pairs is dealt over parts."""
+    left, right = _dealt(pairs.select("user_id", "document_id", "sub_id", "embedding"), relevant.select("user_id", "step", "point", "decay", "relevance"), ["document_id", "sub_id"])
+    key = ["user_id", "part"]
+    none = lambda df, *names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
+    centres = right.select(*key, "step", *none(pairs, "document_id", "sub_id"), F.col("point").cast("array<double>").alias("vec"), F.lit(True).alias("centre"), "decay", "relevance")
+    rows = left.select(*key, *none(relevant, "step"), "document_id", "sub_id", F.col("embedding").cast("array<double>").alias("vec"), F.lit(False).alias("centre"), *none(relevant, "decay", "relevance"))
     schema = pairs.select("user_id", "document_id", "sub_id").withColumn("score", F.lit(0.0)).schema
 
-    def run(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(c):
-            return pd.DataFrame(columns=schema.names)
-        c = c.sort_values("step")
-        sims = np.clip(np.array(p["embedding"].tolist(), np.float64) @ np.array(c["point"].tolist(), np.float64).T, -1.0, 1.0)
-        best = sims.argmax(axis=1)
-        score = (sims[np.arange(len(p)), best] * c["decay"].to_numpy()[best] + c["relevance"].to_numpy()[best] + 1) / 4
-        return pd.DataFrame({"user_id": p["user_id"].to_numpy(), "document_id": p["document_id"].to_numpy(), "sub_id": p["sub_id"].to_numpy(), "score": score})
-
-    left, right = _dealt(pairs.select("user_id", "document_id", "sub_id", "embedding"), relevant.select("user_id", "step", "point", "decay", "relevance"), ["document_id", "sub_id"])
-    return left.groupBy("user_id", "part").cogroup(right.groupBy("user_id", "part")).applyInPandas(run, schema)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            users, parts, centre = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("user_id", "part", "centre"))
+            vectors = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(users), -1)
+            decay, relevance = batch.column("decay").to_numpy(zero_copy_only=False), batch.column("relevance").to_numpy(zero_copy_only=False)
+            scores, known = np.zeros(len(users)), np.zeros(len(users), bool)
+            new = (users[1:] != users[:-1]) | (parts[1:] != parts[:-1]) | (centre[1:] != centre[:-1])
+            starts = np.flatnonzero(np.r_[True, new.astype(bool)])
+            for lo, hi in zip(starts, np.r_[starts[1:], len(users)], strict=True):
+                if (users[lo], parts[lo]) != at:
+                    at, held = (users[lo], parts[lo]), []
+                if centre[lo]:
+                    held.append((vectors[lo:hi], decay[lo:hi], relevance[lo:hi]))
+                elif held:
+                    if len(held) > 1:
+                        held = [tuple(map(np.concatenate, zip(*held, strict=True)))]
+                    points, d, r = held[0]
+                    sims = np.clip(vectors[lo:hi] @ points.T, -1.0, 1.0)
+                    best = sims.argmax(axis=1)
+                    scores[lo:hi] = (sims[np.arange(hi - lo), best] * d[best] + r[best] + 1) / 4
+                    known[lo:hi] = True
+            out = pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("user_id", "document_id", "sub_id")], pa.array(scores)], names=["user_id", "document_id", "sub_id", "score"])
+            yield out.filter(pa.array(known))
+
+    order = [*key, F.col("centre").desc(), "step"]
+    return centres.unionByName(rows).repartition(*key).sortWithinPartitions(*order).mapInArrow(stream, schema)
 
 
 def view_times(views: DataFrame, interests: DataFrame) -> DataFrame:

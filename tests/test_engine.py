@@ -82,6 +82,31 @@ def test_filter_over_stored_values(spark):
     assert hit({"$ids": ["c", "q"]}) == ["c"]
 
 
+def test_pairs_stream_past_centres_across_batches(spark, monkeypatch):
+    """No group of a user goes to Python by itself; users whose rows lie in many batches, or in many parts, have the same scores."""
+    monkeypatch.setattr(interests, "ROWS_A_PART", 50)
+    rng = np.random.default_rng(5)
+    v = lambda: rng.normal(size=6).tolist()
+    centres = [(f"u{u}", s, v(), float(rng.random()), float(rng.random())) for u in range(9) for s in range(u * 3)]
+    pairs = [(f"u{u}", f"d{i}", 0, v()) for u in range(10) for i in range(1 + 25 * (u % 4))]
+    c = spark.createDataFrame(centres, "user_id string, step int, point array<double>, decay double, relevance double")
+    p = spark.createDataFrame(pairs, "user_id string, document_id string, sub_id long, embedding array<double>")
+    want = {}
+    for u, d, _, e in pairs:
+        if mine := [x for x in centres if x[0] == u]:
+            sims = [min(1.0, max(-1.0, float(np.dot(x[2], e)))) for x in mine]
+            i = int(np.argmax(sims))
+            want[u, d] = (sims[i] * mine[i][3] + mine[i][4] + 1) / 4
+    out = interests.interest_scores(p, c)
+    assert "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r["user_id"], r["document_id"]): r["score"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == pytest.approx(want)
+
+
 # --- scores ---
 
 
