@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,12 +64,21 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(v: Column) -> Column:
     """Unit vector; the zero vector stays, a norm that is no number is an error."""
-    n = norm(v)
-    bad = F.isnan(n) | (n == float("inf"))
-    scaled = F.transform(v, lambda x: x.cast("double") / n)
-    return F.when(bad, F.raise_error(F.lit("vector has no finite norm"))).when(n == 0, v.cast("array<double>")).otherwise(scaled)
+
+    def scaled(x: Column) -> Column:
+        v, n = x["v"], x["n"]
+        bad = F.isnan(n) | (n == float("inf"))
+        unit = F.transform(v, lambda c: c.cast("double") / n)
+        return F.when(bad, F.raise_error(F.lit("vector has no finite norm"))).when(n == 0, v.cast("array<double>")).otherwise(unit)
+
+    return bound(v, lambda v: bound(F.struct(v.alias("v"), norm(v).alias("n")), scaled))
 
 
 def moved(point: Column, towards: Column, shift: float) -> Column:

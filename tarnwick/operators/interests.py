@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.config import MAX_INTERESTS_FOR_KNN, InterestConfig
-from tarnwick.functions.values import dot, moved
+from tarnwick.functions.values import bound, dot, moved
 
 #: Rows of one user that meet the user's centres in one group.
 ROWS_A_PART = 20_000
@@ -132,11 +132,13 @@ def fold_column(events: Column, config: InterestConfig = InterestConfig()) -> Co
     """The same fold over an ordered array of structs (t, e), as one expression: an array of (point, n, last)."""
 
     def step(state: Column, x: Column) -> Column:
-        sims = F.transform(state, lambda c: dot(c["point"], x["e"]))
-        nearest = F.array_position(sims, F.array_max(sims))
-        hit = F.transform(state, lambda c, i: F.when(i + 1 == nearest, F.struct(moved(c["point"], x["e"], config.shift).alias("point"), (c["n"] + 1).alias("n"), x["t"].alias("last"))).otherwise(c))
+        def after(best: Column) -> Column:
+            hit = F.transform(state, lambda c, i: F.when(i + 1 == best["at"], F.struct(moved(c["point"], x["e"], config.shift).alias("point"), (c["n"] + 1).alias("n"), x["t"].alias("last"))).otherwise(c))
+            return F.when((F.size(state) > 0) & (best["of"] >= config.threshold), hit).otherwise(new)
+
         new = F.concat(state, F.array(F.struct(x["e"].alias("point"), F.lit(1).cast("long").alias("n"), x["t"].alias("last"))))
-        return F.when((F.size(state) > 0) & (F.array_max(sims) >= config.threshold), hit).otherwise(new)
+        nearest = lambda sims: F.struct(F.array_max(sims).alias("of"), F.array_position(sims, F.array_max(sims)).alias("at"))
+        return bound(F.transform(state, lambda c: dot(c["point"], x["e"])), lambda sims: bound(nearest(sims), after))
 
     empty = F.array().cast("array<struct<point:array<double>,n:bigint,last:timestamp>>")
     return F.aggregate(events, empty, step)

@@ -82,6 +82,13 @@ def test_filter_over_stored_values(spark):
     assert hit({"$ids": ["c", "q"]}) == ["c"]
 
 
+def test_the_fold_s_expression_compares_each_centre_once(spark):
+    """Lambdas know no common subexpressions: what is named twice in them is worked out twice, or once for each centre or number."""
+    e = spark.createDataFrame([], "events array<struct<t:timestamp,e:array<double>>>")
+    plan = e.select(interests.fold_column(F.col("events")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("zip_with(") == 2  # the product, and the step
+
+
 def test_pairs_stream_past_centres_across_batches(spark, monkeypatch):
     """No group of a user goes to Python by itself; users whose rows lie in many batches, or in many parts, have the same scores."""
     monkeypatch.setattr(interests, "ROWS_A_PART", 50)
