@@ -246,3 +246,11 @@ def test_sentences_in_a_column(spark, model):
     df = spark.createDataFrame([("Dr. Miller moves. The river holds.",), (None,)], "text string")
     got = [r[0] for r in df.select(sentences.sentences(F.col("text"), model)).collect()]
     assert got == [["Dr. Miller moves.", "The river holds."], []]
+
+
+def test_types_are_counted_without_pairs(spark):
+    docs = spark.createDataFrame([("Dr. Who met (Dr. Who) at 5. p.m. Well... \u201cWell.\u201d 12.5 who.",), ("dr. no",), (None,), ("",)], "text string")
+    want = sentences.token_pairs(docs).groupBy("type", "period").agg(F.sum("n").alias("n"))
+    got = sentences.token_types(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, sentences.type_counts(got).collect())) == sorted(map(tuple, sentences.type_counts(want).collect()))
