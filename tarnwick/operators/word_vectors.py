@@ -35,12 +35,13 @@ def vocabulary(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT
 
 def co_occurrences(docs: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
     """i, j, n: how often words i and j stand within ``window`` words of each other, both ways; i may equal j. Tokens that have no
-    vector are counted as places. Pairs are counted in each task before they are shuffled."""
+    vector are counted as places. Only pairs of words with vectors are counted, by number, in each task before they are shuffled."""
     known = F.broadcast(words.select("word", "i"))  # MOST_WORDS rows at most
     t = docs.select(F.monotonically_increasing_id().alias("doc"), tokens(F.coalesce("text", F.lit(""))).alias("t"))
     near = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda o: F.transform(F.slice("t", 1, F.greatest(F.size("t") - o, F.lit(0))), lambda w, k: F.struct(w.alias("a"), F.get("t", k + o).alias("b")))))
-    pairs = t.select(F.explode(near).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = t.select(F.explode(near).alias("p")).select("p.a", "p.b")
     pairs = pairs.join(known.select(F.col("word").alias("a"), F.col("i").alias("x")), "a").join(known.select(F.col("word").alias("b"), F.col("i").alias("y")), "b")
+    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     ways = F.array(F.struct(F.col("x").alias("i"), F.col("y").alias("j")), F.struct(F.col("y").alias("i"), F.col("x").alias("j")))
     return pairs.select(F.explode(ways).alias("w"), "n").groupBy("w.i", "w.j").agg(F.sum("n").alias("n"))
 

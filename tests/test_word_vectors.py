@@ -94,3 +94,13 @@ def test_whole_texts_count(learnt):
 def test_nothing_to_learn(spark):
     empty = word_vectors.train(spark.createDataFrame([], "text string"), dim=8)
     assert not np.array(empty.embedder()(["a b"])).any()
+
+
+def test_pairs_are_counted_by_number(spark):
+    """Of words without a vector no pair is grouped, so what is counted is bounded by the vocabulary."""
+    docs = spark.createDataFrame([("a b rare a",), ("b a",)], "text string")
+    words = spark.createDataFrame([("a", 3, 0), ("b", 2, 1)], "word string, n long, i int")
+    out = word_vectors.co_occurrences(docs, words)
+    assert {(r["i"], r["j"]): r["n"] for r in out.collect()} == {(0, 1): 3, (1, 0): 3, (0, 0): 2}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "Aggregate [a#" not in plan
