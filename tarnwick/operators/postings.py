@@ -14,6 +14,13 @@ from tarnwick.session import table
 MOST_PUSHED = 1000
 #: What a sum of floats may differ by in another order.
 SLACK = 1e-9
+#: Blocks at least, and snippets of one, about.
+LEAST_BLOCKS, ROWS_A_BLOCK = 64, 512
+
+
+def blocks_for(n: int) -> int:
+    """Blocks for n snippets: a task's share and what a query reads at first don't grow with them."""
+    return max(LEAST_BLOCKS, -(-n // ROWS_A_BLOCK))
 
 
 def build(snippets: DataFrame, blocks: int) -> DataFrame:

@@ -71,7 +71,7 @@ def knn_ivf_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.snippets_of_documents(spark, sf).where("is_candidate")
-    return table(postings.build(rows.select("document_id", "sub_id", "text"), 64), "postings")
+    return table(postings.build(rows.select("document_id", "sub_id", "text"), postings.blocks_for(rows.count())), "postings")
 
 
 def _text(spark: SparkSession) -> DataFrame:

@@ -188,6 +188,13 @@ def test_postings_give_the_scan_s_scores(spark, scanned, blocks):
         assert len({(r["q"], r["document_id"], r["sub_id"]) for r in got}) == len(got)
 
 
+def test_blocks_grow_with_the_rows(spark, monkeypatch):
+    """With 64 blocks whatever the size, a task gathered a 64th of all snippets."""
+    monkeypatch.setattr(postings, "ROWS_A_BLOCK", 1)
+    got = indexes._postings(spark, "/root/testdata/sf0.001").select("block").distinct().count()
+    assert got > 64 and postings.blocks_for(10) == 64
+
+
 def test_blocks_that_cannot_reach_the_result_are_not_scored(spark, monkeypatch):
     """A rare word lies in few blocks: of those that have the frequent words only, none is scored a second time."""
     docs = texts(spark, 2000)
