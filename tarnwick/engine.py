@@ -244,7 +244,8 @@ class Engine:
         """
         t = self._tables()
         rows = events.select("user_id", "document_id", "sub_id", "event_id", "time_stamp")
-        rows = rows.join(t["snippet"].select("document_id", "sub_id", "embedding"), ["document_id", "sub_id"], "left").join(t["document"].select("document_id", "tags"), "document_id", "left")
+        vectors = t["snippet"].select("document_id", "sub_id", stateful.packed("embedding").alias("embedding"))
+        rows = rows.join(vectors, ["document_id", "sub_id"], "left").join(t["document"].select("document_id", "tags"), "document_id", "left")
         out = stateful.updates(rows, t["center_of_interest"], t["weighted_tag"], self.config.interests)
 
         def write(batch: DataFrame, number: int) -> None:

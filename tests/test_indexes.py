@@ -12,13 +12,15 @@ from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
+from tarnwick.config import InterestConfig
 from tarnwick.engine import BLOCKS_A_PARTITION, Engine
 from tarnwick.operators import postings, search, vector_index
 from tarnwick.operators.search import bm25, knn, ranked, top
 from tarnwick.plans import indexes
+from tarnwick.streaming import stateful
 
 NOW = datetime(2024, 3, 1, 12, tzinfo=UTC)
 SF = "/root/testdata/sf0.1"
@@ -368,3 +370,39 @@ def test_stream_ends_as_replayed_calls(spark, tmp_path, engine, monkeypatch):
     assert user_tables(engine) == user_tables(twin)
     notes = [r["note"] for r in engine.store.commits("t").where("note like 'stream%'").orderBy("version").collect()]
     assert len(notes) == 3 and len(set(notes)) == 3
+
+
+def test_state_is_asked_once_for_all_tags_and_centres(spark):
+    """A call to the state is a round trip, so there are as many for a user of 300 tags and 100 centres as for one of a few."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = rows
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    states = {}
+    handle = type("Handle", (), {f"get{k}State": lambda self, name, *a: states.setdefault(name, State()) for k in ("List", "Map", "Value")})()
+    p = stateful.Interactions(InterestConfig())
+    p.init(handle)
+    row = Row("document_id", "sub_id", "event_id", "time_stamp", "embedding", "tags")
+    rows = [row(f"d{i}", 0, i, 100 - i, np.eye(100)[i].tobytes(), [f"t{3 * i + j}" for j in range(3)]) for i in range(100)]
+    rows += [row("gone", 0, 100, 500, None, None), row("d7", 0, 101, None, np.eye(100)[7].tobytes(), ["t0"])]
+    out = [r for r in p.handleInputRows(("u",), iter(rows), None)]
+    assert len(calls) <= 4
+    assert {r["tag"]: r["weight"] for r in out if r["kind"] == "tag"} == {f"t{i}": 1 + (i == 0) for i in range(300)}
+    assert [r["time_stamp"] for r in out if r["kind"] == "seen"] == [500] and sum(r["kind"] == "log" for r in out) == 101
+    centres = [r for r in out if r["kind"] == "centre"]
+    assert len(centres) == 100 and sorted(r["view_count"] for r in centres) == [1] * 99 + [2]
+    again = [r for r in p.handleInputRows(("u",), iter(rows[:1]), None) if r["kind"] == "tag"]
+    assert {r["tag"]: r["weight"] for r in again} == {"t0": 3, "t1": 2, "t2": 2} and len(calls) <= 8
