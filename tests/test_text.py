@@ -254,3 +254,21 @@ def test_types_are_counted_without_pairs(spark):
     got = sentences.token_types(docs)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, sentences.type_counts(got).collect())) == sorted(map(tuple, sentences.type_counts(want).collect()))
+
+
+def test_segmentation_stops_at_marks_only(monkeypatch):
+    """100,000 letters with ten marks: the classes of a few letters are asked for, not of all."""
+    asked = []
+    known = segment.sentence_class
+    monkeypatch.setattr(segment, "sentence_class", lambda c: asked.append(c) or known(c))
+    text = ("word and more " * 714 + "here. ") * 10
+    assert len(segment.sentence_breaks(text)) == 0 and len(asked) < 200  # a lower letter follows each
+    assert len(segment.sentence_breaks(text.replace("here. ", "here. A "))) == 10
+
+
+def test_words_of_plain_and_other_stretches_are_those_of_the_whole_text():
+    rng = random.Random(11)
+    plain, wide = "aB1.:;,'_-( \t\n\r", "éÉ中א́‍­\u0085ー\U0001f1e6’·　ा»"
+    for _ in range(4000):
+        text = "".join(rng.choices(rng.choice((plain, plain + wide)), k=rng.randint(0, 14)))
+        assert segment.words(text) == [m[0] for m in segment._WORD.finditer(text) if segment._WORDLIKE.search(m[0])], repr(text)
