@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words whose vectors a worker remembers: about 110 MB of 64 dimensions.
+REMEMBERED = 1 << 17
+
+
+@lru_cache(maxsize=REMEMBERED)
 def _token_vector(word: str, dim: int) -> np.ndarray:
     seed = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
     return np.random.default_rng(seed).standard_normal(dim)
@@ -40,14 +46,10 @@ class Embedder:
         if self.encode is not None:
             rows = list(self.encode(texts))
         else:
-            known: dict[str, np.ndarray] = {}
             rows = []
             for t in texts:
                 words = t.lower().split()
-                for w in words:
-                    if w not in known:
-                        known[w] = _token_vector(w, self.dim)
-                rows.append(self.pool(np.array([known[w] for w in words])) if words else np.zeros(self.dim))
+                rows.append(self.pool(np.array([_token_vector(w, self.dim) for w in words])) if words else np.zeros(self.dim))
         out = []
         for r in rows:
             n = float(np.sqrt(r @ r))

@@ -8,10 +8,11 @@ import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.operators import segment, sentences, summarize
+from tarnwick.operators import embed, segment, sentences, split, summarize
 from tarnwick.operators.split import Splitter, by_marks, cut
 from tarnwick.operators.subwords import Subwords, byte_letters
 
@@ -272,3 +273,19 @@ def test_words_of_plain_and_other_stretches_are_those_of_the_whole_text():
     for _ in range(4000):
         text = "".join(rng.choices(rng.choice((plain, plain + wide)), k=rng.randint(0, 14)))
         assert segment.words(text) == [m[0] for m in segment._WORD.finditer(text) if segment._WORDLIKE.search(m[0])], repr(text)
+
+
+def test_snippets_of_a_batch_come_in_parts():
+    texts = pd.Series(["One sentence. " * 20_000, None, "Two words.", "More of it. " * 100_000])
+    do = Splitter()
+    parts = list(split._split_in_parts(texts, do))
+    assert len(parts) == 1 and len(list(split._split_in_parts(pd.concat([texts] * 3), do))) == 3
+    assert [x for p in parts for x in p] == [do(t) for t in texts]
+
+
+def test_embedder_remembers_a_bounded_number_of_words():
+    embed._token_vector.cache_clear()
+    before = [v.tolist() for v in embed.Embedder(dim=4)(["a b a", "c", ""])]
+    embed.Embedder(dim=4)([" ".join(f"w{i}" for i in range(embed.REMEMBERED + 100))])
+    assert embed._token_vector.cache_info().currsize == embed.REMEMBERED
+    assert [v.tolist() for v in embed.Embedder(dim=4)(["a b a", "c", ""])] == before
