@@ -35,49 +35,32 @@ def top(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy(F.col("score").desc(), F.col("document_id").desc(), F.col("sub_id").desc()).limit(n)
 
 
-class _Cell:
-    """The best snippets so far of a cell's queries. It holds the queries, and a few times as many rows as they ask for."""
+class Best:
+    """The best snippets so far of a number of queries. It holds a few times as many rows as they ask for."""
 
-    def __init__(self, qs: list[str], ks: np.ndarray, exclude: list[list[str] | None], vectors: np.ndarray):
-        self.qs, self.ks, self.vectors = np.array(qs, object), ks, vectors
-        self.least = np.full(len(qs), -np.inf)
+    def __init__(self, qs: list[str], ks: np.ndarray, least: float = -np.inf):
+        self.qs, self.ks = np.array(qs, object), ks
+        self.least = np.full(len(qs), least)
         self.held: list[tuple] = []
         self.n_held, self.bound = 0, 2 * int(ks.sum()) + 1000
-        self.without: dict[str, list[int]] = {}
-        for i, docs in enumerate(exclude):
-            for d in docs or ():
-                self.without.setdefault(d, []).append(i)
 
-    def add(self, docs: np.ndarray, subs: np.ndarray, v: np.ndarray) -> None:
-        out = [(i, at) for at, d in enumerate(docs.tolist()) for i in self.without.get(d, ())] if self.without else []
-        out = np.array(sorted(out), np.int64).reshape(-1, 2)
-        for lo in range(0, len(self.qs), QUERIES_AT_ONCE):
-            hi = min(lo + QUERIES_AT_ONCE, len(self.qs))
-            s = self.vectors[lo:hi] @ v.T
-            np.clip(s, -1.0, 1.0, out=s)
-            mine = out[np.searchsorted(out[:, 0], lo) : np.searchsorted(out[:, 0], hi)]
-            s[mine[:, 0] - lo, mine[:, 1]] = -np.inf
-            hit = s >= (self.least[lo:hi, None] - SLACK)
-            many = np.flatnonzero(hit.sum(axis=1) > 2 * self.ks[lo:hi])
-            if len(many):  # the batch alone bounds these from below
-                k = np.minimum(self.ks[lo:hi][many], s.shape[1])
-                part = s[many]
-                part.partition(np.unique(s.shape[1] - k), axis=1)
-                enough = self.ks[lo:hi][many] <= s.shape[1]
-                least = np.where(enough, part[np.arange(len(many)), s.shape[1] - k], -np.inf)
-                self.least[lo + many] = np.maximum(self.least[lo + many], least)
-                hit[many] = s[many] >= (self.least[lo + many][:, None] - SLACK)
-            hit &= s > -np.inf
-            q, d = np.nonzero(hit)
-            for i in range(0, len(q), self.bound):
-                self._hold(q[i : i + self.bound] + lo, d[i : i + self.bound], docs, subs, v)
-
-    def _hold(self, q: np.ndarray, d: np.ndarray, docs: np.ndarray, subs: np.ndarray, v: np.ndarray) -> None:
-        """Scores are summed in order, so equal vectors have equal ones wherever they stand."""
-        total = np.zeros(len(q))
-        for j in range(v.shape[1]):
-            total += self.vectors[q, j] * v[d, j]
-        self.held.append((q, docs[d], subs[d], np.clip(total, -1.0, 1.0)))
+    def hits(self, at: np.ndarray, s: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the scores s, a row for each of the queries ``at``, that can be among their best; -inf never is."""
+        hit = s >= (self.least[at, None] - slack)
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 2 * self.ks[at])
+        if len(many):  # the batch alone bounds these from below
+            k = np.minimum(self.ks[at][many], s.shape[1])
+            part = s[many]
+            part.partition(np.unique(s.shape[1] - k), axis=1)
+            enough = self.ks[at][many] <= s.shape[1]
+            least = np.where(enough, part[np.arange(len(many)), s.shape[1] - k], -np.inf)
+            self.least[at[many]] = np.maximum(self.least[at[many]], least)
+            hit[many] = s[many] >= (self.least[at[many]][:, None] - slack)
+        hit &= s > -np.inf
+        return np.nonzero(hit)
+
+    def hold(self, q: np.ndarray, docs: np.ndarray, subs: np.ndarray, s: np.ndarray) -> None:
+        self.held.append((q, docs, subs, s))
         self.n_held += len(q)
         if self.n_held > self.bound:
             self._cut()
@@ -93,16 +76,54 @@ class _Cell:
         self.held = [tuple(rows[n].to_numpy() for n in "qdus")]
         self.n_held = len(rows)
 
+    def score(self, s: np.ndarray) -> np.ndarray:
+        return s
+
     def best(self) -> pa.RecordBatch | None:
         if not self.held:
             return None
         self._cut()
         q, docs, subs, s = self.held[0]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32()]
-        columns = [self.qs[q], docs, subs, (1 + s) / 2, self.ks[q]]
+        columns = [self.qs[q], docs, subs, self.score(s), self.ks[q]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["q", "document_id", "sub_id", "score", "k"])
 
 
+class _Cell(Best):
+    """A cell's queries of vectors."""
+
+    def __init__(self, qs: list[str], ks: np.ndarray, exclude: list[list[str] | None], vectors: np.ndarray):
+        super().__init__(qs, ks)
+        self.vectors = vectors
+        self.without: dict[str, list[int]] = {}
+        for i, docs in enumerate(exclude):
+            for d in docs or ():
+                self.without.setdefault(d, []).append(i)
+
+    def add(self, docs: np.ndarray, subs: np.ndarray, v: np.ndarray) -> None:
+        out = [(i, at) for at, d in enumerate(docs.tolist()) for i in self.without.get(d, ())] if self.without else []
+        out = np.array(sorted(out), np.int64).reshape(-1, 2)
+        for lo in range(0, len(self.qs), QUERIES_AT_ONCE):
+            hi = min(lo + QUERIES_AT_ONCE, len(self.qs))
+            s = self.vectors[lo:hi] @ v.T
+            np.clip(s, -1.0, 1.0, out=s)
+            mine = out[np.searchsorted(out[:, 0], lo) : np.searchsorted(out[:, 0], hi)]
+            s[mine[:, 0] - lo, mine[:, 1]] = -np.inf
+            q, d = self.hits(np.arange(lo, hi), s, SLACK)
+            for i in range(0, len(q), self.bound):
+                self._summed(q[i : i + self.bound] + lo, d[i : i + self.bound], docs, subs, v)
+
+    def _summed(self, q: np.ndarray, d: np.ndarray, docs: np.ndarray, subs: np.ndarray, v: np.ndarray) -> None:
+        """Scores are summed in order, so equal vectors have equal ones wherever they stand."""
+        total = np.zeros(len(q))
+        for j in range(v.shape[1]):
+            total += self.vectors[q, j] * v[d, j]
+        self.hold(q, docs[d], subs[d], np.clip(total, -1.0, 1.0))
+
+    def score(self, s: np.ndarray) -> np.ndarray:
+        return (1 + s) / 2
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 

@@ -190,6 +190,27 @@ def test_postings_give_the_scan_s_scores(spark, scanned, blocks):
         assert len({(r["q"], r["document_id"], r["sub_id"]) for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("blocks", [1, 64])
+def test_postings_past_cells_give_the_same(spark, scanned, blocks, monkeypatch):
+    """Where queries and snippets share many terms, their pairs aren't shuffled: only each share's best snippets leave a task."""
+    docs, queries, shown, scores = scanned
+    index = postings.build(docs, blocks).cache()
+    q = spark.createDataFrame(list(queries.items()), "q string, text string")
+    inner, rows_out = postings._of_cells, []
+    monkeypatch.setattr(postings, "_of_cells", lambda *a: (rows_out.append(inner(*a).count()), inner(*a))[1])
+    for k, rows, filtered in ((10, None, False), (10, shown, True), (3, docs.where("false"), True), (1000, None, False)):
+        pairs = postings.search(index, q, k, rows).collect()
+        with monkeypatch.context() as m:
+            for name, n in (("MOST_SHUFFLED", 0), ("MOST_PUSHED", 5), ("QUERIES_A_CELL", 3), ("SHARES", 5), ("SCORES_AT_ONCE", 600)):
+                m.setattr(postings, name, n)
+            got = postings.search(index, q, k, rows).collect()
+        assert sorted(got) == sorted(pairs)
+        assert rows_out.pop() <= 5 * k * len(queries) and not rows_out
+        for name in queries if rows is None or filtered and k == 10 else ():
+            have = sorted((r["score"] for r in got if r["q"] == name), reverse=True)
+            assert have == pytest.approx(scores.get((name, filtered), [])[:k]), (name, k, filtered)
+
+
 def test_blocks_grow_with_the_rows(spark, monkeypatch):
     """With 64 blocks whatever the size, a task gathered a 64th of all snippets."""
     monkeypatch.setattr(postings, "ROWS_A_BLOCK", 1)
