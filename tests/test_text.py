@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import time
 from collections import Counter
 
@@ -99,6 +100,45 @@ def test_held_out_boundaries_are_better_than_the_expression(model):
     assert trained > 0.97 and trained > plain + 0.05, (trained, plain)
 
 
+def plain_split(model, text):
+    """Every token looked at."""
+    out, start, last = [], 0, None
+    for m in re.finditer(r"\S+", text or ""):
+        if last is not None and last[0].rstrip(sentences.CLOSING).endswith(tuple(sentences.ENDS)) and model.ends(last[0], m[0]):
+            out.append(text[start : last.end()])
+            start = m.start()
+        last = m
+    return [*out, text[start : last.end()].strip()] if last is not None else []
+
+
+def test_ends_are_found_as_by_looking_at_every_token(model):
+    rng = random.Random(6)
+    pieces = ["a", "The", "e.g.", "Dr.", "J.", "3.", "x!", 'y?"', "z.)", "...", "…", ".", ")", "?!", " ", "  ", "\n", "\x0b", "\u2003", "\x1c", "it", ",", ":", "«Ça", "È."]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for t in [*texts, None, "", " ", ". ", " . A"]:
+        assert model.split(t) == plain_split(model, t)
+
+
+def test_pairs_are_counted_in_the_tasks(spark, monkeypatch):
+    """Only pairs after a period need both types; with a bound of 8 counted pairs the sums are the same."""
+    texts = [" \"It ends.\" Here, e.g. the No. 7 (one) ends! And: so 3.5 goes... Yes", None, "", "a\xa0b c\x1cd. É", "one", "one"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = Counter()
+    for text in texts:
+        before = None
+        for token in re.findall(r"[^ \t\n\x0b\f\r]+", text or ""):
+            bare = None if before is None else before.rstrip(sentences.CLOSING)
+            stop = None if bare is None else bare.endswith(".") and not bare.endswith("..")
+            own, first = token.rstrip(sentences.CLOSING), token.lstrip(sentences.OPENING)[:1]
+            case = 2 if first.isupper() else 1 if first.islower() else 0
+            told = sentences.word_type(before) if stop else None, stop, bare is None or bare[-1:] in {*".!?…:"}, None if bare is None else bare[-1:] in {*"!?"}
+            want[*told, sentences.word_type(token), own.endswith(".") and not own.endswith(".."), case] += 1
+            before = token
+    for bound in (sentences.PAIRS_AT_ONCE, 8):
+        monkeypatch.setattr(sentences, "PAIRS_AT_ONCE", bound)
+        assert {tuple(r)[:-1]: r["n"] for r in sentences.token_pairs(docs).collect()} == want
+
+
 def test_splitting_loses_nothing_and_is_linear(model):
     rng = random.Random(3)
     for _ in range(20):
@@ -167,6 +207,34 @@ def test_no_snippet_is_above_the_hard_limit(model, length):
             assert "".join("".join(parts).split()) == "".join(t.split())
 
 
+@pytest.mark.parametrize("lower", [True, False])
+def test_each_sentence_is_measured_once(model, lower):
+    """Lengths of joined texts are sums; the snippets are those of a length that is measured anew each time."""
+    rng = random.Random(8)
+    subwords = Subwords([*"abcdefghijklmnopqrstuvwxyz", "th", "the", "er", "in", "ing"], lower=lower)
+    texts = [prose(rng, rng.randint(0, 40))[0] for _ in range(30)] + ["x y. " * 300, "a b " * 500 + ". C d", "ΑΣ. ΣΑΣ Σ. Σ", "q\x1fr\x85s. T", None]
+    for t in texts:
+        seen = []
+        counted = lambda x: (seen.append(len(x)), subwords.length(x))[1]
+        plain = Splitter(40, 50, counted, model.split)(t)
+        assert Splitter(40, 50, subwords.length, model.split)(t) == plain
+        assert all(subwords.length(p) == sum(map(subwords.count, re.findall(r"\w+|[^\w\s]", p.lower() if lower else p))) + 2 for p in plain)
+    seen: list[str] = []
+    subwords.runs = counting_runs(subwords, seen)
+    text = prose(rng, 200)[0]
+    Splitter(4000, 5000, subwords.length, lambda t: t.split(". "))(text)
+    assert len("".join(text.split())) * 0.9 < sum(map(len, seen)) < len("".join(text.split())) * 1.1
+
+
+def counting_runs(subwords, seen):
+    class Runs(dict):
+        def __getitem__(self, run):
+            seen.append(run)
+            return subwords._count_run(run)
+
+    return Runs()
+
+
 def test_cuts_are_taken_in_their_order():
     assert cut("a b\n\nc d e f", 4) == ["a b", "c d e f"]
     assert cut("a b\nc d\ne f g h i", 4) == ["a b\nc d", "e f g h", "i"]
